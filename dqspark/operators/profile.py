@@ -238,10 +238,8 @@ def risk_signals() -> str:
     return f"filter(array({told}), s -> s is not null)"
 
 
-def column_profiles(
-    layout: Layout, measures: DataFrame, outliers: DataFrame, options: Options = DEFAULT
-) -> DataFrame:
-    """The profile of each column, from its measures (no scan of the data)."""
+def described(layout: Layout, measures: DataFrame, outliers: DataFrame, options: Options = DEFAULT) -> DataFrame:
+    """Measures with the rates, labels and risk derived from them (no scan of the data)."""
     keys = [*layout.by, "ord"]
     joined = privacy.with_finding(measures.join(outliers, keys, "left"), layout, options.name_match)
     rated = joined.selectExpr(
@@ -253,7 +251,11 @@ def column_profiles(
         f"{cardinality('unique_count', 'row_count')} as cardinality",
         "unique_count = 1 and row_count > 1 as constant",
     ).selectExpr("*", f"{py_round(ratio('outlier_count', 'numbers'), 4)} as outlier_rate")
-    scored = rated.selectExpr("*", f"{risk_score()} as risk_score", f"{risk_signals()} as signals")
+    return rated.selectExpr("*", f"{risk_score()} as risk_score", f"{risk_signals()} as signals")
+
+
+def column_profiles(layout: Layout, scored: DataFrame, options: Options = DEFAULT) -> DataFrame:
+    """The published columns of a profile, from ``described``."""
     only = lambda kinds, sql: f"case when inferred_type in ({kinds}) then {sql} end"
     return scored.selectExpr(
         *layout.slices, "ord", "column", "inferred_type", "row_count", "missing_count", "missing_rate", "unique_count",
@@ -284,7 +286,8 @@ def profile_columns(
     """One row per (slice and) column: the whole column profile."""
     layout = Layout.of(df, by or [], columns)
     measures = column_measures(df, layout, options)
-    return column_profiles(layout, measures, outlier_measures(df, layout, measures, options), options)
+    scored = described(layout, measures, outlier_measures(df, layout, measures, options), options)
+    return column_profiles(layout, scored, options)
 
 
 def dataset_profile(profiles: DataFrame, duplicates: DataFrame, by: list[str]) -> DataFrame:
