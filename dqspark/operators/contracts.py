@@ -34,7 +34,8 @@ def observed_values(counts: DataFrame, by: list[str]) -> DataFrame:
     ``counts``: by..., column, value, n.  At most 21 values per column are kept before they are
     gathered, which is enough to tell 20 from more.
     """
-    kept = first_in_order(counts.where("value <> ''"), [*by, "column"], "n desc, value", MAX_ALLOWED + 1)
+    counts = counts.where("value <> ''").select(*by, "column", "value", "n")
+    kept = first_in_order(counts, [*by, "column"], "n desc, value", MAX_ALLOWED + 1)
     grouped = aggregate(kept, [*by, "column"], allowed="transform(array_sort(collect_list(struct(-n as n, value))), v -> v.value)")
     return grouped.where(f"size(allowed) between 2 and {MAX_ALLOWED}")
 

@@ -14,18 +14,25 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder every executor can reach.
+
+    It is the one the cluster names in ``spark.checkpoint.dir``; a temporary one is made
+    only where none is set, as in local tests.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="dqspark-"))
+    return context.getCheckpointDir()
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Write a derived table to the checkpoint folder and go on from there.
 
     Used for small tables (a row per audited column or rule) that several later steps
-    read, so that the scans behind them run once and survive a lost executor.  The
-    folder is the one the cluster names in ``spark.checkpoint.dir``; a temporary one
-    is used only where none is set, as in local tests.
+    read, so that the scans behind them run once and survive a lost executor.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="dqspark-checkpoint-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
