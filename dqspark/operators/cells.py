@@ -11,6 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import names, values
@@ -117,6 +118,16 @@ def with_names(df: DataFrame, layout: Layout) -> DataFrame:
 
 def aggregate(df: DataFrame, keys: list[str], **measures: str) -> DataFrame:
     """``group by keys`` with named SQL aggregates."""
-    from pyspark.sql import functions as F
-
     return df.groupBy(*keys).agg(*[F.expr(f"{sql} as {alias}") for alias, sql in measures.items()])
+
+
+def side_by_side(by: list[str], *tables: DataFrame) -> DataFrame:
+    """Put tables of one row per slice next to each other, by union and one aggregate.
+
+    Works the same with and without slices; what a table lacks for a slice is null.
+    """
+    stacked = tables[0]
+    for table in tables[1:]:
+        stacked = stacked.unionByName(table, allowMissingColumns=True)
+    kept = [c for c in stacked.columns if c not in by]
+    return aggregate(stacked, list(by), **{name(c): f"any_value({name(c)}, true)" for c in kept})

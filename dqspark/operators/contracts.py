@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame
 
 from ..functions.values import name
-from .cells import aggregate
+from .cells import aggregate, side_by_side
 from .detect import Expectations
 from .history import latest, query
 from .profile import first_in_order
@@ -102,9 +102,7 @@ def contract_from_rules(rules: DataFrame, profiles: DataFrame, by: list[str]) ->
         observed_types="map_from_entries(collect_list(if(inferred_type <> 'empty', struct(column, inferred_type), null)))",
         pii_columns="array_sort(collect_list(if(sensitivity is not null, column, null)))",
     )
-    joined = observed
-    for side in (terms, sources):
-        joined = joined.join(side, by, "left") if by else joined.join(side)
+    joined = side_by_side(by, observed, terms, sources).where("observed_types is not null")
     none = "cast(map() as map<string,string>)"
     return joined.selectExpr(
         "* except (observed_types, rule_types)",

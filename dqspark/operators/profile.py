@@ -18,7 +18,7 @@ from ..functions import fixed, names, values
 from ..functions.values import lit, py_round, ratio
 from ..session import pin, small_side
 from . import privacy
-from .cells import DIGEST_ABOVE, Layout, aggregate, cells, counting_key, value_counts, with_names
+from .cells import DIGEST_ABOVE, Layout, aggregate, cells, counting_key, side_by_side, value_counts, with_names
 from .duplicates import duplicate_counts
 from .quantiles import exact_quantiles
 
@@ -303,9 +303,7 @@ def dataset_profile(profiles: DataFrame, duplicates: DataFrame, by: list[str]) -
         sensitive_column_count="count(sensitivity)",
         highest_sensitivity=f"coalesce(max_by(sensitivity, {rank}), 'low')",
     )
-    # Without slices both sides are single aggregate rows.
-    joined = total.join(duplicates, by) if by else total.join(duplicates)
-    return joined.selectExpr(
+    return side_by_side(by, total, duplicates).selectExpr(
         *[values.name(c) for c in by], "row_count", "column_count", "duplicate_row_count",
         f"{py_round('1D - ' + ratio('missing', 'row_count * column_count'), 4)} as completeness_rate",
         f"{py_round(ratio('duplicate_row_count', 'row_count'), 4)} as duplicate_row_rate",

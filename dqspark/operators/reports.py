@@ -26,9 +26,9 @@ def score_now_and_before(audits: DataFrame, as_of: str, days: int = 7) -> DataFr
     """Mean latest score, and the same as it stood some days ago."""
     cut = f"cast({lit(as_of)} as timestamp) - interval {int(days)} days"
     return query(
-        f"""select c.score, p.score as previous_score, c.score - p.score as score_delta
-            from (select {py_round('avg(score)')} as score from {{newest}}) c
-            cross join (select {py_round('avg(score)')} as score from {{older}}) p""",
+        f"""select score, previous_score, score - previous_score as score_delta from
+              (select (select {py_round('avg(score)')} from {{newest}}) as score,
+                      (select {py_round('avg(score)')} from {{older}}) as previous_score)""",
         newest=latest_audits(audits), older=latest_audits(audits.where(f"created_at < {cut}")),
     )
 
@@ -137,9 +137,8 @@ def affected_columns(issues: DataFrame, k: int = 10) -> DataFrame:
 def registry_totals(datasets: DataFrame, versions: DataFrame) -> DataFrame:
     """Datasets, domains and versions (O16).  ``versions``: output of the lineage query."""
     return query(
-        """select d.datasets, d.domains, v.versions from
-             (select count(1) as datasets, count(distinct nullif(domain, '')) as domains from {datasets}) d
-             cross join (select count(1) as versions from {versions}) v""",
+        """select count(1) as datasets, count(distinct nullif(domain, '')) as domains,
+             (select count(1) from {versions}) as versions from {datasets}""",
         datasets=datasets, versions=versions,
     )
 
@@ -191,14 +190,14 @@ def remediation_impact(audits: DataFrame) -> DataFrame:
 def period_dashboard(audits: DataFrame, issues: DataFrame, executions: DataFrame, contracts: DataFrame, drift: DataFrame) -> DataFrame:
     """Figures of the audits in scope (O19).  Drift counts real events, by candidate audit."""
     return query(
-        f"""select s.score, s.datasets, i.active_issues, e.failed_rules, c.contract_violations, d.drift_events from
-              (select {py_round('avg(score)', 1)} as score, count(1) as datasets from {{newest}}) s
-              cross join (select count(1) as active_issues from {{issues}} i left semi join {{audits}} a on a.audit_id = i.audit_id
-                          where i.status not in ({CLOSED})) i
-              cross join (select count(1) as failed_rules from {{executions}} e left semi join {{audits}} a on a.audit_id = e.audit_id
-                          where e.outcome = 'failed') e
-              cross join (select count(1) as contract_violations from {{contracts}} where validation_status = 'failed') c
-              cross join (select count(1) as drift_events from {{drift}} d left semi join {{audits}} a on a.audit_id = d.audit_id) d""",
+        f"""select {py_round('avg(score)', 1)} as score, count(1) as datasets,
+              (select count(1) from {{issues}} i left semi join {{audits}} a on a.audit_id = i.audit_id
+               where i.status not in ({CLOSED})) as active_issues,
+              (select count(1) from {{executions}} e left semi join {{audits}} a on a.audit_id = e.audit_id
+               where e.outcome = 'failed') as failed_rules,
+              (select count(1) from {{contracts}} where validation_status = 'failed') as contract_violations,
+              (select count(1) from {{drift}} d left semi join {{audits}} a on a.audit_id = d.audit_id) as drift_events
+            from {{newest}}""",
         newest=latest_audits(audits), audits=audits, issues=issues, executions=executions, contracts=contracts, drift=drift,
     )
 
@@ -294,11 +293,15 @@ def score_history(audits: DataFrame, k: int = 14) -> DataFrame:
 def evidence(audits: DataFrame, issues: DataFrame, executions: DataFrame) -> DataFrame:
     """Latest against previous audit per dataset."""
     return query(
-        f"""with ordered as (
-              select *, lag(score) over w as previous_score, lag(audit_id) over w as previous_audit_id,
-                row_number() over (partition by dataset_name order by created_at desc, audit_id desc) as place
-              from {{audits}} window w as (partition by dataset_name order by created_at, audit_id)
-            ), newest as (select * from ordered where place = 1),
+        f"""with newest_two as (
+              select * from (select dataset_name, audit_id, score,
+                row_number() over (partition by dataset_name order by created_at desc, audit_id desc) as place from {{audits}})
+              where place <= 2
+            ), newest as (
+              select dataset_name, max(if(place = 1, audit_id, null)) as audit_id, max(if(place = 2, audit_id, null)) as previous_audit_id,
+                max(if(place = 1, score, null)) as score, max(if(place = 2, score, null)) as previous_score
+              from newest_two group by dataset_name
+            ),
             open_issues as (
               select audit_id, count_if(severity = 'critical') as critical, count_if(severity = 'high') as high,
                 count_if(severity = 'medium') as medium, count_if(severity = 'low') as low

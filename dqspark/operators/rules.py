@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 from ..functions import fixed, values
 from ..functions.values import lit, name, py_round, ratio
 from ..session import pin
-from .cells import Layout, aggregate, counting_key, value_counts
+from .cells import Layout, aggregate, counting_key, side_by_side, value_counts
 from .detect import count_rows
 from .duplicates import copies, duplicate_counts, row_digest
 from .profile import DEFAULT, Options, distinct_measures
@@ -164,13 +165,12 @@ def execute_rules(
     tests = [predicate(rule, types, options) for rule in rules]
     counted = count_rows(df, layout, [test or "false" for test in tests])
     keys = list(layout.by)
-    attach = lambda side: counted.join(side, keys, "left") if keys else counted.join(side, how="left")
     unique = sorted({r.column_name for r, t in zip(rules, tests, strict=True) if t is None and r.rule_type == "unique"})
     if unique:
         repeated = {f"u{layout.ordinal(c)}": f"max(if(ord = {layout.ordinal(c)}, repeated_rows, null))" for c in unique}
-        counted = attach(aggregate(distinct_measures(df, layout, unique), keys, **repeated))
+        counted = side_by_side(keys, counted, aggregate(distinct_measures(df, layout, unique), keys, **repeated))
     if any(rule.rule_type == "duplicate_rows" for rule in rules):
-        counted = attach(duplicate_counts(df, layout))
+        counted = side_by_side(keys, counted, duplicate_counts(df, layout))
     entries = []
     for place, (rule, test) in enumerate(zip(rules, tests, strict=True)):
         rows = f"p{place}"
@@ -241,16 +241,15 @@ def violations(df: DataFrame, rules: list[Rule], key: list[str], options: Option
             parts.append(flagged.selectExpr(*keyed, f"{rule.id}L as rule_id"))
         elif rule.rule_type == "missing_threshold" and rule.column_name in types:
             limit = float(rule.parameters.get("max_rate", 0))
-            over = df.selectExpr(f"avg(if({test}, 1D, 0D)) > {limit!r}D as over").where("over").select("over")
-            parts.append(df.where(test).selectExpr(*keyed).join(over).selectExpr(*keyed, f"{rule.id}L as rule_id"))
+            if (df.selectExpr(f"avg(if({test}, 1D, 0D))").first()[0] or 0.0) > limit:
+                marks.append(f"if({test}, {rule.id}L, null)")
         else:
             marks.append(f"if({test}, {rule.id}L, null)")
     if marks:
         parts.insert(0, df.selectExpr(*keyed, f"explode(filter(array({', '.join(marks)}), r -> r is not null)) as rule_id"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    if not parts:
+        return df.where("false").selectExpr(*keyed, "0L as rule_id")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def dry_run(df: DataFrame, rule: Rule, options: Options = DEFAULT) -> DataFrame:
@@ -259,7 +258,7 @@ def dry_run(df: DataFrame, rule: Rule, options: Options = DEFAULT) -> DataFrame:
     impact = py_round(f"affected_rate * 100D * {weight}D", 1)
     run = execute_rules(df, [rule], options=options)
     rows = df.selectExpr("count(1) as total_rows")
-    return run.join(rows).selectExpr(
+    return side_by_side([], run, rows).selectExpr(
         "outcome", "affected_rows", f"{py_round('affected_rate * 100D', 2)} as affected_percentage", "total_rows",
         "message", f"least(25D, {impact}) as estimated_score_impact",
     )
@@ -297,15 +296,15 @@ def assigned_rules(rules: DataFrame, assignments: DataFrame, dataset_id: int | N
 
 
 def bulk_assign(
-    assignments: DataFrame, rules: DataFrame, datasets: DataFrame, action: str = "assign"
+    assignments: DataFrame, rule_ids: list[int], datasets: DataFrame, action: str = "assign"
 ) -> DataFrame:
-    """New assignments snapshot after (un)assigning every given rule to every given dataset.
+    """New assignments snapshot after (un)assigning the given rules to the given datasets.
 
-    ``changed`` marks rows that were switched or added.  The two given tables are the
-    user's selection, so their product is the wanted result, not a by-product.
+    ``changed`` marks rows that were switched or added.
     """
     on = lit(action == "assign")
-    chosen = rules.selectExpr("id as rule_id").distinct().join(datasets.selectExpr("id as dataset_id").distinct())
+    wanted = ", ".join(f"{int(r)}L" for r in sorted(set(rule_ids)))
+    chosen = datasets.selectExpr("id as dataset_id").distinct().selectExpr("dataset_id", f"explode(array({wanted})) as rule_id")
     merged = assignments.withColumnRenamed("is_active", "was").join(
         chosen.selectExpr("*", "true as chosen"), ["rule_id", "dataset_id"], "full_outer"
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from ..functions import fixed, values
 from ..functions.values import lit, name, py_round
-from .cells import aggregate
+from .cells import aggregate, side_by_side
 from .profile import first_in_order
 
 DIMENSIONS = tuple(fixed.DIMENSION_WEIGHT)
@@ -77,7 +77,7 @@ def score(
         costs, by, **{f"{d}_penalty": s for d, s in sums.items()},
         active_issue_count="count(1)", accepted_risk_count="count_if(status = 'accepted_risk')",
     )
-    joined = datasets.join(total, by, "left") if by else datasets.join(total)
+    joined = side_by_side(by, datasets.select(*by, "duplicate_row_rate"), total).where("duplicate_row_rate is not null")
     repeated = (
         f"if(duplicate_row_rate > 0, least(15D, 4D + 18D * sqrt(duplicate_row_rate)) * {float(level)!r}D, 0D)"
     )
@@ -120,8 +120,7 @@ def summary(issues: DataFrame, scores: DataFrame, by: list[str] | None = None) -
     counts = {f"{s}_issues": f"count_if(severity = '{s}')" for s in fixed.SEVERITIES}
     counts |= {f"{c}_issues": f"count_if(category = '{c}')" for c in fixed.CATEGORIES}
     total = aggregate(issues, by, issue_count="count(1)", **counts)
-    joined = scores.join(total, by, "left") if by else scores.join(total)
-    filled = joined.fillna(0, ["issue_count", *counts])
+    filled = side_by_side(by, scores, total).where("overall is not null").fillna(0, ["issue_count", *counts])
     risk = (
         "case when overall < 60 or critical_issues > 0 then 'critical' when overall < 75 or high_issues > 0 then 'high'"
         " when overall < 90 or medium_issues > 0 then 'medium' else 'low' end"
@@ -170,9 +169,7 @@ def readiness(issues: DataFrame, profiles: DataFrame, scores: DataFrame, by: lis
         f" or {values.among('lower(column)', fixed.NOT_A_FEATURE)}"
     )
     columns = aggregate(profiles, by, unsuitable_features=f"array_sort(collect_set(if({unfit}, column, null)))")
-    joined = scores
-    for side in (found, columns):
-        joined = joined.join(side, by, "left") if by else joined.join(side)
+    joined = side_by_side(by, scores.select(*by, "overall"), found, columns).where("overall is not null")
     penalty = (
         "least(60L, coalesce(blockers, 0L) * 15 + coalesce(warnings, 0L) * 4"
         " + coalesce(size(unsuitable_features), 0) * 2)"

@@ -57,9 +57,12 @@ def audit(
     if rules:
         executions = pinned_executions(df, rules, by, options)
         issues = pin(issues)
-        found = aggregate(issues, by, found="count(1)")
-        joined = executions.join(found, by, "left") if by else executions.join(found)
-        failed = rule_issues(joined, rules, list(layout.columns), by, "coalesce(found, 0L) + 1")
+        if by:
+            found = aggregate(issues, by, found="count(1)")
+            numbered, first = executions.join(found, by, "left"), "coalesce(found, 0L) + 1"
+        else:
+            numbered, first = executions, f"{issues.count() + 1}"
+        failed = rule_issues(numbered, rules, list(layout.columns), by, first)
         issues = issues.unionByName(failed)
     issues = pin(issues)
     costs = score.deductions(issues, by, context)

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+from ..operators.cells import side_by_side
 from ..operators.profile import DEFAULT, Options
 from ..operators.remediate import Remediation, plan_actions, remediate
 from ..operators.rules import Rule
@@ -21,13 +22,13 @@ class Preview:
 
     def comparison(self, source: Audit) -> DataFrame:
         """Score, issue and row counts before and after, one row (M9)."""
-        before = source.score.join(source.dataset).selectExpr(
+        before = side_by_side([], source.score, source.dataset).selectExpr(
             "overall as score_before", "active_issue_count as issues_before", "row_count as rows_before"
         )
-        after = self.projected.score.join(self.projected.dataset).selectExpr(
+        after = side_by_side([], self.projected.score, self.projected.dataset).selectExpr(
             "overall as projected_score", "active_issue_count as projected_issues", "row_count as rows_after"
         )
-        return before.join(after).selectExpr("*", "projected_score - score_before as projected_score_delta")
+        return side_by_side([], before, after).selectExpr("*", "projected_score - score_before as projected_score_delta")
 
 
 def preview(

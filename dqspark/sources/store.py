@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..functions.values import lit, name
+from ..operators.cells import side_by_side
 
 AUDIT_TABLES = ("audits", "column_profiles", "issues", "rule_executions", "deductions")
 
@@ -36,7 +37,7 @@ class AuditStore:
 
     def save_audit(self, audit, audit_date: str, audit_id: str, dataset_name: str, kind: str = "audit", version: int | None = None) -> None:
         """Write every table of an audit (S7).  ``audit`` is the result of ``plans.audit``."""
-        head = audit.summary.join(audit.dataset).selectExpr(
+        head = side_by_side([], audit.summary, audit.dataset).selectExpr(
             f"{lit(dataset_name)} as dataset_name", f"{lit(kind)} as audit_kind", f"cast({lit(version)} as int) as dataset_version",
             "current_timestamp() as created_at", "cast(overall as int) as score", "risk_level", "issue_count", "row_count",
             "column_count", "completeness_rate", "duplicate_row_rate",

@@ -546,7 +546,7 @@ def report_registry_totals(spark, sf_dir):
     return reports.registry_totals(view(spark, sf_dir, "datasets"), versions.lineage(view(spark, sf_dir, "audits")))
 
 
-@register("report_daily_scores", with_views(["audits"], "select strftime(created_at, '%Y-%m-%d') as day, round(avg(score), 1) as score, count(*) as audits from audits group by 1"))
+@register("report_daily_scores", with_views(["audits"], "select strftime(created_at, '%Y-%m-%d') as day, round_even(avg(score), 1) as score, count(*) as audits from audits group by 1"))
 def report_daily_scores(spark, sf_dir):
     return reports.daily_scores(view(spark, sf_dir, "audits")).selectExpr("cast(day as string) as day", "score", "audits")
 

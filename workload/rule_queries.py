@@ -123,7 +123,7 @@ def rule_assignments(spark, sf_dir):
     return found.select("dataset_id", "id", "name")
 
 
-_CHOSEN = "select r.id as rule_id, d.id as dataset_id from quality_rules r cross join datasets d where r.id <= 2 and d.id % 2 = 0"
+_CHOSEN = "select r.id as rule_id, d.id as dataset_id from quality_rules r cross join datasets d where r.id <= 2 and d.environment = 'staging'"
 
 
 @register("rule_bulk_assign", with_views(["assignments"], f"""select coalesce(a.rule_id, c.rule_id) as rule_id, coalesce(a.dataset_id, c.dataset_id) as dataset_id,
@@ -131,7 +131,7 @@ _CHOSEN = "select r.id as rule_id, d.id as dataset_id from quality_rules r cross
  from assignments a full outer join ({_CHOSEN}) c on a.rule_id = c.rule_id and a.dataset_id = c.dataset_id"""))
 def rule_bulk_assign(spark, sf_dir):
     return rules.bulk_assign(
-        view(spark, sf_dir, "assignments"), view(spark, sf_dir, "quality_rules").where("id <= 2"), view(spark, sf_dir, "datasets").where("id % 2 = 0")
+        view(spark, sf_dir, "assignments"), [1, 2], view(spark, sf_dir, "datasets").where("environment = 'staging'")
     )
 
 
@@ -139,8 +139,7 @@ def rule_bulk_assign(spark, sf_dir):
  (c.rule_id is not null and a.is_active) as changed from assignments a left join ({_CHOSEN}) c on a.rule_id = c.rule_id and a.dataset_id = c.dataset_id"""))
 def rule_bulk_unassign(spark, sf_dir):
     return rules.bulk_assign(
-        view(spark, sf_dir, "assignments"), view(spark, sf_dir, "quality_rules").where("id <= 2"), view(spark, sf_dir, "datasets").where("id % 2 = 0"),
-        "unassign",
+        view(spark, sf_dir, "assignments"), [1, 2], view(spark, sf_dir, "datasets").where("environment = 'staging'"), "unassign",
     )
 
 
