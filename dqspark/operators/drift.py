@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..functions.values import lit, py_round
+from ..session import pin
 from .history import query
 
 
@@ -15,6 +16,8 @@ def drift_events(profiles: DataFrame) -> DataFrame:
     A profile row is the new side of its own version and the old side of the next one,
     so both sides meet in one aggregate and no self join is needed.
     """
+    # A row per column and version; read three times below.
+    profiles = pin(profiles.select("dataset", "version", "column", "inferred_type", "missing_rate", "unique_count"))
     sided = query(
         """with steps as (
              select dataset, version, lag(version) over w as before, lead(version) over w as after,

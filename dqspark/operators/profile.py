@@ -54,7 +54,7 @@ def measure(df: DataFrame, layout: Layout, options: Options = DEFAULT) -> DataFr
     """(by..., ord, measures): everything that needs to see each value only once."""
     long = cells(df, layout).selectExpr("*", f"not {values.missing('text')} as present")
     now = options.now
-    shape = lambda pattern: f"count_if(present and {values.matches('text', pattern)})"
+    count = lambda test: f"count_if(present and {test})"
     return aggregate(
         long, [*layout.by, "ord"],
         row_count="count(1)",
@@ -63,7 +63,7 @@ def measure(df: DataFrame, layout: Layout, options: Options = DEFAULT) -> DataFr
         padded="count_if(present and raw <> text)",
         bool_tokens=f"count_if({values.in_tokens('text', fixed.BOOLEAN_TOKENS)})",
         bool_words="count_if(lower(text) in ('true', 'false'))",
-        date_marks=f"count_if({values.matches('text', fixed.DATE_MARK)})",
+        date_marks=f"count_if({values.has_date_mark('text')})",
         timestamps="count(ts)",
         numbers="count(num)",
         plain_numbers="count(plain)",
@@ -76,18 +76,18 @@ def measure(df: DataFrame, layout: Layout, options: Options = DEFAULT) -> DataFr
         len_min="min(char_length(text))",
         len_max="max(char_length(text))",
         len_mean="avg(char_length(text))",
-        emails=shape(fixed.EMAIL),
-        phones=shape(fixed.PHONE),
-        addresses=shape(fixed.IP_V4),
-        cards=f"count_if(present and {values.is_card('text')})",
-        identifiers=shape(fixed.IDENTIFIER),
+        emails=count(values.is_email('text')),
+        phones=count(values.is_phone('text')),
+        addresses=count(values.is_ip('text')),
+        cards=count(values.is_card('text')),
+        identifiers=count(values.is_identifier('text')),
         negative="count_if(plain < 0)",
         off_percent="count_if(plain < 0 or plain > 100)",
         off_age="count_if(plain < 0 or plain > 120)",
         future=f"count_if(ts > {now})",
         off_birth=f"count_if(ts > {now} or ts < {values.months_back(now, 120)})",
         stale=f"count_if(ts < {values.months_back(now, 3)})",
-        approx_distinct="approx_count_distinct(if(present, text, null))",
+        **({"approx_distinct": "approx_count_distinct(if(present, text, null))"} if options.approximate_distinct else {}),
     )
 
 
@@ -290,6 +290,31 @@ def profile_columns(
     return column_profiles(layout, scored, options)
 
 
+def schema_profile(
+    df: DataFrame, by: list[str] | None = None, options: Options = DEFAULT, columns: list[str] | None = None
+) -> DataFrame:
+    """Type, completeness and distinct counts only: what drift and contracts compare, without quantiles."""
+    layout = Layout.of(df, by or [], columns)
+    return column_measures(df, layout, options).selectExpr(
+        *layout.slices, "ord", f"{layout.name_of()} as column", "inferred_type", "row_count", "missing_count",
+        f"{py_round(ratio('missing_count', 'row_count'), 4)} as missing_rate", "unique_count",
+        f"{py_round(ratio('unique_count', 'row_count'), 4)} as unique_rate",
+    )
+
+
+def scan_privacy(
+    df: DataFrame, by: list[str] | None = None, options: Options = DEFAULT, columns: list[str] | None = None
+) -> DataFrame:
+    """Sensitivity of every column, without the rest of the profile (V7)."""
+    layout = Layout.of(df, by or [], columns)
+    found = privacy.with_finding(column_measures(df, layout, options), layout, options.name_match)
+    return found.selectExpr(
+        *layout.slices, "ord", f"{layout.name_of()} as column", "privacy.classification as privacy_classification",
+        "privacy.sensitivity as sensitivity", "coalesce(privacy.confidence, 0D) as privacy_confidence",
+        "coalesce(privacy.reasons, cast(array() as array<string>)) as privacy_reasons", "privacy.masking as masking_recommendation",
+    )
+
+
 def dataset_profile(profiles: DataFrame, duplicates: DataFrame, by: list[str]) -> DataFrame:
     """One row per slice: counts, completeness, duplicates, risk and sensitivity."""
     rank = values.lookup("sensitivity", fixed.SENSITIVITY_RANK)

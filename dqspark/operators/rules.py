@@ -87,7 +87,7 @@ def predicate(rule: Rule, types: dict[str, T.DataType], options: Options = DEFAU
     if kind in ("required", "missing_threshold"):
         return absent
     if kind == "email":
-        return f"({present} and not {values.matches(text, fixed.EMAIL)})"
+        return f"({present} and not {values.is_email(text)})"
     if kind == "allowed_values":
         return f"({present} and not {values.among(text, [str(v) for v in params.get('values', [])])})"
     if kind == "regex":

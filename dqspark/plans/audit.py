@@ -18,7 +18,7 @@ from ..operators.duplicates import duplicate_counts
 from ..operators.profile import DEFAULT, Options, column_measures, column_profiles, dataset_profile, described
 from ..operators.profile import outlier_measures
 from ..operators.rules import Rule, pinned_executions, rule_issues
-from ..session import pin, use_utc
+from ..session import pin, prepare
 
 
 @dataclass
@@ -44,7 +44,7 @@ def audit(
     context: score.ScoringContext = score.DEFAULT_CONTEXT,
 ) -> Audit:
     """Audit a table.  With ``by`` every distinct slice gets its own audit in the same jobs."""
-    use_utc(df.sparkSession)
+    prepare(df.sparkSession)
     by = by or []
     layout = Layout.of(df, by)
     measures = column_measures(df, layout, options)

@@ -79,6 +79,16 @@ def read_table(spark: SparkSession, path: str, form: str = "parquet", **options)
     return spark.read.options(**options).format(form).load(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Share a scan out over all cores when it has fewer splits than the cluster has cores.
+
+    Audits are bound by computing, and a small file may be a single split.  A scan with
+    enough splits, as any large table has, is left alone.  ``df`` is a plain scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def validate_frame(df: DataFrame) -> DataFrame:
     """Refuse a table without rows or columns; strip its column names (S3)."""
     if not df.columns:

@@ -168,7 +168,7 @@ def compare_issues(spark, sf_dir):
 
 def _version_profiles(spark, sf_dir):
     """Profiles of the yearly order versions; a column that is all null is absent."""
-    found = profile.profile_columns(view(spark, sf_dir, "order_versions"), ["dataset", "version"], OPTIONS)
+    found = profile.schema_profile(view(spark, sf_dir, "order_versions"), ["dataset", "version"], OPTIONS)
     return found.where("inferred_type <> 'empty'").select("dataset", "version", "column", "inferred_type", "missing_rate", "unique_count")
 
 
@@ -664,7 +664,7 @@ def report_evidence(spark, sf_dir):
 
 @register("rule_builder_context", with_views(["order_versions"], f"select col as column_name, kind as inferred_type, gaps as missing_rate from {_PROFILES} where dataset = 'orders_2' and version = 3"))
 def rule_builder_context(spark, sf_dir):
-    found = profile.profile_columns(view(spark, sf_dir, "order_versions"), ["dataset", "version"], OPTIONS)
+    found = profile.schema_profile(view(spark, sf_dir, "order_versions"), ["dataset", "version"], OPTIONS)
     stored = found.where("inferred_type <> 'empty'").withColumn("audit_id", F.expr("concat(dataset, '/', version)"))
     return reports.builder_context(stored, "orders_2/3").selectExpr("column as column_name", "inferred_type", "missing_rate")
 

@@ -57,7 +57,7 @@ def _numeric_sql(c: str) -> str:
 
 @register("profile_numeric", union([_numeric_sql(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")]))
 def profile_numeric(spark, sf_dir):
-    df = table(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    df = table(spark, sf_dir, "lineitem", heavy=True).select("l_quantity", "l_extendedprice", "l_discount", "l_tax")
     return profile.profile_columns(df, options=OPTIONS).selectExpr(
         "column as column_name", "min as min_value", "max as max_value", "mean as mean_value", "round(median, 4) as median_value",
         "std_dev", "outlier_count",
@@ -78,7 +78,7 @@ def profile_text(spark, sf_dir):
     f"""select '{c}' as column_name, count(*) as row_count, count(distinct {c}) as unique_count,
  min(length(trim({c}, e' \\t\\n\\r'))) as min_length, max(length(trim({c}, e' \\t\\n\\r'))) as max_length from documents""" for c in ("text", "lang", "source")]))
 def profile_documents(spark, sf_dir):
-    df = table(spark, sf_dir, "documents").select("text", "lang", "source")
+    df = table(spark, sf_dir, "documents", heavy=True).select("text", "lang", "source")
     return profile.profile_columns(df, options=OPTIONS).selectExpr(
         "column as column_name", "row_count", "unique_count", "cast(min_length as bigint) as min_length", "cast(max_length as bigint) as max_length"
     )
@@ -151,14 +151,14 @@ def sample_values(spark, sf_dir):
 @register("duplicate_rows", """select cast(sum(k - 1) as bigint) as duplicate_row_count, cast(sum(case when k > 1 then k else 0 end) as bigint) as rows_in_duplicate_groups
  from (select count(*) as k from documents group by text)""")
 def duplicate_rows(spark, sf_dir):
-    df = table(spark, sf_dir, "documents").select("text")
+    df = table(spark, sf_dir, "documents", heavy=True).select("text")
     return duplicates.duplicate_counts(df, Layout.of(df))
 
 
 @register("duplicate_rows_by_slice", """select source, lang, cast(sum(k - 1) as bigint) as duplicate_row_count, cast(sum(case when k > 1 then k else 0 end) as bigint) as rows_in_duplicate_groups
  from (select source, lang, count(*) as k from documents group by source, lang, text) group by source, lang""")
 def duplicate_rows_by_slice(spark, sf_dir):
-    df = table(spark, sf_dir, "documents").select("source", "lang", "text")
+    df = table(spark, sf_dir, "documents", heavy=True).select("source", "lang", "text")
     return duplicates.duplicate_counts(df, Layout.of(df, ["source", "lang"]))
 
 
@@ -166,7 +166,7 @@ def duplicate_rows_by_slice(spark, sf_dir):
     f"""select '{c}' as column_name, count(*) as unique_count, cast(coalesce(sum(case when k > 1 then k else 0 end), 0) as bigint) as repeated_rows
  from (select count(*) as k from lineitem group by {c})""" for c in ("l_orderkey", "l_partkey", "l_suppkey")]))
 def key_duplicates(spark, sf_dir):
-    df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
+    df = table(spark, sf_dir, "lineitem", heavy=True).select("l_orderkey", "l_partkey", "l_suppkey")
     layout = Layout.of(df)
     return with_names(profile.distinct_measures(df, layout), layout).selectExpr("column as column_name", "unique_count", "repeated_rows")
 
@@ -206,7 +206,7 @@ def outliers_iqr(spark, sf_dir):
 def quantiles_grouped(spark, sf_dir):
     from dqspark.operators.quantiles import exact_quantiles
 
-    df = table(spark, sf_dir, "lineitem").selectExpr("l_returnflag", "l_linestatus", "l_extendedprice as x")
+    df = table(spark, sf_dir, "lineitem", heavy=True).selectExpr("l_returnflag", "l_linestatus", "l_extendedprice as x")
     found = exact_quantiles(df, ["l_returnflag", "l_linestatus"], [0.25, 0.5, 0.75])
     return found.selectExpr("l_returnflag", "l_linestatus", "n", "round(q0, 4) as q1", "round(q1, 4) as q2", "round(q2, 4) as q3")
 
@@ -241,8 +241,8 @@ _PRIVATE = ["customer_id", "full_name", "email", "phone", "segment", "status"]
  round(best.c, 3) as confidence from ({union([_privacy_sql(c, 'customer_dirty') for c in _PRIVATE] + [_privacy_sql(c, 'people') for c in ('card_number', 'host')])})
  where best is not null"""))
 def privacy_scan(spark, sf_dir):
-    customers = profile.profile_columns(view(spark, sf_dir, "customer_dirty").select(*_PRIVATE), options=OPTIONS)
-    people = profile.profile_columns(view(spark, sf_dir, "people").select("card_number", "host", "email_verified"), options=OPTIONS)
+    customers = profile.scan_privacy(view(spark, sf_dir, "customer_dirty").select(*_PRIVATE), options=OPTIONS)
+    people = profile.scan_privacy(view(spark, sf_dir, "people").select("card_number", "host", "email_verified"), options=OPTIONS)
     return privacy.findings(customers.unionByName(people)).selectExpr("column as column_name", "classification", "sensitivity", "confidence")
 
 
@@ -251,7 +251,7 @@ def privacy_scan(spark, sf_dir):
  cast(0 as bigint) as low_count, count_if(best.r = 2) as medium_count, count_if(best.r = 3) as high_count, count_if(best.r = 4) as critical_count
  from ({union([_privacy_sql(c, 'customer_dirty') for c in _PRIVATE])}) where best is not null"""))
 def privacy_summary(spark, sf_dir):
-    return privacy.scan_summary(profile.profile_columns(view(spark, sf_dir, "customer_dirty").select(*_PRIVATE), options=OPTIONS))
+    return privacy.scan_summary(profile.scan_privacy(view(spark, sf_dir, "customer_dirty").select(*_PRIVATE), options=OPTIONS))
 
 
 @register("privacy_conversations", f"""select count(*) as rows_seen, count_if({email('text')}) as email_rows, count_if({phone('text')}) as phone_rows,
@@ -261,8 +261,8 @@ def privacy_conversations(spark, sf_dir):
 
     text = values.stripped("text")
     return table(spark, sf_dir, "conversations").selectExpr(
-        "count(1) as rows_seen", f"count_if({values.matches(text, fixed.EMAIL)}) as email_rows",
-        f"count_if({values.matches(text, fixed.PHONE)}) as phone_rows", "count_if(contains(text, '@')) as marked_rows",
+        "count(1) as rows_seen", f"count_if({values.is_email(text)}) as email_rows",
+        f"count_if({values.is_phone(text)}) as phone_rows", "count_if(contains(text, '@')) as marked_rows",
     )
 
 

@@ -372,9 +372,9 @@ def window_failures(spark, sf_dir):
 @register("stream_window_failures", f"""select strftime(cast(window_start as timestamp), '%Y-%m-%d') as day, rule_id, checked_rows, failed_rows from ({_WINDOWS})
  where cast(window_start as timestamp) + interval 1 day <= (select max(ts) - interval 1 hour from events)""")
 def stream_window_failures(spark, sf_dir):
-    from dqspark.session import use_utc
+    from dqspark.session import prepare
 
-    use_utc(spark)
+    prepare(spark)
     folder = _folder(spark)
     windows = monitor.windowed_failures(_event_stream(spark, sf_dir), STREAM_RULES, "ts", options=OPTIONS)
     monitor.write_windows(windows, f"{folder}/windows", f"{folder}/state").awaitTermination()

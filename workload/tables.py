@@ -7,15 +7,18 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from dqspark.session import use_utc
+from dqspark.session import prepare
+from dqspark.sources.readers import spread
 
 from .views import VIEWS, _order
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table, timestamps as UTC instants."""
-    use_utc(spark)
+def table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
+    """A given table, timestamps as UTC instants.  ``heavy``: the query computes much per row."""
+    prepare(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if heavy:
+        df = spread(df)
     return df.selectExpr(*[
         f"cast({f.name} as timestamp) as {f.name}" if isinstance(f.dataType, T.TimestampNTZType) else f.name
         for f in df.schema.fields
@@ -31,7 +34,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived view over the whole base table."""
     order = _order([name])
     bases = sorted({BASE[v] for v in order if v in BASE})
-    frames = {b: table(spark, sf_dir, b) for b in bases}
+    frames = {b: table(spark, sf_dir, b, heavy="slices" not in order) for b in bases}
     sql = ", ".join(f"{v} as ({VIEWS[v]})" for v in order)
     for base in bases:
         sql = re.sub(rf"\bfrom {base}\b", f"from {{{base}}}", sql)
