@@ -28,28 +28,45 @@ def judge_changes(issues: DataFrame, changes: DataFrame) -> DataFrame:
 
     ``issues``: audit_id, id, category, status, resolution_note, resolution_evidence.
     ``changes``: change_id, audit_id, issue_id, kind (``update`` or ``apply``), the fields to
-    set (null = leave), actor_name, changed_at.  A note or proof given by an earlier change of
-    the same issue counts.
+    set (null = leave), actor_name, changed_at.  What earlier accepted changes of the same issue
+    did counts: a note, evidence, a status.
     """
     return query(
         """with joined as (
              select c.*, i.id is not null as known, i.category, i.status as old_status, i.resolution_note as old_note,
                i.resolution_evidence as old_evidence, i.severity as old_severity, i.owner as old_owner, i.recommendation
              from {changes} c left join {issues} i on i.audit_id = c.audit_id and i.id = c.issue_id
-           ), dated as (
-             select *, coalesce(last_value(resolution_note, true) over w, old_note) as note_so_far,
-               coalesce(last_value(resolution_evidence, true) over w, old_evidence) as evidence_so_far,
-               coalesce(last_value(if(kind = 'apply', 'fixed', status), true) over before, old_status) as status_before
-             from joined
+           ), noted as (
+             select *, coalesce(last_value(resolution_note, true) over (partition by audit_id, issue_id order by changed_at, change_id),
+               old_note) as note_so_far from joined
+           ), noted_updates as (
+             select *, kind = 'update' and (status is null or status not in ('resolved', 'fixed') or note_so_far is not null) as sound
+             from noted
+           ), early as (
+             select *,
+               coalesce(last_value(if(sound, resolution_evidence, null), true) over w, old_evidence) as evidence_so_far,
+               coalesce(last_value(if(sound, status, null), true) over before, old_status) as status_without_applies
+             from noted_updates
              window w as (partition by audit_id, issue_id order by changed_at, change_id),
                before as (partition by audit_id, issue_id order by changed_at, change_id rows between unbounded preceding and 1 preceding)
+           ), gated as (
+             -- Once a recommendation was applied a note exists; for privacy the note and evidence come first.
+             select *, if(category = 'privacy', kind = 'apply' and note_so_far is not null and evidence_so_far is not null,
+               max(kind = 'apply' and status_without_applies <> 'fixed') over (partition by audit_id, issue_id order by changed_at, change_id)) as gate
+             from early
+           ), settled as (
+             select *, sound or (kind = 'update' and category <> 'privacy' and gate) as accepted_update from gated
+           ), dated as (
+             select *, coalesce(last_value(case when kind = 'apply' and gate then 'fixed' when kind = 'update' and accepted_update then status end, true)
+               over (partition by audit_id, issue_id order by changed_at, change_id rows between unbounded preceding and 1 preceding),
+               old_status) as status_before
+             from settled
            )
            select *, case
              when not known then 'unknown issue'
              when kind = 'apply' and status_before = 'fixed' then 'already applied'
-             when kind = 'apply' and category = 'privacy' and (note_so_far is null or evidence_so_far is null)
-               then 'privacy control needs a note and evidence'
-             when kind = 'update' and status in ('resolved', 'fixed') and note_so_far is null then 'a resolution note is required'
+             when kind = 'apply' and category = 'privacy' and not gate then 'privacy control needs a note and evidence'
+             when kind = 'update' and not accepted_update then 'a resolution note is required'
              end as rejected
            from dated""",
         issues=issues, changes=changes,

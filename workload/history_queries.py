@@ -316,14 +316,22 @@ def _judged(spark, sf_dir):
     return lifecycle.judge_changes(issues(spark, sf_dir), view(spark, sf_dir, "issue_changes"))
 
 
-_JUDGED = """(select c.*, i.category, i.status as old_status, i.recommendation, i.id is not null as known, i.owner as old_owner, i.severity as old_severity, i.resolution_note as old_note,
- coalesce((select arg_max(x.resolution_note, x.changed_at) from issue_changes x where x.audit_id = c.audit_id and x.issue_id = c.issue_id and x.changed_at <= c.changed_at and x.resolution_note is not null), i.resolution_note) as note_now,
- coalesce((select arg_max(x.resolution_evidence, x.changed_at) from issue_changes x where x.audit_id = c.audit_id and x.issue_id = c.issue_id and x.changed_at <= c.changed_at and x.resolution_evidence is not null), i.resolution_evidence) as proof_now,
- coalesce((select arg_max(case when x.kind = 'apply' then 'fixed' else x.status end, x.changed_at) from issue_changes x where x.audit_id = c.audit_id and x.issue_id = c.issue_id and x.changed_at < c.changed_at and (x.kind = 'apply' or x.status is not null)), i.status) as status_then
- from issue_changes c left join issue_rows i on i.audit_id = c.audit_id and i.id = c.issue_id)"""
-_VERDICT = f"""(select *, case when not known then 'unknown issue' when kind = 'apply' and status_then = 'fixed' then 'already applied'
- when kind = 'apply' and category = 'privacy' and (note_now is null or proof_now is null) then 'privacy control needs a note and evidence'
- when kind = 'update' and status in ('resolved', 'fixed') and note_now is null then 'a resolution note is required' end as rejected from {_JUDGED})"""
+_WHO = "partition by audit_id, issue_id order by changed_at, change_id"
+_BEFORE = f"over ({_WHO} rows between unbounded preceding and 1 preceding)"
+_VERDICT = f"""(with a as (
+ select c.*, i.category, i.status as old_status, i.recommendation, i.id is not null as known, i.owner as old_owner, i.severity as old_severity, i.resolution_note as old_note,
+  i.resolution_evidence as old_proof from issue_changes c left join issue_rows i on i.audit_id = c.audit_id and i.id = c.issue_id),
+ b as (select *, coalesce(last_value(resolution_note ignore nulls) over ({_WHO}), old_note) as note_now from a),
+ c as (select *, kind = 'update' and (status is null or status not in ('resolved', 'fixed') or note_now is not null) as sound from b),
+ d as (select *, coalesce(last_value(case when sound then resolution_evidence end ignore nulls) over ({_WHO}), old_proof) as proof_now,
+  coalesce(last_value(case when sound then status end ignore nulls) {_BEFORE}, old_status) as s1 from c),
+ e as (select *, case when category = 'privacy' then kind = 'apply' and note_now is not null and proof_now is not null
+  else bool_or(kind = 'apply' and s1 <> 'fixed') over ({_WHO}) end as gate from d),
+ f as (select *, sound or (kind = 'update' and category <> 'privacy' and gate) as fine from e),
+ g as (select *, coalesce(last_value(case when kind = 'apply' and gate then 'fixed' when kind = 'update' and fine then status end ignore nulls) {_BEFORE}, old_status) as status_then from f)
+ select *, case when not known then 'unknown issue' when kind = 'apply' and status_then = 'fixed' then 'already applied'
+  when kind = 'apply' and category = 'privacy' and not gate then 'privacy control needs a note and evidence'
+  when kind = 'update' and not fine then 'a resolution note is required' end as rejected from g)"""
 
 
 @register("lifecycle_rejected", with_views(["issue_changes"], f"select change_id, audit_id, issue_id, rejected from {_VERDICT} where rejected is not null"))
