@@ -17,36 +17,62 @@ def lineage(audits: DataFrame) -> DataFrame:
     Older records carry no kind: there a new version starts when the source changes.
     With ``c`` = legacy versions so far, the running maximum version is
     ``c + max(0, explicit - c at that point)``, which gives the number without a loop.
+
+    Running values are taken per dataset and day, then carried over a table of days, so a
+    dataset that holds most of the history is still worked on by many tasks.
     """
-    return query(
-        f"""
-        with kept as (
-          select *, audit_kind in ({items(fixed.AUDIT_KINDS_VERSION)}) and dataset_version > 0 as explicit
-          from {{audits}} where audit_kind is null or audit_kind not in ({items(fixed.AUDIT_KINDS_RERUN)})
-        ), seen as (
-          select *, row_number() over (partition by dataset_name order by created_at, audit_id) = 1 as opening,
-            last_value(source, true) over (partition by dataset_name order by created_at, audit_id
-              rows between unbounded preceding and 1 preceding) as last_source
-          from kept
-        ), stepped as (
-          select *, not coalesce(explicit, false) and (opening or (source is not null and source is distinct from last_source))
-            as starts from seen
-        ), counted as (
-          select *, count_if(starts) over (partition by dataset_name order by created_at, audit_id) as c from stepped
-        ), numbered as (
-          select *, if(explicit, cast(dataset_version as bigint), c + greatest(0L, coalesce(max(if(explicit, dataset_version - c, null))
-            over (partition by dataset_name order by created_at, audit_id), 0L))) as number
-          from counted
-        ), firsts as (
-          select *, row_number() over (partition by dataset_name, number order by created_at, audit_id) as nth
-          from numbered where explicit or starts
-        )
-        select dataset_name, audit_id, created_at, source,
-          row_number() over (partition by dataset_name order by number) as version
-        from firsts where nth = 1
-        """,
+    local = query(
+        f"""with kept as (
+              select dataset_name, audit_id, created_at, source, to_date(created_at) as day, cast(dataset_version as bigint) as wanted,
+                coalesce(audit_kind in ({items(fixed.AUDIT_KINDS_VERSION)}) and dataset_version > 0, false) as explicit
+              from {{audits}} where audit_kind is null or audit_kind not in ({items(fixed.AUDIT_KINDS_RERUN)})
+            )
+            select *, row_number() over w as place, last_value(source, true) over (partition by dataset_name, day
+              order by created_at, audit_id rows between unbounded preceding and 1 preceding) as source_before
+            from kept window w as (partition by dataset_name, day order by created_at, audit_id)""",
         audits=audits,
     )
+    started = query(
+        """with days as (
+             select dataset_name, day, max_by(source, struct(created_at, audit_id)) filter (where source is not null) as closing
+             from {local} group by dataset_name, day
+           ), carried as (
+             select dataset_name, day, row_number() over (partition by dataset_name order by day) = 1 as first_day,
+               last_value(closing, true) over (partition by dataset_name order by day rows between unbounded preceding and 1 preceding) as carry
+             from days
+           ), marked as (
+             select l.*, not l.explicit and ((c.first_day and l.place = 1)
+               or (l.source is not null and l.source is distinct from coalesce(l.source_before, c.carry))) as starts
+             from {local} l join carried c on c.dataset_name = l.dataset_name and c.day = l.day
+           ), counted as (
+             select *, count_if(starts) over (partition by dataset_name, day order by created_at, audit_id) as c from marked
+           )
+           select *, max(if(explicit, wanted - c, null)) over (partition by dataset_name, day order by created_at, audit_id) as lead
+           from counted""",
+        local=local,
+    )
+    return query(
+        """with days as (
+             select dataset_name, day, count_if(starts) as c, max(lead) as lead from {started} group by dataset_name, day
+           ), summed as (
+             select *, coalesce(sum(c) over (partition by dataset_name order by day rows between unbounded preceding and 1 preceding), 0L)
+               as c_before from days
+           ), carried as (
+             select dataset_name, day, c_before, max(lead - c_before) over (partition by dataset_name order by day
+               rows between unbounded preceding and 1 preceding) as lead_before from summed
+           ), numbered as (
+             select s.*, if(s.explicit, s.wanted,
+               d.c_before + s.c + greatest(0L, coalesce(d.lead_before, 0L), coalesce(s.lead - d.c_before, 0L))) as number
+             from {started} s join carried d on d.dataset_name = s.dataset_name and d.day = s.day
+           ), firsts as (
+             select dataset_name, number, min_by(struct(audit_id, created_at, source), struct(created_at, audit_id)) as row
+             from numbered where explicit or starts group by dataset_name, number
+           )
+           select dataset_name, row.audit_id, row.created_at, row.source,
+             row_number() over (partition by dataset_name order by number) as version
+           from firsts""",
+        started=started,
+    )
 
 
 def current_version(audits: DataFrame) -> DataFrame:

@@ -37,13 +37,22 @@ def _first_line(spark: SparkSession, path: str, encoding: str) -> str:
     return (row["line"] or "").lstrip("﻿")
 
 
+def _has_broken_lines(spark: SparkSession, path: str) -> bool:
+    """Does a record run over several lines?  Then some line has an odd number of quotes."""
+    quotes = "(length(value) - length(replace(value, '\"', ''))) % 2 = 1"
+    return not spark.read.text(path).where(quotes).isEmpty()
+
+
 def read_csv(
-    spark: SparkSession, path: str, encoding: str | None = None, na_tokens: tuple[str, ...] = fixed.NA_TOKENS
+    spark: SparkSession, path: str, encoding: str | None = None, na_tokens: tuple[str, ...] = fixed.NA_TOKENS,
+    multi_line: bool | None = None,
 ) -> DataFrame:
     """Read a CSV with a header as text columns, missing-value tokens as null.
 
     Types are inferred later by the profile, over all rows.  Without an encoding UTF-8 is
-    tried on the header and Latin-1 used when it does not decode.
+    tried first and Latin-1 used when some line does not decode.  Files whose records stay
+    on one line are split and read in parallel; ``multi_line`` says so when the caller
+    knows, otherwise a pass over the lines finds out.
     """
     try:
         line = _first_line(spark, path, encoding or "UTF-8")
@@ -52,12 +61,15 @@ def read_csv(
     except Exception as problem:
         raise IngestionError(f"cannot read {path}: {problem}") from problem
     if encoding is None:
-        encoding = "ISO-8859-1" if "�" in line else "UTF-8"
+        decoded = spark.read.text(path).where("contains(value, '\ufffd')").isEmpty()
+        encoding = "UTF-8" if decoded else "ISO-8859-1"
         line = _first_line(spark, path, encoding)
+    if multi_line is None:
+        multi_line = _has_broken_lines(spark, path)
     columns = check_header(next(csv.reader([line]), []))
     schema = T.StructType([T.StructField(column, T.StringType()) for column in columns])
     reader = spark.read.option("header", True).option("enforceSchema", True).option("encoding", encoding)
-    reader = reader.option("multiLine", False).option("escape", '"').option("mode", "PERMISSIVE")
+    reader = reader.option("multiLine", multi_line).option("escape", '"').option("mode", "PERMISSIVE")
     return normalise_na(reader.csv(path, schema=schema), na_tokens)
 
 

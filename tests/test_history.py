@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 from dqspark import Options, Rule, audit
 from dqspark.operators import alerts, contracts, drift, lifecycle, profile, remediate, reports, versions
 from dqspark.plans import clean
@@ -23,6 +25,29 @@ def test_lineage_explicit_legacy_and_mixed(spark):
     assert {r[0]: r[1] for r in versions.current_version(audits).collect()} == {"d": 3, "l": 4}
 
 
+def test_lineage_equals_a_loop(spark):
+    rng = random.Random(5)
+    kinds = {"legacy": [None, "rerun", "audit"], "explicit": ["version_import", "dataset_import", "rerun"], "mixed": [None, "version_import", "rerun"]}
+    rows, wanted = [], {}
+    for d in range(60):
+        choices, now, last, versions_seen = kinds[rng.choice(list(kinds))], 0, None, {}
+        for t in range(rng.randint(1, 12)):
+            now += rng.choice([1000, 50000, 200000])
+            kind, source = rng.choice(choices), rng.choice([None, "x", "y", "z"])
+            explicit = rng.randint(1, 5) if kind in ("version_import", "dataset_import") else None
+            rows.append((f"d{d}", f"a{d}-{t:02d}", now, kind, explicit, source))
+            if explicit:
+                versions_seen.setdefault(explicit, rows[-1][1])
+                last = source or last
+            elif kind != "rerun" and (not versions_seen or (source and source != last)):
+                versions_seen[max(versions_seen, default=0) + 1] = rows[-1][1]
+                last = source
+        wanted |= {(f"d{d}", place): versions_seen[n] for place, n in enumerate(sorted(versions_seen), 1)}
+    audits = spark.createDataFrame(rows, "dataset_name string, audit_id string, t int, audit_kind string, dataset_version int, source string")
+    found = versions.lineage(audits.selectExpr("*", "timestamp_seconds(t) as created_at")).collect()
+    assert {(r["dataset_name"], r["version"]): r["audit_id"] for r in found} == wanted
+
+
 def test_drift_status(spark):
     rows = []
     for version, columns in ((1, {"a": "text", "b": "numeric"}), (2, {"a": "numeric", "b": "numeric", "c": "text"}),

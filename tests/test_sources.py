@@ -16,9 +16,16 @@ def test_csv(spark, tmp_path):
     assert [tuple(r) for r in df.orderBy("id").collect()] == [("1", "Zoë", None), ("2", "a,b", None), ("3", None, "x")]
 
 
+def test_csv_record_over_two_lines(spark, tmp_path):
+    path = write(tmp_path / "m.csv", b'id,note\n1,"a\nb"\n2,"say ""hi"""\n')
+    assert [tuple(r) for r in readers.read_csv(spark, path).orderBy("id").collect()] == [("1", "a\nb"), ("2", 'say "hi"')]
+
+
 def test_csv_latin1(spark, tmp_path):
     path = write(tmp_path / "b.csv", "id,prénom\n1,Zoë\n".encode("latin-1"))
     assert readers.read_csv(spark, path).first()["prénom"] == "Zoë"
+    path = write(tmp_path / "c.csv", "id,name\n1,Zoe\n2,Zoë\n".encode("latin-1"))
+    assert sorted(r["name"] for r in readers.read_csv(spark, path).collect()) == ["Zoe", "Zoë"]
 
 
 @pytest.mark.parametrize("text", [b"id,id\n1,2\n", b"id,,x\n1,2,3\n", b" , \n1,2\n", b""])
