@@ -44,6 +44,15 @@ def matches(text: str, pattern: str) -> str:
     return f"({text} rlike {lit(pattern)})"
 
 
+def missing_in(value: str, dtype: T.DataType) -> str:
+    """Missing for a column of any type: only text can be blank, only floats can be NaN."""
+    if is_text_type(dtype):
+        return missing(stripped(value))
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return f"({value} is null or isnan({value}))"
+    return f"({value} is null)"
+
+
 # Patterns are tried only on texts that can match, by first character or length: most
 # values then never leave their byte form.
 def _opens(text: str, low: int, high: int) -> str:

@@ -80,7 +80,7 @@ def predicate(rule: Rule, types: dict[str, T.DataType], options: Options = DEFAU
         return "true"
     value, dtype = name(rule.column_name), types[rule.column_name]
     text = values.text_of(value, dtype)
-    absent = values.missing(text)
+    absent = values.missing_in(value, dtype)
     present = f"not {absent}"
     if kind == "unique":
         return None

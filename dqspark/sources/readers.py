@@ -37,10 +37,15 @@ def _first_line(spark: SparkSession, path: str, encoding: str) -> str:
     return (row["line"] or "").lstrip("﻿")
 
 
-def _has_broken_lines(spark: SparkSession, path: str) -> bool:
-    """Does a record run over several lines?  Then some line has an odd number of quotes."""
-    quotes = "(length(value) - length(replace(value, '\"', ''))) % 2 = 1"
-    return not spark.read.text(path).where(quotes).isEmpty()
+def _survey_lines(spark: SparkSession, path: str):
+    """One pass over the lines: is any not UTF-8, and does a record run over several lines?
+
+    In the second case some line has an odd number of quotes.
+    """
+    return spark.read.text(path).selectExpr(
+        "coalesce(bool_or(not is_valid_utf8(value)), false) as foreign",
+        "coalesce(bool_or((length(value) - length(replace(value, '\"', ''))) % 2 = 1), false) as broken",
+    ).first()
 
 
 def read_csv(
@@ -60,12 +65,13 @@ def read_csv(
         raise
     except Exception as problem:
         raise IngestionError(f"cannot read {path}: {problem}") from problem
-    if encoding is None:
-        decoded = spark.read.text(path).where("contains(value, '\ufffd')").isEmpty()
-        encoding = "UTF-8" if decoded else "ISO-8859-1"
-        line = _first_line(spark, path, encoding)
-    if multi_line is None:
-        multi_line = _has_broken_lines(spark, path)
+    if encoding is None or multi_line is None:
+        seen = _survey_lines(spark, path)
+        if encoding is None and seen["foreign"]:
+            encoding = "ISO-8859-1"
+            line = _first_line(spark, path, encoding)
+        multi_line = seen["broken"] if multi_line is None else multi_line
+    encoding = encoding or "UTF-8"
     columns = check_header(next(csv.reader([line]), []))
     schema = T.StructType([T.StructField(column, T.StringType()) for column in columns])
     reader = spark.read.option("header", True).option("enforceSchema", True).option("encoding", encoding)
