@@ -565,7 +565,7 @@ def report_categories(spark, sf_dir):
 
 
 @register("rule_pass_rate_daily", with_views(["executions"], """select strftime(executed_at, '%Y-%m-%d') as day, count(*) as executions,
- round(count_if(outcome = 'passed') * 100.0::double / count(*), 1) as pass_rate from executions group by 1"""))
+ round_even(count_if(outcome = 'passed') * 100.0::double / count(*), 1) as pass_rate from executions group by 1"""))
 def rule_pass_rate_daily(spark, sf_dir):
     return reports.daily_pass_rate(view(spark, sf_dir, "executions")).selectExpr("cast(day as string) as day", "executions", "pass_rate")
 
