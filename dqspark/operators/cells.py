@@ -65,17 +65,21 @@ class Layout:
         return f"element_at(array({values.items(self.columns)}), ord + 1)"
 
 
-def cells(df: DataFrame, layout: Layout, only: list[str] | None = None, parse: bool = True) -> DataFrame:
+def cells(
+    df: DataFrame, layout: Layout, only: list[str] | None = None, parse: bool = True, render: bool = True
+) -> DataFrame:
     """(by..., ord, raw, text [, num, plain, ts]) for every value of the chosen columns.
 
-    ``text`` is stripped, ``num`` ignores thousands commas, ``plain`` does not.
+    ``text`` is stripped, ``num`` ignores thousands commas, ``plain`` does not.  Without
+    ``render`` the text of typed columns is left null, for passes that read numbers only.
     """
     entries = []
     for column in layout.columns:
         if only is not None and column not in only:
             continue
         dtype, value = layout.types[column], name(column)
-        entry = f"{layout.ordinal(column)} as ord, {values.rendered(value, dtype)} as raw"
+        shown = values.rendered(value, dtype) if render or layout.kind(column) == "text" else "cast(null as string)"
+        entry = f"{layout.ordinal(column)} as ord, {shown} as raw"
         if parse:
             number = values.number_of(value, dtype) if values.is_number_type(dtype) else "cast(null as double)"
             moment = values.timestamp_of(value, dtype) if values.is_time_type(dtype) else "cast(null as timestamp)"

@@ -181,7 +181,7 @@ def outlier_measures(df: DataFrame, layout: Layout, measures: DataFrame, options
     if not facts["ords"]:
         fields = [f"cast(null as {part.split()[1]}) as {part.split()[0]}" for part in NO_OUTLIERS.split(", ")]
         return measures.where("false").selectExpr(*layout.slices, "ord", *fields)
-    long = cells(df, layout, [layout.columns[i] for i in facts["ords"]])
+    long = cells(df, layout, [layout.columns[i] for i in facts["ords"]], render=False)
     readings = "struct('num' as reading, num as x)"
     if facts["commas"]:
         readings += ", struct('plain' as reading, plain as x)"
