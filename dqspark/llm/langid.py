@@ -19,12 +19,13 @@ from .common import field, with_batches
 
 UNKNOWN = "und"
 #: Bounds of the training sample: texts per language, characters of each, bytes of a dictionary.
-SAMPLE_TEXTS, SAMPLE_CHARS, DICTIONARY_BYTES = 256, 512, 98_304
+SAMPLE_TEXTS, SAMPLE_CHARS, DICTIONARY_BYTES = 256, 128, 32_768
 #: Bytes compressed at once.  Short enough that the dictionary, not the text before, explains a chunk.
-CHUNK = 2048
-LEVEL = 3
+CHUNK = 4096
+#: Appended to each chunk: a block that doesn't shrink would be stored raw, the same for every language.
+FILLER = b" " + b"0" * 64
 #: A text is rejected when the runner-up needs less than this share of bytes more.
-MIN_MARGIN = 0.004
+MIN_MARGIN = 0.002
 #: Share of the code-length difference that counts as evidence; chunks of one text are not independent.
 EVIDENCE = 0.25
 #: More labels than this are no languages; training on them is refused.
@@ -60,17 +61,22 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
 def classifier(model: dict[str, bytes], min_margin: float = MIN_MARGIN):
     """A function from texts to (languages, scores, margins, rejected)."""
     names = sorted(name for name, content in model.items() if len(content) >= 8)
+    # matches of four bytes, short chains, and tables no larger than a dictionary needs
+    setting = zstandard.ZstdCompressionParameters(
+        compression_level=3, strategy=zstandard.STRATEGY_GREEDY, min_match=4, search_log=3, window_log=16, hash_log=14, chain_log=14,
+        write_content_size=False, write_checksum=False, write_dict_id=False,
+    )
     coders = []
     for name in names:
         content = zstandard.ZstdCompressionDict(model[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        content.precompute_compress(level=LEVEL)
-        coders.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False))
+        content.precompute_compress(compression_params=setting)
+        coders.append(zstandard.ZstdCompressor(compression_params=setting, dict_data=content))
 
     def one(text: str | None):
         data = letters(text)
         if not data or not names:
             return UNKNOWN, 0.0, 0.0, True
-        chunks = [data[i : i + CHUNK] for i in range(0, len(data), CHUNK)]
+        chunks = [data[i : i + CHUNK] + FILLER for i in range(0, len(data), CHUNK)]
         sizes = [sum(len(coder.compress(chunk)) for chunk in chunks) for coder in coders]
         best = min(range(len(names)), key=sizes.__getitem__)
         rest = [size for i, size in enumerate(sizes) if i != best]
