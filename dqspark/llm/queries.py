@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, langid, simhash
+from . import bpe, decontam, langid, simhash
 from .registry import register, table
 
 
@@ -32,3 +32,27 @@ def bpe_digests(spark, sf_dir):
 def simhash_components(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+DECONTAM_SQL = r"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
+i as (select cast(item_id as varchar) item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark),
+win as (select distinct item, least(len(w), 10) n, array_to_string(w[p:p + 9], ' ') g from (select item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) p from i where len(w) > 0)),
+sizes as (select distinct n from win),
+pos as (select doc_id, w, unnest(range(1, len(w) + 1)) p from d where len(w) > 0),
+occ as (select doc_id, p, s.n, array_to_string(w[p:p + s.n - 1], ' ') g from pos, sizes s where p + s.n - 1 <= len(w)),
+hit as (select doc_id, p, n, item from occ join win using (n, g)),
+words as (select doc_id, count(distinct q) n_hit from (select doc_id, unnest(range(p, p + n)) q from hit) group by 1),
+its as (select doc_id, count(*) n_items, string_agg(item, ',' order by item) ids from (select distinct doc_id, item from hit) group by 1)
+select doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+from d left join words using (doc_id) left join its using (doc_id)
+"""
+
+
+@register("op8_decontaminate", DECONTAM_SQL)
+def benchmark_hits(spark, sf_dir):
+    found = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
