@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, simhash
+from . import bpe, decontam, langid, pii, simhash
 from .registry import register, table
 
 
@@ -56,3 +56,39 @@ def benchmark_hits(spark, sf_dir):
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+PII_SQL = r"""
+with t as (select doc_id, coalesce(text, '') x from documents),
+k(kind, nr, words) as (values ('email', 0, ''), ('ip', 1, ''), ('card', 2, ''), ('phone', 3, ''), ('iban', 4, ''), ('ssn', 5, 'ssn|social security')),
+m as (select doc_id, kind, nr, words, case nr BY_KIND end f, case nr SPLIT_BY_KIND end p from t, k),
+e as (select doc_id, kind, nr, words, p, unnest(f) v, unnest(range(1, len(f) + 1)) i, list_transform(f, lambda z: length(z)) fl, list_transform(p, lambda z: length(z)) pl from m where len(f) > 0),
+s as (select doc_id, kind, nr, v, regexp_replace(v, '[^0-9]', '', 'g') d, replace(v, ' ', '') c, coalesce(list_sum(fl[1:i - 1]), 0) + list_sum(pl[1:i]) a,
+  words, lower(right(p[i], 40) || ' ' || left(p[i + 1], 40)) near from e),
+ok as (select *, a + length(v) z from s where case kind
+  when 'ip' then list_bool_and(list_transform(string_split(v, '.'), lambda o: length(ltrim(o, '0')) <= 3 and cast('0' || right(ltrim(o, '0'), 3) as int) <= 255))
+  when 'card' then LUHN
+  when 'phone' then length(d) between 9 and 15
+  when 'iban' then list_reduce(list_prepend(0, list_transform(string_split(substr(c, 5) || left(c, 4), ''), lambda o: case when o between '0' and '9' then cast(o as int) else ascii(o) - 55 end)), lambda g, o: (g * (case when o > 9 then 100 else 10 end) + o) % 97) = 1
+  when 'ssn' then regexp_matches(near, words) else true end)
+select doc_id, coalesce(n_email, 0) n_email, coalesce(n_ip, 0) n_ip, coalesce(n_card, 0) n_card, coalesce(n_phone, 0) n_phone, sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans
+from t left join (select doc_id, count(*) filter (kind = 'email') n_email, count(*) filter (kind = 'ip') n_ip, count(*) filter (kind = 'card') n_card, count(*) filter (kind = 'phone') n_phone,
+  string_agg(concat(kind, ':', cast(a as bigint), ':', cast(z as bigint)), ',' order by nr, a) filter (nr < 4) base, string_agg(concat(kind, ':', cast(a as bigint), ':', cast(z as bigint)), ',' order by nr, a) spans from ok group by 1) using (doc_id)
+"""
+PATTERNS = (
+    r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", r"[0-9](?:[\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]",
+    r"\b[A-Z]{2}[0-9]{2}(?:(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?|[A-Z0-9]{11,30})\b", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+)
+PII_SQL = (
+    PII_SQL.replace("SPLIT_BY_KIND", " ".join(f"when {i} then regexp_split_to_array(x, '{p}')" for i, p in enumerate(PATTERNS)))
+    .replace("BY_KIND", " ".join(f"when {i} then regexp_extract_all(x, '{p}')" for i, p in enumerate(PATTERNS)))
+    .replace("LUHN", "length(d) between 13 and 19 and list_sum([case when (length(d) - i) % 2 = 0 then cast(d[i] as int) when cast(d[i] as int) * 2 > 9 then cast(d[i] as int) * 2 - 9 else cast(d[i] as int) * 2 end for i in range(1, length(d) + 1)]) % 10 = 0")
+)
+
+
+@register("op5_pii", PII_SQL)
+def personal_data(spark, sf_dir):
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    base, every = [F.col(f"pii.{k}") for k in pii.BASE], [F.col(f"pii.{k.name}") for k in pii.KINDS]
+    counts = [F.size(F.col(f"pii.{k}")).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(base).cast("binary"), 256).alias("base_sha256"), pii.listed(every).alias("spans"))
