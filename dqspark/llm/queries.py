@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from . import bpe, decontam, langid, pii, simhash
+from . import chat as chat_format
 from .registry import register, table
 
 
@@ -92,3 +93,30 @@ def personal_data(spark, sf_dir):
     base, every = [F.col(f"pii.{k}") for k in pii.BASE], [F.col(f"pii.{k.name}") for k in pii.KINDS]
     counts = [F.size(F.col(f"pii.{k}")).cast("long").alias(f"n_{k}") for k in pii.BASE]
     return found.select("doc_id", *counts, F.sha2(pii.listed(base).cast("binary"), 256).alias("base_sha256"), pii.listed(every).alias("spans"))
+
+
+CHAT_SQL = r"""
+with c as (select conv_id, turn, coalesce(role, '') r, coalesce(text, '') x from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e as (select *, lag(r) over w p, length(replace(x, '\', '\\')) + len(regexp_extract_all(replace(replace(x, '\', '\\'), '<<', '<' || chr(1) || '<'), '[\[][/]?INST\]|\[INST:|\[TURN\]|</?s>|<\||<\x01<SYS>|<\x01</SYS>|</SYS>')) n,
+  length(r) + 2 * len(regexp_extract_all(r, '[\[\]<%]')) m
+  from c window w as (partition by conv_id order by turn, r, x))
+select conv_id, count(*) n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' order by turn, r, x)) turns_sha256,
+  coalesce(sum(length(x)) filter (r = 'assistant'), 0)::bigint loss_chars, sha256(coalesce(string_agg(x, '' order by turn, r, x) filter (r = 'assistant'), '')) loss_sha256,
+  sum(n + case when p = r then 6 else 6 + m + 1 + 7 end)::bigint formatted_chars
+from e group by 1
+"""
+
+
+@register("op4_chat", CHAT_SQL)
+def chat(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    made = chat_format.format_conversations(rows.unionByName(more))
+    read = made.select("conv_id", chat_format.read_back(F.col("formatted")).alias("turns"), chat_format.loss_text(F.col("segments")).alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), "formatted_chars",
+    )
