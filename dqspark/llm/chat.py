@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound
+
 OPEN, NAMED, NEXT, CLOSE = "[INST:", "]", "[TURN]", "[/INST]"
 #: What must not appear in a text: the marks here, and those of common other templates.
 CONTROL = r"([\[<])(?=INST:|TURN\]|/?INST\]|/?s>|\||<SYS>|</SYS>)"
@@ -43,11 +45,6 @@ def unescape_role(role: Column) -> Column:
     return role
 
 
-def bound(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def blocks(turns: Column) -> Column:
     """Merge neighbours of one role: array of (role, texts), aggregated over sorted turns."""
     none = F.array().cast("array<struct<role:string,texts:array<string>>>")

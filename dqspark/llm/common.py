@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import pin, shared_folder
 
-__all__ = ["field", "lower_ascii", "pin", "shared_folder", "with_batches"]
+__all__ = ["bound", "field", "lower_ascii", "pin", "shared_folder", "with_batches"]
 
 SLICE = 256
 
@@ -54,3 +54,8 @@ def with_batches(
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, everything else as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]

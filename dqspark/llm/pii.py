@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound
+
 #: Characters before and after a match in which its kind's words are looked for.
 AROUND = 40
 #: A span whose score is lower is not reported, unless its kind is always reported.
@@ -60,11 +62,6 @@ KINDS = (
 BASE = ("email", "ip", "card", "phone")
 
 
-def bound(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, however often the body names it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def offsets(pieces: Column, found: Column) -> Column:
     """Where each match starts: lengths of what stands before it, summed in blocks of 64."""
 

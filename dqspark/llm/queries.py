@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, pii, simhash
+from . import bpe, decontam, langid, pii, quality, simhash
 from . import chat as chat_format
 from .registry import register, table
 
@@ -120,3 +120,25 @@ def chat(spark, sf_dir):
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines.cast("binary"), 256).alias("turns_sha256"),
         F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), "formatted_chars",
     )
+
+
+QUALITY_SQL = r"""
+with t as (select doc_id, coalesce(text, '') x from documents),
+w as (select doc_id, x, regexp_extract_all(x, '[^\x20\x09-\x0D]+') w, list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) l from t),
+g as (select doc_id, p, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] g from (select doc_id, w, unnest(range(1, len(w) - 1)) p from w)),
+r as (select doc_id, count(distinct q) n from (select doc_id, unnest([p, p + 1, p + 2]) q from (select doc_id, p, count(*) over (partition by doc_id, g) c from g) where c > 1) group by 1),
+o as (select doc_id, list_distinct(l) o, l, w, x from w),
+k as (select doc_id, w, x, l, o, list_filter(o, lambda s: not (len(regexp_extract_all(s, '\|')) >= 2
+    or regexp_matches(s, '(?i)^\s*(?:home|menu|login|log in|sign up|next|previous|read more|share|back to top|skip to content)\s*$')
+    or len(regexp_extract_all(s || ' ', '(?:[#*$%&|<>]|[!?][!?])[\x20\x09-\x0D]')) > 0.3 * len(regexp_extract_all(s, '[^\x20\x09-\x0D]+'))
+    or regexp_matches(s, '(?i)all rights reserved|cookie policy|privacy policy|terms of (?:use|service)|subscribe to|javascript (?:is )?(?:disabled|required)|powered by|click here'))) f from o),
+b as (select doc_id, len(w) n_words, length(array_to_string(w, '')) word_chars, len(regexp_extract_all(x, '[#*$%&|<>]')) n_symbols, len(l) - len(o) n_dup_lines, coalesce(n, 0) n_repeat_words,
+  length(array_to_string(f, '')) / nullif(length(array_to_string(l, '')), 0) left_share from k left join r using (doc_id))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed,
+  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and coalesce(left_share, 0) >= 0.5 kept from b
+"""
+
+
+@register("op7_quality", QUALITY_SQL)
+def quality_rules(spark, sf_dir):
+    return quality.judge(table(spark, sf_dir, "documents"), keeps=["doc_id"]).drop("clean_text", "left_share")
