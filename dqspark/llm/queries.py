@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, pii, quality, simhash
+from . import bpe, decontam, langid, pii, quality, simhash, urls
 from . import chat as chat_format
 from .registry import register, table
 
@@ -142,3 +142,12 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 @register("op7_quality", QUALITY_SQL)
 def quality_rules(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents"), keeps=["doc_id"]).drop("clean_text", "left_share")
+
+
+#: Longest wins; the contract's rules.
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+@register("op9_urls")
+def url_verdicts(spark, sf_dir):
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES, keeps=["page_id"]).drop("score")
