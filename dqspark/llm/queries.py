@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, pii, quality, simhash, urls
+from . import bpe, decontam, html, langid, pii, quality, simhash, urls
 from . import chat as chat_format
 from .registry import register, table
 
@@ -151,3 +151,10 @@ URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/"
 @register("op9_urls")
 def url_verdicts(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES, keeps=["page_id"]).drop("score")
+
+
+@register("op10_html")
+def page_texts(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    found = html.extract(pages, html.train(pages), keeps=["page_id", "url"])
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
