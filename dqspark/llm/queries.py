@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html, langid, pii, quality, simhash, urls
+from . import bpe, decontam, html, langid, licenses, pii, quality, simhash, urls
 from . import chat as chat_format
 from .registry import register, table
 
@@ -158,3 +158,11 @@ def page_texts(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     found = html.extract(pages, html.train(pages), keeps=["page_id", "url"])
     return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
+@register("op1_licenses")
+def license_scan(spark, sf_dir):
+    """Each document is a file in a directory of its source and language."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licenses.scan(docs.select("doc_id", path.alias("path"), "text"))
