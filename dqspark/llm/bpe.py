@@ -21,7 +21,7 @@ from .common import field, with_batches
 #: Entries of the tables of known words and fragments, kept by a task; they are emptied when full.
 KNOWN = 200_000
 #: Characters below this are normalised and split by rules built here; others by the library's own normaliser.
-PLAIN = 0x250
+PLAIN = 0x180
 
 
 def byte_symbols() -> list[str]:

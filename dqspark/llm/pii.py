@@ -116,9 +116,10 @@ def redact(docs: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KINDS)
 
     Texts without spans, null ones included, stay as they are.
     """
-    names = [kind.name for kind in kinds]
-    found = find(docs, text, kinds, "_pii")
-    ordered = F.array_sort(F.transform(F.concat(*[F.col(f"_pii.{n}") for n in names]), lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind"))))
+    # the given columns stand apart in a struct, so that no name of theirs meets one made here
+    given = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"))
+    spans = F.concat(*[F.col(f"pii.{kind.name}") for kind in kinds])
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind"))))
     none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
 
     def join(merged, span):
@@ -126,15 +127,13 @@ def redact(docs: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KINDS)
         wider = F.struct(last.start.alias("start"), F.greatest(last.end, span.end).alias("end"), last.kind.alias("kind"))
         return F.when(F.size(merged) == 0, F.array(span)).when(span.start < last.end, F.concat(F.slice(merged, 1, F.size(merged) - 1), F.array(wider))).otherwise(F.concat(merged, F.array(span)))
 
-    merged = F.aggregate(ordered, none, join)
-    found = found.withColumn("_spans", F.when(F.size(ordered) > 0, merged))
-
-    def cut(spans):
+    def cut(merged):
         def part(span, i):
-            before = F.when(i == 0, 0).otherwise(F.get(spans, i - 1).end)
-            return F.concat(F.substring(F.col(text), before + 1, span.start - before), F.lit("["), F.upper(span.kind), F.lit("]"))
+            before = F.when(i == 0, 0).otherwise(F.get(merged, i - 1).end)
+            return F.concat(F.substring(F.col("text"), before + 1, span.start - before), F.lit("["), F.upper(span.kind), F.lit("]"))
 
-        return F.concat(F.array_join(F.transform(spans, part), ""), F.substring(F.col(text), F.element_at(spans, -1).end + 1, F.length(F.col(text))))
+        return F.concat(F.array_join(F.transform(merged, part), ""), F.substring(F.col("text"), F.element_at(merged, -1).end + 1, F.length(F.col("text"))))
 
-    clean = F.when(F.col("_spans").isNull(), F.col(text)).otherwise(bound(F.col("_spans"), cut))
-    return found.withColumn(text, clean).select(docs.columns)
+    found = find(given, "text", kinds)
+    clean = F.when(F.size(spans) > 0, bound(F.aggregate(ordered, none, join), cut)).otherwise(F.col("text"))
+    return found.select(F.col("row").withField(text, clean).alias("row")).select("row.*")

@@ -26,6 +26,7 @@ NAVIGATION = r"(?i)^\s*(?:home|menu|login|log in|sign up|next|previous|read more
 BOILERPLATE = r"(?i)all rights reserved|cookie policy|privacy policy|terms of (?:use|service)|subscribe to|javascript (?:is )?(?:disabled|required)|powered by|click here"
 #: Least share of the text of a document, in characters of lines, that must be left.
 LEAST_LEFT = 0.5
+ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "clean_text", "left_share", "base_failed", "kept")
 
 
 def words_of(text: Column) -> Column:
@@ -73,15 +74,18 @@ def judge(docs: DataFrame, text: str = "text", keeps: list[str] | None = None) -
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(whole, "\n", -1), lambda line: F.btrim(line, F.lit(BLANKS)) != "")
-    base = docs.select(*[F.col(c) for c in (docs.columns if keeps is None else keeps)], whole.alias("_text"), words_of(whole).alias("_words"), lines.alias("_lines"))
-    first = base.withColumn("_once", F.array_distinct("_lines"))
-    left = first.withColumn("_left", F.filter("_once", lambda line: line_fails(line).isNull()))
+    kept = [c for c in (docs.columns if keeps is None else keeps) if c not in ADDED]
+    # the given columns stand apart in a struct, so that no name of theirs meets one made here
+    base = docs.select(F.struct(*kept).alias("row"), whole.alias("text"), words_of(whole).alias("words"), lines.alias("lines"))
+    first = base.withColumn("once", F.array_distinct("lines"))
+    left = first.withColumn("left", F.filter("once", lambda line: line_fails(line).isNull()))
     chars = lambda c: F.length(F.array_join(c, ""))
-    out = left.withColumns({
-        "n_words": F.size("_words").cast("long"), "word_chars": chars("_words").cast("long"),
-        "n_symbols": F.regexp_count("_text", F.lit(SYMBOL)).cast("long"), "n_dup_lines": (F.size("_lines") - F.size("_once")).cast("long"),
-        "n_repeat_words": repeated_words(F.col("_words")).cast("long"), "clean_text": F.array_join("_left", "\n"),
-        "left_share": chars("_left") / F.nullif(chars("_lines"), F.lit(0)),
-    })
+    out = left.select(
+        "row", F.size("words").cast("long").alias("n_words"), chars("words").cast("long").alias("word_chars"),
+        F.regexp_count("text", F.lit(SYMBOL)).cast("long").alias("n_symbols"), (F.size("lines") - F.size("once")).cast("long").alias("n_dup_lines"),
+        repeated_words(F.col("words")).cast("long").alias("n_repeat_words"), F.array_join("left", "\n").alias("clean_text"),
+        (chars("left") / F.nullif(chars("lines"), F.lit(0))).alias("left_share"),
+    )
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.coalesce("left_share", F.lit(0.0)) >= LEAST_LEFT)).drop("_text", "_words", "_lines", "_once", "_left")
+    judged = out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.coalesce("left_share", F.lit(0.0)) >= LEAST_LEFT))
+    return judged.select("row.*", *ADDED)

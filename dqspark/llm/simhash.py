@@ -206,4 +206,5 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     found = near_duplicates(docs, key, text)
     chosen = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(name.alias("_key")).distinct()
     # the semi join and the removal of repeated keys share one exchange and one sort
-    return docs.withColumn("_key", name).join(chosen, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
+    given = docs.select(F.struct(*docs.columns).alias("row"), name.alias("_key"))
+    return given.join(chosen, "_key", "left_semi").dropDuplicates(["_key"]).select("row.*")

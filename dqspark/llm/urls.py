@@ -18,6 +18,8 @@ ORDER, STRENGTH, SLOTS = 4, 4.0, 4096
 #: One in so many judged URLs is kept for calibration; thresholds are tried in steps of this size up to this size.
 HELD_OUT, STEP, WIDEST = 4, 0.02, 4.0
 
+ADDED = ("host", "path", "rule", "score", "verdict")
+
 
 def host_path(url: Column) -> tuple[Column, Column]:
     """Host (ASCII letters in lower case) and path; both empty for a null URL or one without ``://``."""
@@ -102,7 +104,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", keep
     Rows are judged alone, so ties and repeated rows need no rule.
     """
     host, path = host_path(F.col(url))
-    parts = pages.select(*[F.col(c) for c in (pages.columns if keeps is None else keeps) if c not in ("host", "path", "rule", "score", "verdict")], host.alias("host"), path.alias("path"))
+    kept = [c for c in (pages.columns if keeps is None else keeps) if c not in ADDED]
+    # the given columns stand apart in a struct, so that no name of theirs meets one made here
+    parts = pages.select(F.struct(*kept).alias("row"), host.alias("host"), path.alias("path"))
     rule, says = rule_of(F.col("host"), F.col("path"), rules)
     lined = parts.withColumns({"rule": rule, "_says": says, "_line": shown(F.col("host"), F.col("path"))})
     judged = lined.where("_says is not null").select(F.col("_line").alias("line"), (F.col("_says") == "block").alias("bad"))
@@ -116,7 +120,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", keep
     cut = threshold(judged.where(held).select("bad", score(F.col("line"), tables).alias("score"))) if usable else -float("inf")
     scored = lined.withColumn("score", F.when(F.col("_says").isNull(), score(F.col("_line"), tables)))
     verdict = F.coalesce("_says", F.when(F.col("score") >= cut, "allow").otherwise("block"))
-    return scored.withColumn("verdict", verdict).drop("_says", "_line")
+    return scored.withColumn("verdict", verdict).select("row.*", *ADDED)
 
 
 def threshold(held: DataFrame) -> float:
