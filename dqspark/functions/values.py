@@ -80,13 +80,18 @@ def has_date_mark(text: str) -> str:
 
 
 def rendered(value: str, dtype: T.DataType) -> str:
-    """A value as text: numbers in plain notation, nested values as JSON, NaN as null."""
+    """A value as text, nested values as JSON, NaN as null.
+
+    Numbers are in plain notation from 1e-13 to 1e16, beyond that with an exponent.
+    """
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         number = f"cast({value} as double)"
         wide = f"regexp_replace(cast(cast({number} as decimal(38,10)) as string), '(?<=[.][0-9]{{1,10}})0+$', '')"
+        small = f"regexp_replace(cast(cast(cast({value} as string) as decimal(38,30)) as string), '0+$', '')"
         return (
             f"case when isnan({number}) then null"
             f" when abs({number}) >= 1e7 and abs({number}) < 1e16 then {wide}"
+            f" when abs({number}) < 1e-3 and abs({number}) >= 1e-13 then {small}"
             f" else cast({value} as string) end"
         )
     if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):

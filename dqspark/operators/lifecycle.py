@@ -73,29 +73,55 @@ def judge_changes(issues: DataFrame, changes: DataFrame) -> DataFrame:
     )
 
 
+# What an accepted change sets, one row per field and change, with the value before it.
+_EVENTS = """with accepted as (
+    select *, row_number() over (partition by audit_id, issue_id order by changed_at, change_id) as nth
+    from {judged}
+    where rejected is null and (kind = 'apply' or coalesce(status, owner, severity, resolution_note, resolution_evidence) is not null)
+  ), events as (
+    select audit_id, issue_id, change_id, changed_at, kind, actor_name, e.*
+    from accepted lateral view inline(filter(array(
+      named_struct('field_name', 'status', 'initial', old_status, 'value', case when kind = 'apply' then 'fixed' when status is not null then status
+        when nth = 1 and old_status = 'reopened' then 'reopened' end),
+      named_struct('field_name', 'owner', 'initial', old_owner, 'value', if(kind = 'apply', coalesce(actor_name, 'Workspace team'), owner)),
+      named_struct('field_name', 'severity', 'initial', old_severity, 'value', if(kind = 'apply', null, severity)),
+      named_struct('field_name', 'resolution_note', 'initial', old_note, 'value', if(kind = 'apply', if(category = 'privacy', null, concat('Applied recommendation: ', recommendation)), resolution_note)),
+      named_struct('field_name', 'resolution_evidence', 'initial', old_evidence, 'value', if(kind = 'apply', null, resolution_evidence))
+    ), x -> x.value is not null)) e
+  ), stored as (
+    select *, if(field_name = 'status' and value = 'reopened', 'open', value) as kept from events
+  )
+  select *, coalesce(lag(kept) over (partition by audit_id, issue_id, field_name order by changed_at, change_id), initial) as previous_value
+  from stored"""
+
+
+def field_events(judged: DataFrame) -> DataFrame:
+    """Accepted changes by field: value set, value kept (``open`` for ``reopened``) and value before.
+
+    An applied recommendation sets the status, the owner (who applied it) and, but for
+    privacy, the note.  The first update of an issue stored as ``reopened`` opens it.
+    """
+    return query(_EVENTS, judged=judged)
+
+
 def change_activities(judged: DataFrame) -> DataFrame:
-    """Activity rows of the accepted changes, one per field (L1).
+    """Activity rows of the accepted changes (L1): one per field whose value an update changes.
 
-    A reopened issue gets a second row, as it returns to ``open``.
+    A reopened issue gets a second row, as it returns to ``open``; an applied
+    recommendation has one row for all it sets.
     """
     return query(
-        """select audit_id, issue_id, f.action, f.field_name, f.previous_value, f.new_value, f.note, actor_name, changed_at as created_at
-           from {judged} lateral view inline(filter(array(
-             if(kind = 'apply', struct('recommendation_applied' as action, 'status' as field_name, status_before as previous_value,
-               'fixed' as new_value, coalesce(if(category = 'privacy', note_so_far, null), concat('Applied recommendation: ', recommendation)) as note), null),
-             if(kind = 'update' and status is distinct from status_before and status is not null,
-               struct('field_updated' as action, 'status' as field_name, status_before as previous_value, status as new_value, cast(null as string) as note), null),
-             if(kind = 'update' and status = 'reopened',
-               struct('reopened' as action, 'status' as field_name, cast(null as string) as previous_value, 'open' as new_value, cast(null as string) as note), null),
-             if(kind = 'update' and owner is distinct from old_owner and owner is not null,
-               struct('field_updated' as action, 'owner' as field_name, old_owner as previous_value, owner as new_value, cast(null as string) as note), null),
-             if(kind = 'update' and severity is distinct from old_severity and severity is not null,
-               struct('field_updated' as action, 'severity' as field_name, old_severity as previous_value, severity as new_value, cast(null as string) as note), null),
-             if(kind = 'update' and resolution_note is distinct from old_note and resolution_note is not null,
-               struct('field_updated' as action, 'resolution_note' as field_name, old_note as previous_value, resolution_note as new_value, cast(null as string) as note), null)
-           ), x -> x is not null)) f
-           where rejected is null""",
-        judged=judged,
+        """select audit_id, issue_id, 'field_updated' as action, field_name, previous_value, value as new_value, cast(null as string) as note,
+             actor_name, changed_at as created_at
+           from {events} where kind = 'update' and value is distinct from previous_value
+           union all
+           select audit_id, issue_id, 'reopened', 'status', null, 'open', null, actor_name, changed_at
+           from {events} where kind = 'update' and field_name = 'status' and value = 'reopened'
+           union all
+           select audit_id, issue_id, 'recommendation_applied', 'status', 'open', 'fixed',
+             if(category = 'privacy', note_so_far, concat('Applied recommendation: ', recommendation)), actor_name, changed_at
+           from {judged} where rejected is null and kind = 'apply'""",
+        events=field_events(judged), judged=judged,
     )
 
 
@@ -106,27 +132,20 @@ def rejected_changes(judged: DataFrame) -> DataFrame:
 def current_issues(issues: DataFrame, judged: DataFrame) -> DataFrame:
     """Issues after all accepted changes: the last value of each field wins (L3, L4).
 
-    An applied recommendation clears the affected rows; ``reopened`` becomes ``open``.
+    An applied recommendation clears the affected rows.
     """
+    last = ", ".join(
+        f"max_by(kept, struct(changed_at, change_id)) filter (where field_name = '{field}') as {field}" for field in FIELDS
+    )
     return query(
-        """with state as (
-             select audit_id, issue_id,
-               max_by(if(kind = 'apply', 'fixed', status), struct(changed_at, change_id)) filter (where kind = 'apply' or status is not null) as status,
-               max_by(owner, struct(changed_at, change_id)) filter (where owner is not null) as owner,
-               max_by(severity, struct(changed_at, change_id)) filter (where severity is not null) as severity,
-               max_by(resolution_note, struct(changed_at, change_id)) filter (where resolution_note is not null) as resolution_note,
-               max_by(resolution_evidence, struct(changed_at, change_id)) filter (where resolution_evidence is not null) as resolution_evidence,
-               bool_or(kind = 'apply') as applied, max(changed_at) as updated_at
-             from {judged} where rejected is null group by audit_id, issue_id
+        f"""with state as (
+             select audit_id, issue_id, {last}, bool_or(kind = 'apply') as applied, max(changed_at) as updated_at
+             from {{events}} group by audit_id, issue_id
            )
-           select i.* except (status, owner, severity, resolution_note, resolution_evidence, affected_rows, affected_rate),
-             if(s.status = 'reopened', 'open', coalesce(s.status, i.status)) as status, coalesce(s.owner, i.owner) as owner,
-             coalesce(s.severity, i.severity) as severity,
-             case when s.applied and i.category <> 'privacy' then concat('Applied recommendation: ', i.recommendation)
-               else coalesce(s.resolution_note, i.resolution_note) end as resolution_note,
-             coalesce(s.resolution_evidence, i.resolution_evidence) as resolution_evidence,
+           select i.* except ({', '.join(FIELDS)}, affected_rows, affected_rate),
+             {', '.join(f'coalesce(s.{field}, i.{field}) as {field}' for field in FIELDS)},
              if(coalesce(s.applied, false), 0L, i.affected_rows) as affected_rows,
              if(coalesce(s.applied, false), 0D, i.affected_rate) as affected_rate, s.updated_at
-           from {issues} i left join state s on s.audit_id = i.audit_id and s.issue_id = i.id""",
-        issues=issues, judged=judged,
+           from {{issues}} i left join state s on s.audit_id = i.audit_id and s.issue_id = i.id""",
+        issues=issues, events=field_events(judged),
     )

@@ -17,6 +17,8 @@ PATTERN_MEASURE = {
     "email": "emails", "phone_number": "phones", "network_identifier": "addresses", "payment_card": "cards",
 }
 PRESENT = "(row_count - missing_count)"
+# How values of a sensitivity are to be published.
+MASKING = {"critical": "tokenize", "high": "mask", "medium": "generalize", "low": "none"}
 
 
 def _when(test: str, turn: int, label: str, sensitivity: str, confidence: str) -> str:
@@ -70,7 +72,7 @@ def with_finding(measures: DataFrame, layout: Layout, name_match: str = "substri
         f"if({exempt}, null, array_max(filter(array({', '.join(candidates)}), c -> c is not null))) as best",
         f"array_distinct(filter(array({', '.join(reasons)}), r -> r is not null)) as why",
     )
-    advice = values.lookup("best.classification", fixed.MASKING_ADVICE)
+    advice = values.lookup("best.sensitivity", MASKING)
     return chosen.selectExpr(
         "* except (best, why)",
         "case when best is not null then named_struct('classification', best.classification,"

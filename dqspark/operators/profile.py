@@ -18,7 +18,7 @@ from ..functions import fixed, names, values
 from ..functions.values import lit, py_round, ratio
 from ..session import pin, small_side
 from . import privacy
-from .cells import DIGEST_ABOVE, Layout, aggregate, cells, counting_key, side_by_side, value_counts, with_names
+from .cells import DIGEST_ABOVE, Layout, aggregate, cells, counting_key, key_order, side_by_side, value_counts, with_names
 from .duplicates import duplicate_counts
 from .quantiles import exact_quantiles
 
@@ -108,7 +108,7 @@ def distinct_measures(df: DataFrame, layout: Layout, only: list[str] | None = No
 def raw_distinct(df: DataFrame, layout: Layout, only: list[str]) -> DataFrame:
     """Distinct unstripped values, needed only for columns that hold padded values."""
     long = cells(df, layout, only, parse=False).where("text <> ''")
-    kept = long.selectExpr(*layout.slices, "ord", f"{counting_key('raw')} as value").distinct()
+    kept = long.selectExpr(*layout.slices, "ord", f"if(char_length(raw) > {DIGEST_ABOVE}, {counting_key('raw')}, concat('=', raw)) as value").distinct()
     return aggregate(kept, [*layout.by, "ord"], raw_unique="count(1)")
 
 
@@ -176,7 +176,7 @@ def outlier_measures(df: DataFrame, layout: Layout, measures: DataFrame, options
         f"(inferred_type = 'numeric' and numbers >= 4) or (not {skipped} and plain_numbers >= 8)"
     )
     facts = wanted.selectExpr(
-        "collect_set(ord) as ords", "coalesce(max(numbers <> plain_numbers), false) as commas", "max(numbers) as largest"
+        "collect_set(ord) as ords", "coalesce(max(numbers <> plain_numbers), false) as commas",
     ).first()
     if not facts["ords"]:
         fields = [f"cast(null as {part.split()[1]}) as {part.split()[0]}" for part in NO_OUTLIERS.split(", ")]
@@ -187,7 +187,7 @@ def outlier_measures(df: DataFrame, layout: Layout, measures: DataFrame, options
         readings += ", struct('plain' as reading, plain as x)"
     numbers = long.selectExpr(*layout.slices, "ord", f"inline(array({readings}))").where("x is not null")
     keyed = [*keys, "reading"]
-    bounds = pin(exact_quantiles(numbers, keyed, [0.25, 0.5, 0.75], int(facts["largest"])))
+    bounds = pin(exact_quantiles(numbers, keyed, [0.25, 0.5, 0.75]))
     reach = f"{IQR_REACH}D * (q2 - q0)"
     counted = aggregate(
         numbers.join(small_side(bounds.where("q2 <> q0")), keyed), keyed,
@@ -359,13 +359,13 @@ def top_values(
 ) -> DataFrame:
     """(by..., column, value, n, place): the k most frequent stripped values.
 
-    Ties go to the smaller value.  Long values are ranked by digest and their text is
-    fetched afterwards, for the k winners only.
+    Ties go to the smaller value; long values that begin alike are taken by digest.  The
+    text of long values is fetched afterwards, for the k winners only.
     """
     layout = Layout.of(df, by or [], columns)
     keys = [*layout.by, "ord"]
-    best = pin(first_in_order(value_counts(df, layout), keys, "n desc, value", k))
-    hidden = best.where("startswith(value, 'sha256:') and char_length(value) = 71")
+    best = pin(first_in_order(value_counts(df, layout), keys, f"n desc, {key_order('value')}", k))
+    hidden = best.where("startswith(value, ' ')")
     ords = [r[0] for r in hidden.select("ord").distinct().collect()]
     if ords:
         long = cells(df, layout, [layout.columns[i] for i in ords], parse=False).where(

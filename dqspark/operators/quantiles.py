@@ -1,11 +1,10 @@
-"""Exact quantiles (linear interpolation) of many groups, in bounded memory.
-
-``percentile`` keeps every distinct value of a group in one buffer, so it is used only
-for groups proven small.  A larger group is narrowed first: a fixed-size sketch gives
-two values that bracket the wanted rank, one count pass says how many values lie below
-and between them, and this repeats on the bracket until what is left is small or a
-single value fills the rank.  Each pass is one aggregate over the group keys; nothing
-is sorted or gathered.
+"""Exact quantiles (linear interpolation) of many groups, in bounded memory, by counting.
+
+Values are counted in buckets that keep their order: a first pass over buckets of equal
+ratio, later ones over buckets of equal width within the bucket that holds a wanted rank.
+Each bucket also keeps its smallest and largest value; where they are equal, the rank is
+found.  All ranks of all probabilities share the passes, which are one partial aggregate
+each, so nothing is sorted or gathered and every group size takes the same way.
 """
 
 from __future__ import annotations
@@ -17,151 +16,75 @@ from pyspark.sql import functions as F
 
 from ..session import pin, small_side
 
-SMALL = 1_000_000
-SKETCH = 10_000
+# Buckets per doubling of the first pass, and buckets of each later pass.
+PER_DOUBLING = 16
+BUCKETS = 4096
+# First-pass bucket of the smallest positive double is 1; infinity lies beyond all others.
+OFFSET = 1074 * PER_DOUBLING + 1
+OUTERMOST = 1_000_000
 
 
 def exact_quantiles(
-    numbers: DataFrame, keys: list[str], probabilities: list[float], largest: int | None = None, small: int = SMALL
+    numbers: DataFrame, keys: list[str], probabilities: list[float], buckets: int = BUCKETS,
 ) -> DataFrame:
-    """(keys..., n, q0, q1, ...) for the non-null ``x`` of each group.
+    """(keys..., n, q0, q1, ...) for the non-null ``x`` of each group; NaN counts as null.
 
-    ``largest`` is the size of the largest group when the caller knows it.
+    Infinite values count like any other.  ``buckets`` changes the number of passes only.
     """
     by = [F.col(k) for k in keys]
-    numbers = numbers.where(F.col("x").isNotNull())
-    if largest is None:
-        top = numbers.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-        largest = int(top or 0)
-    labels = [f"q{i}" for i in range(len(probabilities))]
-    if largest <= small:
-        found = numbers.groupBy(*by).agg(
-            F.count("*").alias("n"), F.percentile("x", F.array(*[F.lit(float(p)) for p in probabilities])).alias("q")
-        )
-        return found.select(*by, "n", *[F.element_at("q", i + 1).alias(label) for i, label in enumerate(labels)])
-    sizes = numbers.groupBy(*by).agg(F.count("*").alias("n"))
-    sizes = pin(sizes)
-    out = sizes
-    for p, label in zip(probabilities, labels, strict=True):
-        place = (F.col("n") - 1) * F.lit(float(p))
-        low, high = F.floor(place), F.ceil(place)
-        wanted = sizes.select(*by, F.explode(F.array_distinct(F.array(low, high))).alias("rank"))
-        picked = _at_rank(numbers, keys, wanted, small)
-        pair = (
-            sizes.select(*by, "n", place.alias("place"))
-            .join(picked, keys)
-            .groupBy(*by)
-            .agg(
-                F.min_by("x", "rank").alias("a"),
-                F.max_by("x", "rank").alias("b"),
-                F.max(F.col("place") - F.floor("place")).alias("w"),
-            )
-            .select(*by, (F.col("a") + (F.col("b") - F.col("a")) * F.col("w")).alias(label))
-        )
-        out = out.join(pair, keys, "left")
-    return pin(out)
-
-
-def _at_rank(numbers: DataFrame, keys: list[str], wanted: DataFrame, small: int) -> DataFrame:
-    """(keys..., rank, x): the value at each 0-based rank of its group."""
-    by = [F.col(k) for k in keys]
-    unbounded = float("inf")
-    # State per wanted rank: it lies among the ``inside`` values strictly between ``lo``
-    # and ``hi``, with ``below`` values at or under ``lo``.
-    state = pin(
-        wanted.join(numbers.groupBy(*by).agg(F.count("*").alias("inside")), keys).select(
-            *by, "rank", F.lit(-unbounded).alias("lo"), F.lit(unbounded).alias("hi"), F.lit(0).cast("long").alias("below"),
-            "inside",
-        )
-    )
-    answers = []
+    numbers = numbers.select(*by, F.expr("nanvl(x, null)").alias("x")).where("x is not null")
+    size = f"floor(log2(abs(x)) * {PER_DOUBLING}D) + {OFFSET}"
+    bucket = f"cast(case when x = 0 then 0 when abs(x) = double('infinity') then sign(x) * {OUTERMOST} else sign(x) * ({size}) end as int)"
+    first = _counted(numbers.select(*by, F.expr(bucket).alias("bucket"), "x"), keys)
+    first = pin(first)
+    sizes = first.groupBy(*by).agg(F.sum("n").alias("total"))
+    ranks = F.array_distinct(F.flatten(F.array(*[
+        F.array(F.floor((F.col("total") - 1) * F.lit(float(p))), F.ceil((F.col("total") - 1) * F.lit(float(p)))) for p in probabilities
+    ])))
+    state = sizes.select(*by, F.explode(ranks).alias("rank"))
+    state = pin(_holding(_running(first, keys), state.withColumn("offset", F.col("rank")), keys))
+    found = [state.where("low = high")]
     while True:
-        big = state.where(F.col("inside") > small)
-        if big.isEmpty():
+        state = state.where("low < high")
+        if state.isEmpty():
             break
-        answers.append(_finish(numbers, keys, state.where(F.col("inside") <= small)))
-        inside = _within(numbers, keys, big)
-        share = (F.col("rank") - F.col("below") + 0.5) / F.col("inside")
-        slack = F.lit(2.0 / SKETCH)
-        # The sketch takes constant probabilities only: bracket on a fixed grid of 1001
-        # points, whose rank error is at most 1 / SKETCH.
-        grid = [i / 1000 for i in range(1001)]
-        sketch = inside.groupBy(*by, "rank").agg(
-            F.percentile_approx("x", grid, SKETCH).alias("points"), F.first("below").alias("below"),
-            F.first("inside").alias("inside"), F.first("lo").alias("lo"), F.first("hi").alias("hi"),
-        )
-        left = F.greatest(F.floor((share - slack) * 1000).cast("int"), F.lit(0)) + 1
-        right = F.least(F.ceil((share + slack) * 1000).cast("int"), F.lit(1000)) + 1
-        bracket = sketch.select(
-            *by, "rank", "below", "inside", "lo", "hi",
-            F.element_at("points", left).alias("a"), F.element_at("points", right).alias("b"),
-        )
-        bracket = pin(bracket)
-        counted = (
-            _within(numbers, keys, bracket)
-            .groupBy(*by, "rank")
-            .agg(
-                F.first("below").alias("below"), F.first("lo").alias("lo"), F.first("hi").alias("hi"),
-                F.first("a").alias("a"), F.first("b").alias("b"),
-                F.count_if(F.col("x") < F.col("a")).alias("under_a"),
-                F.count_if(F.col("x") == F.col("a")).alias("at_a"),
-                F.count_if((F.col("x") > F.col("a")) & (F.col("x") < F.col("b"))).alias("between"),
-                F.count_if(F.col("x") == F.col("b")).alias("at_b"),
-                F.count_if(F.col("x") > F.col("b")).alias("over_b"),
-            )
-        )
-        offset = F.col("rank") - F.col("below")
-        first_a = F.col("under_a")
-        after_a = first_a + F.col("at_a")
-        after_mid = after_a + F.col("between")
-        after_b = after_mid + F.when(F.col("a") < F.col("b"), F.col("at_b")).otherwise(F.lit(0))
-        counted = pin(counted.withColumn("offset", offset))
-        exact = counted.select(
-            *by, "rank",
-            F.when((F.col("offset") >= first_a) & (F.col("offset") < after_a), F.col("a"))
-            .when((F.col("offset") >= after_mid) & (F.col("offset") < after_b), F.col("b")).alias("x"),
-        ).where(F.col("x").isNotNull())
-        answers.append(exact)
-        # Whichever open interval holds the rank becomes the next bracket.
-        case = (
-            F.when(F.col("offset") < first_a, F.struct(F.col("lo"), F.col("a").alias("hi"), F.col("below"), first_a.alias("inside")))
-            .when(
-                (F.col("offset") >= after_a) & (F.col("offset") < after_mid),
-                F.struct(F.col("a").alias("lo"), F.col("b").alias("hi"), (F.col("below") + after_a).alias("below"), F.col("between").alias("inside")),
-            )
-            .when(
-                F.col("offset") >= after_b,
-                F.struct(F.col("b").alias("lo"), F.col("hi"), (F.col("below") + after_b).alias("below"), F.col("over_b").alias("inside")),
-            )
-        )
-        state = pin(counted.select(*by, "rank", case.alias("s")).where(F.col("s").isNotNull()).select(*by, "rank", "s.*"))
-    answers.append(_finish(numbers, keys, state))
-    return reduce(DataFrame.unionByName, answers)
-
-
-def _within(numbers: DataFrame, keys: list[str], state: DataFrame) -> DataFrame:
-    """Values inside each rank's bracket.  ``state`` has a few rows per group."""
-    return numbers.join(small_side(state), keys).where((F.col("x") > F.col("lo")) & (F.col("x") < F.col("hi")))
-
-
-def _finish(numbers: DataFrame, keys: list[str], state: DataFrame) -> DataFrame:
-    """Pick the rank in brackets of at most ``SMALL`` values."""
-    by = [F.col(k) for k in keys]
-    held = (
-        _within(numbers, keys, state)
-        .groupBy(*by, "rank", "below", "x")
-        .agg(F.count("*").alias("copies"))
-        .groupBy(*by, "rank", "below")
-        .agg(F.array_sort(F.collect_list(F.struct("x", "copies"))).alias("values"))
-    )
-    # Walk the sorted values until the copies seen so far pass the wanted offset.
-    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("x"))
-    offset = F.col("rank") - F.col("below")
-    walked = F.aggregate(
-        "values", start,
-        lambda acc, v: F.struct(
-            (acc["seen"] + v["copies"]).alias("seen"),
-            F.when(acc["x"].isNull() & (offset < acc["seen"] + v["copies"]), v["x"]).otherwise(acc["x"]).alias("x"),
-        ),
-    )
-    return held.select(*by, "rank", walked["x"].alias("x"))
+        # Ranks in one bucket share its bounds, so a value meets each open bucket once.
+        opened = small_side(pin(state.select(*by, "low", "high").distinct()))
+        inside = numbers.join(opened, keys).where("x between low and high") if keys else numbers.join(opened, F.col("x").between(F.col("low"), F.col("high")))
+        # Halves keep the width finite for bounds of opposite sign.
+        place = f"if(x = low, 0, if(x = high, {buckets}, least(cast(floor((x / 2 - low / 2) / (high / 2 - low / 2) * {buckets}D) as int), {buckets})))"
+        inner = [*keys, "low", "high"]
+        counts = _counted(inside.select(*inner, F.expr(place).alias("bucket"), "x"), inner).withColumnsRenamed({"low": "from", "high": "to"})
+        renamed = state.withColumnsRenamed({"low": "from", "high": "to"})
+        state = pin(_holding(_running(counts, [*keys, "from", "to"]), renamed, [*keys, "from", "to"]).select(*by, "rank", "offset", "low", "high"))
+        found.append(state.where("low = high"))
+    values = reduce(DataFrame.unionByName, [f.select(*by, "rank", F.col("low").alias("x")) for f in found])
+    listed = values.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("rank", "x"))).alias("at"))
+    joined = sizes.join(listed, keys) if keys else sizes.join(listed)
+    return pin(joined.select(*by, F.col("total").alias("n"), *[F.expr(_between(p)).alias(f"q{i}") for i, p in enumerate(probabilities)]))
+
+
+def _between(p: float) -> str:
+    """The value at a place between two ranks; equal neighbours, infinite ones too, are taken as they are."""
+    place = f"((total - 1) * {float(p)!r}D)"
+    low, high = f"element_at(at, floor{place})", f"element_at(at, ceil{place})"
+    return f"if({low} = {high}, {low}, (ceil{place} - {place}) * {low} + ({place} - floor{place}) * {high})"
+
+
+def _counted(bucketed: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., bucket, n, least, most) of each bucket."""
+    return bucketed.groupBy(*keys, "bucket").agg(F.count("*").alias("n"), F.min("x").alias("least"), F.max("x").alias("most"))
+
+
+def _running(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Add ``before``: values in lower buckets.  A group has a bounded number of buckets."""
+    part = f"partition by {', '.join(f'`{k}`' for k in keys)}" if keys else ""
+    return counts.withColumn("before", F.expr(f"sum(n) over ({part} order by bucket) - n"))
+
+
+def _holding(counts: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """Each wanted rank with the bucket that holds it: low, high, and its offset within."""
+    holds = (F.col("offset") >= F.col("before")) & (F.col("offset") < F.col("before") + F.col("n"))
+    met = wanted.join(counts, keys).where(holds) if keys else wanted.join(counts, holds)
+    rest = [c for c in wanted.columns if c not in ("offset",)]
+    return met.select(*rest, (F.col("offset") - F.col("before")).alias("offset"), F.col("least").alias("low"), F.col("most").alias("high"))

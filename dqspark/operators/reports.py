@@ -324,3 +324,20 @@ def purge_stale(audits: DataFrame, snapshots: DataFrame) -> tuple[DataFrame, Dat
     """(kept, dropped) audits by whether their source snapshot still exists."""
     live = snapshots.select("audit_id").distinct()
     return audits.join(live, "audit_id", "left_semi"), audits.join(live, "audit_id", "left_anti")
+
+
+def refresh_pointers(datasets: DataFrame, kept: DataFrame) -> DataFrame:
+    """Datasets with their newest audit left, or reset to ``registered`` when none is.
+
+    ``datasets``: dataset_name, status.  ``kept``: audits after a purge.
+    """
+    return query(
+        """with newest as (
+             select dataset_name, max_by(struct(audit_id, row_count, column_count, score, issue_count), struct(created_at, audit_id)) as a
+             from {kept} group by dataset_name
+           )
+           select d.dataset_name, a.audit_id as latest_audit_id, coalesce(a.row_count, 0L) as record_count, coalesce(a.column_count, 0L) as column_count,
+             a.score as quality_score, coalesce(a.issue_count, 0L) as issue_count, if(a.audit_id is null, 'registered', d.status) as status
+           from {datasets} d left join newest n on n.dataset_name = d.dataset_name""",
+        datasets=datasets, kept=kept,
+    )

@@ -152,11 +152,11 @@ def _message(rule: Rule, types: dict) -> str:
 
 
 def execute_rules(
-    df: DataFrame, rules: list[Rule], by: list[str] | None = None, options: Options = DEFAULT
+    df: DataFrame, rules: list[Rule], by: list[str] | None = None, options: Options = DEFAULT, with_rows: bool = False
 ) -> DataFrame:
     """One row per (slice and) rule: outcome, affected rows and rate, message.
 
-    All row rules share one aggregate; unique rules share one value-frequency pass;
+    ``with_rows`` adds ``row_count``, the rows checked.  All row rules share one aggregate; unique rules share one value-frequency pass;
     duplicate-row rules share one digest pass.
     """
     layout = Layout.of(df, by or [])
@@ -192,7 +192,7 @@ def execute_rules(
     return rated.selectExpr(
         *layout.slices, "rule_id", "rule_name", "rule_type", "if(affected_rows > 0, 'failed', 'passed') as outcome",
         "affected_rows", f"{py_round('counted_rate', 4)} as affected_rate", f"{message} as message",
-        f"{options.now} as executed_at",
+        f"{options.now} as executed_at", *(["row_count"] if with_rows else []),
     )
 
 
@@ -211,7 +211,7 @@ def rule_issues(executions: DataFrame, rules: list[Rule], columns: list[str], by
         "concat(rule_name, ' failed') as title",
         f"{pick(lambda r: f'array({lit(r.column_name)})' if r.column_name else all_columns)} as columns",
         "affected_rows", "affected_rate",
-        f"{pick(lambda r: lit(r.recommendation or fixed.RULE_ADVICE[r.rule_type]))} as recommendation",
+        f"{pick(lambda r: lit(r.recommendation or f'repair:{r.rule_type}'))} as recommendation",
         "1D as confidence", "'open' as status", "rule_id", "rule_name",
     )
 
@@ -226,27 +226,32 @@ def violations(df: DataFrame, rules: list[Rule], key: list[str], options: Option
     layout = Layout.of(df)
     types = dict(layout.types)
     keyed = [name(c) for c in key]
-    marks, parts = [], []
-    for rule in (validate_rule(r) for r in rules):
-        test = predicate(rule, types, options)
+    rules = [validate_rule(r) for r in rules]
+    tests = {r.id: predicate(r, types, options) for r in rules}
+    shares = [r for r in rules if r.rule_type == "missing_threshold" and r.column_name in types]
+    within = set()
+    if shares:
+        seen = df.selectExpr(*[f"coalesce(avg(if({tests[r.id]}, 1D, 0D)), 0D) as s{i}" for i, r in enumerate(shares)]).first()
+        within = {r.id for r, share in zip(shares, seen, strict=True) if share <= float(r.parameters.get("max_rate", 0))}
+    marks = [f"if({tests[r.id]}, {r.id}L, null)" for r in rules if tests[r.id] is not None and r.id not in within]
+    parts = []
+    if marks:
+        parts.append(df.selectExpr(*keyed, f"explode(filter(array({', '.join(marks)}), r -> r is not null)) as rule_id"))
+    unique = [r for r in rules if tests[r.id] is None and r.rule_type != "duplicate_rows"]
+    if unique:
+        # One pass counts the values of all unique columns, one more flags the rows that hold a repeated one.
+        repeated = value_counts(df, layout, sorted({r.column_name for r in unique})).where("value <> '' and n > 1").select("ord", "value")
+        held = ", ".join(
+            f"struct({layout.ordinal(r.column_name)} as ord, {counting_key(values.text_of(name(r.column_name), types[r.column_name]))} as value, {r.id}L as rule_id)"
+            for r in unique
+        )
+        flagged = df.selectExpr(*keyed, f"inline(array({held}))").join(repeated, ["ord", "value"], "left_semi")
+        parts.append(flagged.selectExpr(*keyed, "rule_id"))
+    for rule in rules:
         if rule.rule_type == "duplicate_rows":
             repeated = copies(df, layout).where("copies > 1").select("digest")
             flagged = df.selectExpr(*keyed, f"{row_digest(layout)} as digest").join(repeated, "digest", "left_semi")
             parts.append(flagged.selectExpr(*keyed, f"{rule.id}L as rule_id"))
-        elif test is None:
-            column = rule.column_name
-            repeated = value_counts(df, layout, [column]).where("value <> '' and n > 1").select("value")
-            value = counting_key(values.text_of(name(column), types[column]))
-            flagged = df.selectExpr(*keyed, f"{value} as value").join(repeated, "value", "left_semi")
-            parts.append(flagged.selectExpr(*keyed, f"{rule.id}L as rule_id"))
-        elif rule.rule_type == "missing_threshold" and rule.column_name in types:
-            limit = float(rule.parameters.get("max_rate", 0))
-            if (df.selectExpr(f"avg(if({test}, 1D, 0D))").first()[0] or 0.0) > limit:
-                marks.append(f"if({test}, {rule.id}L, null)")
-        else:
-            marks.append(f"if({test}, {rule.id}L, null)")
-    if marks:
-        parts.insert(0, df.selectExpr(*keyed, f"explode(filter(array({', '.join(marks)}), r -> r is not null)) as rule_id"))
     if not parts:
         return df.where("false").selectExpr(*keyed, "0L as rule_id")
     return reduce(DataFrame.unionByName, parts)
@@ -256,10 +261,9 @@ def dry_run(df: DataFrame, rule: Rule, options: Options = DEFAULT) -> DataFrame:
     """Try one rule without storing anything, with its estimated score impact."""
     weight = fixed.IMPACT_WEIGHT.get(rule.severity, 0.45)
     impact = py_round(f"affected_rate * 100D * {weight}D", 1)
-    run = execute_rules(df, [rule], options=options)
-    rows = df.selectExpr("count(1) as total_rows")
-    return side_by_side([], run, rows).selectExpr(
-        "outcome", "affected_rows", f"{py_round('affected_rate * 100D', 2)} as affected_percentage", "total_rows",
+    run = execute_rules(df, [rule], options=options, with_rows=True)
+    return run.selectExpr(
+        "outcome", "affected_rows", f"{py_round('affected_rate * 100D', 2)} as affected_percentage", "row_count as total_rows",
         "message", f"least(25D, {impact}) as estimated_score_impact",
     )
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions import fixed, values
 from ..functions.values import lit, name, py_round
@@ -155,6 +156,25 @@ def privacy_safe_context(profiles: DataFrame, by: list[str] | None = None) -> Da
     )
 
 
+def privacy_safe_issues(issues: DataFrame, by: list[str] | None = None, k: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Issue half of the privacy-safe context (S13): counts, and the first k issues without examples.
+
+    Counts are two maps per slice, by severity and by category.
+    """
+    by = by or []
+    counted = aggregate(issues, [*by, "severity", "category"], n="count(1)")
+    maps = {
+        f"by_{c}": f"map_from_entries(collect_list(struct({c}, n)) filter (where side = '{c}'))" for c in ("severity", "category")
+    }
+    sides = [aggregate(counted, [*by, c], n="sum(n)").selectExpr(*[name(b) for b in by], f"'{c}' as side", *[name(x) if x == c else f"cast(null as string) as {name(x)}" for x in ("severity", "category")], "n") for c in ("severity", "category")]
+    counts = aggregate(sides[0].unionByName(sides[1]), by, **maps)
+    order = f"{values.lookup('severity', fixed.SEVERITY_RANK)} desc, id"
+    shown = issues.drop("examples")
+    if by:
+        return counts, first_in_order(shown, by, order, k)
+    return counts, shown.orderBy(F.expr(values.lookup("severity", fixed.SEVERITY_RANK)).desc(), "id").limit(k)
+
+
 def readiness(issues: DataFrame, profiles: DataFrame, scores: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Can the table feed a model: blockers, warnings, unsuitable columns, score, level."""
     by = by or []

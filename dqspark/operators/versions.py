@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from ..functions import fixed
 from ..functions.values import items
+from ..session import pin
 from .history import query
 
 
@@ -32,6 +33,7 @@ def lineage(audits: DataFrame) -> DataFrame:
             from kept window w as (partition by dataset_name, day order by created_at, audit_id)""",
         audits=audits,
     )
+    local = pin(local)
     started = query(
         """with days as (
              select dataset_name, day, max_by(source, struct(created_at, audit_id)) filter (where source is not null) as closing
@@ -51,6 +53,7 @@ def lineage(audits: DataFrame) -> DataFrame:
            from counted""",
         local=local,
     )
+    started = pin(started)
     return query(
         """with days as (
              select dataset_name, day, count_if(starts) as c, max(lead) as lead from {started} group by dataset_name, day

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from ..operators.cells import side_by_side
+from ..operators.detect import in_severity_order
 from ..operators.profile import DEFAULT, Options
 from ..operators.remediate import Remediation, plan_actions, remediate
 from ..operators.rules import Rule
@@ -37,10 +38,11 @@ def preview(
 ) -> Preview:
     """Clean the table by the chosen issues and audit the outcome; nothing is written (M9).
 
-    The plan has a row per issue and is read to the driver; the data is not.
+    Actions run in the order of the audit, grave issues first.  The plan has a row per issue
+    and is read to the driver; the data is not.
     """
     chosen = set(issue_ids)
-    plan = [r for r in plan_actions(source.issues).orderBy("issue_id").collect() if r["issue_id"] in chosen]
+    plan = [r for r in plan_actions(in_severity_order(source.issues)).collect() if r["issue_id"] in chosen]
     cleaned = remediate(df, plan, **how)
     return Preview(cleaned, audit(cleaned.result, rules, options=options, context=context))
 

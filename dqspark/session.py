@@ -23,12 +23,16 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder every executor can reach.
 
-    It is the one the cluster names in ``spark.checkpoint.dir``; a temporary one is made
-    only where none is set, as in local tests.
+    It is the one the cluster names in ``spark.checkpoint.dir``.  In local mode, as in tests,
+    a temporary one is made where none is set; a cluster without one is refused, as its
+    executors would not see each other's files.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="dqspark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="dqspark-"))
     return context.getCheckpointDir()
 
 

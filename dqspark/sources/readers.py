@@ -11,6 +11,11 @@ from ..functions import fixed, values
 from ..functions.values import name
 
 
+#: Largest file, in bytes, that is read by one task unless the caller says so.
+WHOLE_FILE = 1 << 30
+ODD = "__odd_record"
+
+
 class IngestionError(ValueError):
     """A dataset that cannot be read safely."""
 
@@ -45,6 +50,7 @@ def _survey_lines(spark: SparkSession, path: str):
     return spark.read.text(path).selectExpr(
         "coalesce(bool_or(not is_valid_utf8(value)), false) as foreign",
         "coalesce(bool_or((length(value) - length(replace(value, '\"', ''))) % 2 = 1), false) as broken",
+        "max(_metadata.file_size) as largest",
     ).first()
 
 
@@ -57,7 +63,11 @@ def read_csv(
     Types are inferred later by the profile, over all rows.  Without an encoding UTF-8 is
     tried first and Latin-1 used when some line does not decode.  Files whose records stay
     on one line are split and read in parallel; ``multi_line`` says so when the caller
-    knows, otherwise a pass over the lines finds out.
+    knows, otherwise a pass over the lines finds out.  A file with records over several lines
+    is one task, so above ``WHOLE_FILE`` bytes the caller must ask for that.
+
+    All files must have the same header.  Rows with too few fields are padded with nulls;
+    a row with too many is refused when it is read.
     """
     try:
         line = _first_line(spark, path, encoding or "UTF-8")
@@ -70,13 +80,23 @@ def read_csv(
         if encoding is None and seen["foreign"]:
             encoding = "ISO-8859-1"
             line = _first_line(spark, path, encoding)
+        if multi_line is None and seen["broken"] and seen["largest"] > WHOLE_FILE:
+            raise IngestionError("a line has an unpaired quote; records over several lines in so large a file need multi_line=True")
         multi_line = seen["broken"] if multi_line is None else multi_line
     encoding = encoding or "UTF-8"
-    columns = check_header(next(csv.reader([line]), []))
-    schema = T.StructType([T.StructField(column, T.StringType()) for column in columns])
-    reader = spark.read.option("header", True).option("enforceSchema", True).option("encoding", encoding)
-    reader = reader.option("multiLine", multi_line).option("escape", '"').option("mode", "PERMISSIVE")
-    return normalise_na(reader.csv(path, schema=schema), na_tokens)
+    raw = next(csv.reader([line]), [])
+    columns = check_header(raw)
+    parsed = T.StructType([T.StructField(column, T.StringType()) for column in raw])
+    reader = spark.read.option("header", True).option("enforceSchema", False).option("encoding", encoding)
+    reader = reader.option("columnPruning", False).option("multiLine", multi_line).option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", ODD)
+    read = reader.csv(path, schema=parsed.add(ODD, "string"))
+    # An odd row has too few or too many fields; reading it with one more column tells which.
+    wider = ", ".join(f"c{i} string" for i in range(len(raw) + 1))
+    last = f"from_csv({name(ODD)}, '{wider}', map('escape', '\"', 'multiLine', '{str(multi_line).lower()}')).c{len(raw)}"
+    # The message names a data column only because Spark reads no odd records without one.
+    refuse = f"cast(raise_error(concat('a row has more than {len(raw)} fields', left(coalesce({name(raw[0])}, ''), 0))) as boolean)"
+    sound = read.where(f"if({name(ODD)} is null or {last} is null, true, {refuse})").drop(ODD)
+    return normalise_na(sound.toDF(*columns), na_tokens)
 
 
 def normalise_na(df: DataFrame, tokens: tuple[str, ...] = fixed.NA_TOKENS) -> DataFrame:
@@ -117,9 +137,11 @@ def validate_frame(df: DataFrame) -> DataFrame:
 
 
 def preview(df: DataFrame, limit: int = 10) -> DataFrame:
-    """The first rows, NaN shown as null."""
+    """The first ``limit`` rows, 1 to 50, NaN shown as null."""
+    if not 1 <= int(limit) <= 50:
+        raise ValueError("a preview has 1 to 50 rows")
     shown = df.selectExpr(*[
         f"nanvl({name(f.name)}, null) as {name(f.name)}" if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else name(f.name)
         for f in df.schema.fields
     ])
-    return shown.limit(max(1, min(int(limit), 50)))
+    return shown.limit(int(limit))

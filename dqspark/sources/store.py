@@ -51,19 +51,19 @@ class AuditStore:
 
     def audit(self, audit_id: str) -> DataFrame:
         """One audit's head row."""
-        return self.read("audits").where(f"audit_id = {lit(audit_id)}")
+        return self.live("audits").where(f"audit_id = {lit(audit_id)}")
 
     def list_audits(self, limit: int | None = None) -> DataFrame:
         """Audits, newest first."""
-        ordered = self.read("audits").orderBy("created_at", "audit_id", ascending=False)
+        ordered = self.live("audits").orderBy("created_at", "audit_id", ascending=False)
         return ordered.limit(limit) if limit else ordered
 
     def count_audits(self) -> int:
-        return self.read("audits").count()
+        return self.live("audits").count()
 
     def delete_audit(self, audit_id: str) -> int:
         """Hide an audit by writing a marker; readers drop marked audits."""
-        found = self.read("audits").where(f"audit_id = {lit(audit_id)}").count()
+        found = self.audit(audit_id).count()
         if found:
             self.spark.sql(f"select {lit(audit_id)} as audit_id, current_timestamp() as deleted_at").write.mode("append").parquet(
                 self.path("deleted_audits")

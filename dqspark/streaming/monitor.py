@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.values import lit, name
 from ..operators.cells import Layout
 from ..operators.profile import DEFAULT, Options
-from ..operators.rules import Rule, RuleError, execute_rules, predicate, validate_rule
+from ..operators.rules import Rule, RuleError, execute_rules, predicate, validate_rule, violations
 
 BATCH_ONLY = ("unique", "duplicate_rows", "missing_threshold")
 
@@ -24,10 +24,14 @@ def row_rules(rules: list[Rule]) -> list[Rule]:
 
 
 def watch_rules(
-    stream: DataFrame, rules: list[Rule], out: str, checkpoint: str, options: Options = DEFAULT, available_now: bool = True
+    stream: DataFrame, rules: list[Rule], out: str, checkpoint: str, options: Options = DEFAULT, available_now: bool = True,
+    key: list[str] | None = None, violations_out: str | None = None,
 ) -> StreamingQuery:
     """Check each micro-batch and write its rule counts to ``out/batch_id=N`` (T-1).
 
+    With ``key`` and ``violations_out`` the rows that break a rule are written as well, as
+    (key..., rule_id), below ``violations_out/batch_id=N``.
+
     A batch that is run again after a failure overwrites its own folder, so counts are
     exact.  No state is kept between batches.
     """
@@ -35,6 +39,8 @@ def watch_rules(
 
     def check(batch: DataFrame, number: int) -> None:
         execute_rules(batch, rules, options=options).write.mode("overwrite").parquet(f"{out}/batch_id={int(number)}")
+        if violations_out is not None:
+            violations(batch, rules, key or [], options).write.mode("overwrite").parquet(f"{violations_out}/batch_id={int(number)}")
 
     writer = stream.writeStream.foreachBatch(check).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -74,6 +80,14 @@ def write_windows(windows: DataFrame, out: str, checkpoint: str) -> StreamingQue
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def rule_filter(rule: Rule, columns: dict) -> str:
-    """Predicate text of one row rule, for use in other queries."""
-    return predicate(row_rules([rule])[0], columns) or lit(False)
+def open_windows(
+    df: DataFrame, rules: list[Rule], time_column: str, written: DataFrame, window: str = "1 day", options: Options = DEFAULT
+) -> DataFrame:
+    """The windows a bounded stream left open, counted from its table (T-2).
+
+    A stream writes a window once the watermark has passed its end, so the last ones of a
+    run that has ended are still held back.  ``written`` is what the stream wrote.
+    """
+    last = written.agg(F.max("window_start")).first()[0]
+    rest = df if last is None else df.where(F.col(time_column) >= F.lit(last) + F.expr(f"interval {window}"))
+    return windowed_failures(rest, rules, time_column, window, options=options)

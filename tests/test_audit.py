@@ -101,10 +101,28 @@ def test_scores_order(spark):
     assert scored(spark, context=ScoringContext("mission_critical"))["total_weighted_penalty"] > open_
 
 
-def test_quantiles_narrow_exactly(spark):
-    df = spark.range(0, 40000).selectExpr("id % 2 as g", "if(id % 3 = 0, 7D, cast(hash(id) % 1000 as double) / 10) as x")
-    wanted = exact_quantiles(df, ["g"], [0.25, 0.5, 0.9]).orderBy("g").collect()
-    assert exact_quantiles(df, ["g"], [0.25, 0.5, 0.9], small=50).orderBy("g").collect() == wanted
+def test_quantiles_are_exact_for_every_bucket_count(spark):
+    import numpy as np
+
+    inf = float("inf")
+    groups = {
+        0: [7.0] * 900 + [float(hash((i, 1)) % 1000) / 10 for i in range(2000)], 1: [*map(float, range(60)), *[-inf] * 40], 2: [inf, -inf, 0.0, -0.0],
+        3: [5e-324, 1e-323, -5e-324, 1.7e308, -1.7e308, 1e308], 4: [3.5], 5: [1 / 3 + i * 1e-16 for i in range(50)], 6: [-inf] * 5, 7: [float("nan"), 2.0, None, 4.0],
+    }
+    df = spark.createDataFrame([(g, x) for g, xs in groups.items() for x in xs], "g int, x double")
+    some = [0.0, 0.25, 0.5, 0.9, 1.0]
+    found = [{r["g"]: r for r in exact_quantiles(df, ["g"], some, buckets=b).collect()} for b in (4096, 3)]
+    assert found[0] == found[1]
+    for g, xs in groups.items():
+        kept = sorted(x for x in xs if x is not None and x == x)
+        assert found[0][g]["n"] == len(kept)
+        for i, p in enumerate(some):
+            place = (len(kept) - 1) * p
+            a, b = kept[int(np.floor(place))], kept[int(np.ceil(place))]
+            want = a if a == b else (np.ceil(place) - place) * a + (place - np.floor(place)) * b
+            assert found[0][g][f"q{i}"] == want, (g, p)
+    whole = exact_quantiles(df.where("g = 0"), [], [0.5]).first()
+    assert whole["q0"] == found[0][0]["q2"]
 
 
 def test_approximate_distinct_keeps_keys_exact(customers):

@@ -129,6 +129,96 @@ def test_lifecycle(spark):
     assert state["1"]["status"] == "fixed" and state["1"]["affected_rows"] == 0 and state["2"]["resolution_note"] == "done"
 
 
+def fold(issue, changes):
+    """Activities and end state of one issue, change by change, as a plain program would."""
+    state, log = dict(issue), []
+    fields = ("status", "owner", "severity", "resolution_note", "resolution_evidence")
+    for c in changes:
+        if c["kind"] == "apply":
+            if state["status"] == "fixed" or state["category"] == "privacy" and not (state["resolution_note"] and state["resolution_evidence"]):
+                continue
+            state.update(status="fixed", owner=c["actor_name"])
+            if state["category"] != "privacy":
+                state["resolution_note"] = f"Applied recommendation: {state['recommendation']}"
+            log.append(("recommendation_applied", "status", "open", "fixed"))
+            continue
+        given = {f: c[f] for f in fields if c[f] is not None}
+        if not given or given.get("status") in ("resolved", "fixed") and not (given.get("resolution_note") or state["resolution_note"]):
+            continue
+        for f, value in given.items():
+            if state[f] != value:
+                log.append(("field_updated", f, state[f], value))
+                state[f] = value
+        if state["status"] == "reopened":
+            state["status"] = "open"
+            log.append(("reopened", "status", None, "open"))
+    return log, [state[f] for f in fields]
+
+
+def test_lifecycle_equals_a_plain_fold(spark):
+    import random
+
+    draw = random.Random(11)
+    issues = [
+        {"audit_id": "a", "id": str(i), "category": draw.choice(["privacy", "validity"]), "severity": "high", "status": draw.choice(["open", "reopened", "fixed", "triaged"]),
+         "recommendation": "r", "resolution_note": None, "resolution_evidence": None, "owner": draw.choice([None, "A"]), "affected_rows": 3, "affected_rate": 0.5}
+        for i in range(60)
+    ]
+    maybe = lambda *options: draw.choice([None, None, *options])
+    changes = [
+        {"change_id": f"{n:04}", "audit_id": "a", "issue_id": str(draw.randrange(60)), "kind": draw.choice(["update", "update", "update", "apply"]),
+         "status": maybe("resolved", "fixed", "reopened", "open"), "owner": maybe("A", "B"), "severity": maybe("low", "high"), "resolution_note": maybe("n1", "n2"),
+         "resolution_evidence": maybe("e1", "e2"), "actor_name": draw.choice(["Ann", "Bob"]), "changed_at": n}
+        for n in range(700)
+    ]
+    for c in changes:
+        if c["kind"] == "apply":
+            c.update(status=None, owner=None, severity=None, resolution_note=None, resolution_evidence=None)
+    text = "status string, owner string, severity string, resolution_note string, resolution_evidence string"
+    left = spark.createDataFrame([tuple(i.values()) for i in issues], "audit_id string, id string, category string, severity string, status string, recommendation string, resolution_note string, resolution_evidence string, owner string, affected_rows long, affected_rate double")
+    right = spark.createDataFrame([tuple(c.values()) for c in changes], f"change_id string, audit_id string, issue_id string, kind string, {text}, actor_name string, n long").selectExpr("* except (n)", "timestamp_seconds(n) as changed_at")
+    judged = lifecycle.judge_changes(left, right)
+    order = lambda row: tuple(str(x) for x in row)
+    seen = sorted(((r["issue_id"], r["action"], r["field_name"], r["previous_value"], r["new_value"]) for r in lifecycle.change_activities(judged).collect()), key=order)
+    state = {r["id"]: [r[f] for f in ("status", "owner", "severity", "resolution_note", "resolution_evidence")] for r in lifecycle.current_issues(left, judged).collect()}
+    want = []
+    for issue in issues:
+        log, end = fold(issue, [c for c in changes if c["issue_id"] == issue["id"]])
+        want += [(issue["id"], *row) for row in log]
+        assert state[issue["id"]] == end
+    assert seen == sorted(want, key=order)
+
+
+def test_grave_issues_are_cleaned_first(spark):
+    rows = [(str(i), "x") for i in range(96)] + [(None, "x")] * 3 + [("5", "x")]
+    df = spark.createDataFrame(rows, "customer_id string, note string")
+    found = spark.sql(
+        "select id, category, severity, id as title, array('customer_id') as columns from values ('DQ-1000', 'validity', 'high'), ('DQ-001', 'completeness', 'low'), ('DQ-999', 'uniqueness', 'high') as i(id, category, severity)"
+    )
+    from dqspark.operators.detect import in_severity_order
+
+    plan = remediate.plan_actions(in_severity_order(found)).collect()
+    assert [r["issue_id"] for r in plan] == ["DQ-999", "DQ-1000", "DQ-001"]
+    done = remediate.remediate(df, plan)
+    assert done.result.count() == 99
+    whole = spark.createDataFrame([("a", None), ("a", None), ("b", "x")], "k string, v string")
+    assert remediate.deduplicate(whole, ["k", "v"]).count() == 3 and remediate.deduplicate(whole).count() == 2
+
+
+def test_deleted_audits_are_hidden(spark, tmp_path):
+    store = AuditStore(spark, str(tmp_path))
+    for key in ("a1", "a2"):
+        store.save("audits", spark.sql("select 1 as score, timestamp'2025-01-01' as created_at"), "2025-01-01", key)
+    assert store.delete_audit("a1") == 1 and store.delete_audit("a1") == 0
+    assert store.count_audits() == 1 and store.audit("a1").count() == 0 and [r["audit_id"] for r in store.list_audits().collect()] == ["a2"]
+
+
+def test_lineage_reads_its_input_once(spark, tmp_path):
+    spark.sql("select 'd' as dataset_name, 'a1' as audit_id, timestamp'2025-01-01' as created_at, 'version_import' as audit_kind, 1 as dataset_version, 's' as source").write.parquet(str(tmp_path / "a"))
+    found = versions.lineage(spark.read.parquet(str(tmp_path / "a")))
+    assert found.count() == 1 and "FileScan" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_alert_snapshots(spark, tmp_path):
     audits = spark.sql("select 1L as workspace_id, 'd' as dataset_name, 'a1' as audit_id, 50 as score, timestamp'2025-01-01' as created_at")
     found = alerts.score_alerts(audits)

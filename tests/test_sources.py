@@ -46,4 +46,31 @@ def test_formats_and_preview(spark, tmp_path):
     for form in ("parquet", "orc", "json"):
         df.write.format(form).save(str(tmp_path / form))
         assert readers.read_table(spark, str(tmp_path / form), form).count() == 2
-    assert sorted(str(r["x"]) for r in readers.preview(df, 99).collect()) == ["2.0", "None"]
+    assert sorted(str(r["x"]) for r in readers.preview(df, 50).collect()) == ["2.0", "None"]
+    for limit in (0, 51):
+        with pytest.raises(ValueError):
+            readers.preview(df, limit)
+
+
+def test_csv_row_with_too_many_fields_is_refused(spark, tmp_path):
+    path = write(tmp_path / "long.csv", b"id,name\n1,x\n2,y,EXTRA\n3\n")
+    with pytest.raises(Exception, match="more than 2 fields"):
+        readers.read_csv(spark, path).select("id").collect()
+    path = write(tmp_path / "short.csv", b"id,name\n1,x\n3\n")
+    assert [tuple(r) for r in readers.read_csv(spark, path).orderBy("id").collect()] == [("1", "x"), ("3", None)]
+
+
+def test_csv_files_must_share_their_header(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    write(tmp_path / "d" / "a.csv", b"id,name\n1,x\n")
+    write(tmp_path / "d" / "b.csv", b"name,id\ny,2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        readers.read_csv(spark, str(tmp_path / "d")).collect()
+
+
+def test_large_file_with_an_odd_quote_is_refused(spark, tmp_path, monkeypatch):
+    path = write(tmp_path / "q.csv", b'id,name\n1,6" pipe\n2,x\n')
+    monkeypatch.setattr(readers, "WHOLE_FILE", 10)
+    with pytest.raises(readers.IngestionError, match="multi_line"):
+        readers.read_csv(spark, path)
+    assert readers.read_csv(spark, path, multi_line=False).count() == 2

@@ -75,3 +75,12 @@ def test_names():
     assert names.is_email_flag("Email Verified") and not names.is_email_flag("email")
     assert names.privacy_by_name("first_name")[1] == "person_name"
     assert names.resolve(["Id", "id"], "ID") == "id"
+
+
+def test_small_numbers_are_plain_text(spark):
+    from dqspark.functions import values
+    from pyspark.sql import types as T
+
+    df = spark.createDataFrame([(x,) for x in (0.0005, 0.00012, -1e-7, 0.5, 0.0, 1.2345678901234e-4, 1e8, 0.001)], "x double")
+    shown = [r[0] for r in df.selectExpr(values.rendered("x", T.DoubleType())).collect()]
+    assert shown == ["0.0005", "0.00012", "-0.0000001", "0.5", "0.0", "0.00012345678901234", "100000000.0", "0.001"]

@@ -45,7 +45,7 @@ def score_top_deductions(spark, sf_dir):
 
 
 def _shapes(spark, sf_dir):
-    found = view(spark, sf_dir, "audits").where("audit_id like 'a-%'")
+    found = view(spark, sf_dir, "audits")
     return found.selectExpr("audit_id", "(row_count % 10) / 100D as duplicate_row_rate")
 
 
@@ -58,7 +58,7 @@ def _score_sql(criticality: float = 1.0, **how) -> str:
     )
     overall = " + ".join(f"{d} * {w}::double" for d, w in dims.items())
     return f"""select audit_id, cast(round_even({overall}, 0) as bigint) as overall, {', '.join(dims)}, active_issue_count from (
- select s.audit_id, {scored}, coalesce(k, 0) as active_issue_count from (select audit_id, (row_count % 10) / 100::double as r from audits where audit_id like 'a-%') s
+ select s.audit_id, {scored}, coalesce(k, 0) as active_issue_count from (select audit_id, (row_count % 10) / 100::double as r from audits) s
  left join (select audit_id, count(*) as k, {parts} from {_costs(criticality, **how)} group by audit_id) c on c.audit_id = s.audit_id)"""
 
 
@@ -177,16 +177,24 @@ _PROFILES = "(" + union([
  {unique_of(c)} as kinds from order_versions group by dataset, version) where kind <> 'empty'""" for c in ("order_key", "total", "remark", "state")]) + ")"
 
 
-@register("compare_columns", with_views(["order_versions"], f"""select coalesce(o.dataset, n.dataset) as dataset, coalesce(o.col, n.col) as column_name,
+@register("compare_columns", with_views(["order_versions"], f"""select * from (with p as (select * from {_PROFILES}), s as (select dataset, version, lag(version) over (partition by dataset order by version) as prior
+  from (select distinct dataset, version from p)), pr as (select dataset, prior, version from s where prior is not null),
+ o as (select pr.dataset, pr.prior, pr.version, p.col, p.kind, p.gaps from pr join p on p.dataset = pr.dataset and p.version = pr.prior),
+ n as (select pr.dataset, pr.prior, pr.version, p.col, p.kind, p.gaps from pr join p on p.dataset = pr.dataset and p.version = pr.version)
+ select coalesce(o.dataset, n.dataset) as dataset, coalesce(o.version, n.version) as version, coalesce(o.col, n.col) as column_name,
  case when o.col is null then 'added' when n.col is null then 'removed' else 'shared' end as presence,
  case when o.col is null or n.col is null then null when n.gaps > o.gaps then 'worsened' when n.gaps < o.gaps then 'improved' else 'same' end as completeness,
  o.kind as type_before, n.kind as type_after, o.col is not null and n.col is not null and o.kind <> n.kind as type_changed
- from (select * from {_PROFILES} where version = 1) o full outer join (select * from {_PROFILES} where version = 4) n on o.dataset = n.dataset and o.col = n.col"""))
+ from o full outer join n on o.dataset = n.dataset and o.version = n.version and o.col = n.col)"""))
 def compare_columns(spark, sf_dir):
+    """Every version of every dataset against the one before it."""
     found = _version_profiles(spark, sf_dir).withColumn("audit_id", F.expr("concat(dataset, '/', version)"))
-    pairs = found.selectExpr("concat(dataset, '/1') as baseline_audit_id", "concat(dataset, '/4') as candidate_audit_id").distinct()
+    pairs = found.select("dataset", "version", "audit_id").distinct().selectExpr(
+        "lag(audit_id) over (partition by dataset order by version) as baseline_audit_id", "audit_id as candidate_audit_id"
+    ).where("baseline_audit_id is not null")
     return versions.compare_columns(pairs, found).selectExpr(
-        "split(baseline_audit_id, '/')[0] as dataset", "column as column_name", "presence", "completeness", "type_before", "type_after", "type_changed"
+        "split(candidate_audit_id, '/')[0] as dataset", "cast(split(candidate_audit_id, '/')[1] as int) as version",
+        "column as column_name", "presence", "completeness", "type_before", "type_after", "type_changed"
     )
 
 
@@ -339,27 +347,47 @@ def lifecycle_rejected(spark, sf_dir):
     return lifecycle.rejected_changes(_judged(spark, sf_dir))
 
 
-@register("lifecycle_activities", with_views(["issue_changes"], f"""select action, field_name, new_value, count(*) as n from (
- select 'recommendation_applied' as action, 'status' as field_name, 'fixed' as new_value from {_VERDICT} where rejected is null and kind = 'apply'
- union all select 'field_updated', 'status', status from {_VERDICT} where rejected is null and kind = 'update' and status is not null and status is distinct from status_then
- union all select 'reopened', 'status', 'open' from {_VERDICT} where rejected is null and kind = 'update' and status = 'reopened'
- union all select 'field_updated', 'owner', owner from {_VERDICT} where rejected is null and kind = 'update' and owner is not null and owner is distinct from old_owner
- union all select 'field_updated', 'severity', severity from {_VERDICT} where rejected is null and kind = 'update' and severity is not null and severity is distinct from old_severity
- union all select 'field_updated', 'resolution_note', resolution_note from {_VERDICT} where rejected is null and kind = 'update' and resolution_note is not null and resolution_note is distinct from old_note
- ) group by action, field_name, new_value"""))
+# Every change of an issue in turn, from the state before it: an independent fold.
+_FOLD = """with recursive n as (select c.*, i.category, i.recommendation, row_number() over (partition by c.audit_id, c.issue_id order by changed_at, change_id) as k
+  from issue_changes c join issue_rows i on i.audit_id = c.audit_id and i.id = c.issue_id),
+ s as (select audit_id, id, 0 as k, status as st, owner as ow, severity as sev, resolution_note as note, resolution_evidence as ev, false as applied,
+   false as ok, false as reopened, cast(null as varchar) as kind, cast(null as varchar) as p_st, cast(null as varchar) as p_ow, cast(null as varchar) as p_sev,
+   cast(null as varchar) as p_note, cast(null as varchar) as p_ev, cast(null as varchar) as set_st from issue_rows
+  union all
+  select audit_id, id, k, case when not ok then st when kind = 'apply' then 'fixed' when reopened then 'open' else coalesce(new_st, st) end,
+   case when not ok then ow when kind = 'apply' then actor_name else coalesce(new_ow, ow) end, case when ok and kind = 'update' then coalesce(new_sev, sev) else sev end,
+   case when not ok then note when kind = 'update' then coalesce(new_note, note) when category = 'privacy' then note else 'Applied recommendation: ' || recommendation end,
+   case when ok and kind = 'update' then coalesce(new_ev, ev) else ev end, applied or (ok and kind = 'apply'), ok, reopened, kind, st, ow, sev, note, ev,
+   case when kind = 'apply' then 'fixed' when new_st is not null then new_st when reopened then 'reopened' else st end
+  from (select *, ok and kind = 'update' and coalesce(new_st, new_ow, new_sev, new_note, new_ev) is not null and coalesce(new_st, st) = 'reopened' as reopened from (
+   select s.audit_id, s.id, n.k, s.st, s.ow, s.sev, s.note, s.ev, s.applied, n.kind, n.category, n.recommendation, n.actor_name, n.status as new_st, n.owner as new_ow,
+    n.severity as new_sev, n.resolution_note as new_note, n.resolution_evidence as new_ev,
+    case when n.kind = 'apply' then s.st <> 'fixed' and (n.category <> 'privacy' or (s.note is not null and s.ev is not null))
+     else coalesce(n.status, '') not in ('resolved', 'fixed') or coalesce(n.resolution_note, s.note) is not null end as ok
+   from s join n on n.audit_id = s.audit_id and n.issue_id = s.id and n.k = s.k + 1)))"""
+
+
+@register("lifecycle_activities", with_views(["issue_changes"], f"""select * from ({_FOLD} select action, field_name, previous_value, new_value, count(*) as n from (
+ select 'recommendation_applied' as action, 'status' as field_name, 'open' as previous_value, 'fixed' as new_value from s where ok and kind = 'apply'
+ union all select 'reopened', 'status', null, 'open' from s where reopened
+ union all select 'field_updated', 'status', p_st, set_st from s where ok and kind = 'update' and set_st is distinct from p_st
+ union all select 'field_updated', 'owner', p_ow, ow from s where ok and kind = 'update' and ow is distinct from p_ow
+ union all select 'field_updated', 'severity', p_sev, sev from s where ok and kind = 'update' and sev is distinct from p_sev
+ union all select 'field_updated', 'resolution_note', p_note, note from s where ok and kind = 'update' and note is distinct from p_note
+ union all select 'field_updated', 'resolution_evidence', p_ev, ev from s where ok and kind = 'update' and ev is distinct from p_ev
+ ) group by all)"""))
 def lifecycle_activities(spark, sf_dir):
     history = lifecycle.activity_history(lifecycle.change_activities(_judged(spark, sf_dir)))
-    return history.groupBy("action", "field_name", "new_value").count().withColumnRenamed("count", "n")
+    return history.groupBy("action", "field_name", "previous_value", "new_value").count().withColumnRenamed("count", "n")
 
 
-@register("lifecycle_state", with_views(["issue_changes"], f"""select i.audit_id, i.id, case when s.st = 'reopened' then 'open' else coalesce(s.st, i.status) end as status,
- coalesce(s.sev, i.severity) as severity, coalesce(s.own, i.owner) as owner, case when coalesce(s.applied, false) then 0 else i.affected_rows end as affected_rows
- from issue_rows i left join (select audit_id, issue_id, arg_max(case when kind = 'apply' then 'fixed' else status end, changed_at) filter (where kind = 'apply' or status is not null) as st,
- arg_max(severity, changed_at) filter (where severity is not null) as sev, arg_max(owner, changed_at) filter (where owner is not null) as own, bool_or(kind = 'apply') as applied
- from {_VERDICT} where rejected is null group by audit_id, issue_id) s on s.audit_id = i.audit_id and s.issue_id = i.id"""))
+@register("lifecycle_state", with_views(["issue_changes"], f"""select * from ({_FOLD} select s.audit_id, s.id, s.st as status, s.sev as severity, s.ow as owner, s.note as resolution_note,
+ s.ev as resolution_evidence, case when s.applied then 0 else i.affected_rows end as affected_rows
+ from s join (select audit_id, id, max(k) as k from s group by 1, 2) m on m.audit_id = s.audit_id and m.id = s.id and m.k = s.k
+ join issue_rows i on i.audit_id = s.audit_id and i.id = s.id)"""))
 def lifecycle_state(spark, sf_dir):
     found = lifecycle.current_issues(issues(spark, sf_dir), _judged(spark, sf_dir))
-    return found.select("audit_id", "id", "status", "severity", "owner", "affected_rows")
+    return found.select("audit_id", "id", "status", "severity", "owner", "resolution_note", "resolution_evidence", "affected_rows")
 
 
 # --- alerts ---------------------------------------------------------------------------------------------
@@ -684,6 +712,30 @@ def audit_purge(spark, sf_dir):
     return kept.selectExpr("audit_id", "true as kept").unionByName(dropped.selectExpr("audit_id", "false as kept"))
 
 
+@register("audit_purge_pointers", with_views(["audits", "runs", "datasets"], """select d.name as dataset_name, a.audit_id as latest_audit_id, coalesce(a.row_count, 0) as record_count,
+ coalesce(a.column_count, 0) as column_count, a.score as quality_score, coalesce(a.issue_count, 0) as issue_count, case when a.audit_id is null then 'registered' else 'audited' end as status
+ from datasets d left join (select * from audits where audit_id in (select audit_id from runs where status = 'completed')
+  qualify row_number() over (partition by dataset_name order by created_at desc, audit_id desc) = 1) a on a.dataset_name = d.name"""))
+def audit_purge_pointers(spark, sf_dir):
+    kept, _ = reports.purge_stale(view(spark, sf_dir, "audits"), view(spark, sf_dir, "runs").where("status = 'completed'"))
+    known = view(spark, sf_dir, "datasets").selectExpr("name as dataset_name", "'audited' as status")
+    return reports.refresh_pointers(known, kept)
+
+
+@register("privacy_safe_issues", with_views(["issue_rows"], """select i.audit_id, t.id, t.place, c.by_severity, c.by_category from
+ (select audit_id, array_to_string(list_sort(list(severity || '=' || n) filter (severity is not null)), ',') as by_severity from (select audit_id, severity, count(*) as n from issue_rows group by 1, 2) group by 1) i
+ join (select a.audit_id, a.by_severity, b.by_category from
+  (select audit_id, array_to_string(list_sort(list(severity || '=' || n)), ',') as by_severity from (select audit_id, severity, count(*) as n from issue_rows group by 1, 2) group by 1) a
+  join (select audit_id, array_to_string(list_sort(list(category || '=' || n)), ',') as by_category from (select audit_id, category, count(*) as n from issue_rows group by 1, 2) group by 1) b
+  on a.audit_id = b.audit_id) c on c.audit_id = i.audit_id
+ join (select audit_id, id, cast(row_number() over (partition by audit_id order by case severity when 'critical' then 4 when 'high' then 3 when 'medium' then 2 else 1 end desc, id) as int) as place from issue_rows
+  qualify place <= 8) t on t.audit_id = i.audit_id"""))
+def privacy_safe_issues(spark, sf_dir):
+    counts, top = score.privacy_safe_issues(issues(spark, sf_dir), ["audit_id"])
+    shown = lambda c: f"array_join(array_sort(transform(map_entries({c}), e -> concat(e.key, '=', e.value))), ',') as {c}"
+    return top.select("audit_id", "id", "place").join(counts.selectExpr("audit_id", shown("by_severity"), shown("by_category")), "audit_id")
+
+
 @register("audit_export", with_views(["audits"], """select dataset_name as "Dataset", audit_id as "Audit ID", score as "Score", issue_count as "Issues", risk_level as "Risk" from audits"""))
 def audit_export(spark, sf_dir):
     return store.export_view(view(spark, sf_dir, "audits"), "audits").drop("Generated At")

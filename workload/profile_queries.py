@@ -141,6 +141,13 @@ def value_frequency(spark, sf_dir):
     return with_names(value_counts(df, layout), layout).selectExpr("column as column_name", "value", "n")
 
 
+@register("top_values_long", """select 'text' as column_name, value, n, cast(row_number() over (order by n desc, value) as int) as place from (
+ select trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as value, count(*) as n from documents group by 1) order by n desc, value limit 5""")
+def top_values_long(spark, sf_dir):
+    """The most frequent whole texts of the documents."""
+    return profile.top_values(table(spark, sf_dir, "documents", heavy=True).select("text"), 5).withColumnRenamed("column", "column_name")
+
+
 @register("sample_values", with_views(["customer_dirty"], "select * from (" + union([
     f"""select '{c}' as column_name, value, cast(row_number() over (order by value) as int) as place
  from (select distinct trim({c}) as value from customer_dirty where not {miss(c)})""" for c in DIRTY]) + ") where place <= 5"))
@@ -149,16 +156,17 @@ def sample_values(spark, sf_dir):
 
 
 @register("duplicate_rows", """select cast(sum(k - 1) as bigint) as duplicate_row_count, cast(sum(case when k > 1 then k else 0 end) as bigint) as rows_in_duplicate_groups
- from (select count(*) as k from documents group by text)""")
+ from (select count(*) as k from documents group by text, lang, source, n_chars)""")
 def duplicate_rows(spark, sf_dir):
-    df = table(spark, sf_dir, "documents", heavy=True).select("text")
+    """Documents that differ by their id only."""
+    df = table(spark, sf_dir, "documents", heavy=True).drop("doc_id")
     return duplicates.duplicate_counts(df, Layout.of(df))
 
 
 @register("duplicate_rows_by_slice", """select source, lang, cast(sum(k - 1) as bigint) as duplicate_row_count, cast(sum(case when k > 1 then k else 0 end) as bigint) as rows_in_duplicate_groups
- from (select source, lang, count(*) as k from documents group by source, lang, text) group by source, lang""")
+ from (select source, lang, count(*) as k from documents group by source, lang, text, n_chars) group by source, lang""")
 def duplicate_rows_by_slice(spark, sf_dir):
-    df = table(spark, sf_dir, "documents", heavy=True).select("source", "lang", "text")
+    df = table(spark, sf_dir, "documents", heavy=True).drop("doc_id")
     return duplicates.duplicate_counts(df, Layout.of(df, ["source", "lang"]))
 
 

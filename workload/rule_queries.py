@@ -269,12 +269,12 @@ def remediate_plan(spark, sf_dir):
     return remediate.plan_actions(issues(spark, sf_dir), ["audit_id"]).select("audit_id", "issue_id", "action_type", "risk", "review_only")
 
 
-@register("remediate_preview", with_views(["customer_dup"], f"""select count(*) as rows_before, count(distinct customer_id) as rows_after from customer_dup"""))
+@register("remediate_preview", with_views(["customer_dup"], f"""select count(*) as rows_before, count(distinct customer_id) + count_if(customer_id is null) as rows_after from customer_dup"""))
 def remediate_preview(spark, sf_dir):
     from dqspark.plans.audit import audit
     from dqspark.plans.clean import preview
 
-    df = view(spark, sf_dir, "customer_dup").select("customer_id", "segment", "status")
+    df = view(spark, sf_dir, "customer_dup")
     source = audit(df, options=OPTIONS)
     keys = [r["id"] for r in source.issues.where("category in ('uniqueness', 'consistency')").select("id").collect()]
     return preview(df, source, keys, options=OPTIONS).comparison(source).select("rows_before", "rows_after")
@@ -369,14 +369,23 @@ def window_failures(spark, sf_dir):
     return found.selectExpr("date_format(window_start, 'yyyy-MM-dd') as day", "rule_id", "rows as checked_rows", "failed_rows")
 
 
-@register("stream_window_failures", f"""select strftime(cast(window_start as timestamp), '%Y-%m-%d') as day, rule_id, checked_rows, failed_rows from ({_WINDOWS})
- where cast(window_start as timestamp) + interval 1 day <= (select max(ts) - interval 1 hour from events)""")
+@register("stream_window_failures", f"select strftime(cast(window_start as timestamp), '%Y-%m-%d') as day, rule_id, checked_rows, failed_rows from ({_WINDOWS})")
 def stream_window_failures(spark, sf_dir):
+    """Windows that the watermark closed come from the stream, those still open from a last batch pass."""
     from dqspark.session import prepare
 
     prepare(spark)
     folder = _folder(spark)
     windows = monitor.windowed_failures(_event_stream(spark, sf_dir), STREAM_RULES, "ts", options=OPTIONS)
     monitor.write_windows(windows, f"{folder}/windows", f"{folder}/state").awaitTermination()
-    found = spark.read.parquet(f"{folder}/windows")
+    written = spark.read.schema("window_start timestamp, rule_id long, rows long, failed_rows long, failure_rate double").parquet(f"{folder}/windows")
+    found = written.unionByName(monitor.open_windows(table(spark, sf_dir, "events"), STREAM_RULES, "ts", written, options=OPTIONS))
     return found.selectExpr("date_format(window_start, 'yyyy-MM-dd') as day", "rule_id", "rows as checked_rows", "failed_rows")
+
+
+@register("stream_violations", union([f"select event_id, cast({i} as bigint) as rule_id from events where {t}" for i, t in _STREAM_TESTS.items()]))
+def stream_violations(spark, sf_dir):
+    """Rows that break a rule, as the stream wrote them batch by batch."""
+    folder = _folder(spark)
+    monitor.watch_rules(_event_stream(spark, sf_dir), STREAM_RULES, f"{folder}/counts", f"{folder}/state", OPTIONS, key=["event_id"], violations_out=f"{folder}/violations").awaitTermination()
+    return spark.read.parquet(f"{folder}/violations").select("event_id", "rule_id")
