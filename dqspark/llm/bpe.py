@@ -38,6 +38,11 @@ def byte_symbols() -> list[str]:
     return symbols
 
 
+def pack(model, part: str) -> bytes:
+    """Ids of a fragment, as the model merges it."""
+    return array("I", [token.id for token in model.tokenize(part)]).tobytes()
+
+
 class Known(dict):
     """Results by key, computed when missing; emptied when full."""
 
@@ -52,10 +57,14 @@ class Known(dict):
 
 
 class Encoder:
-    """Encodes and decodes as the tokenizer file says."""
+    """Encodes and decodes as the tokenizer file says.
+
+    The library merges within a fragment; where a word is cut, and what its parts are, is
+    decided here.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models
 
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
@@ -63,56 +72,47 @@ class Encoder:
         self.end = model.get("end_of_word_suffix") or ""
         self.vocab: dict[str, int] = model["vocab"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.rank = {pair: i for i, pair in enumerate(merges)}
+        # a fragment that ends a word bears the suffix, one within a word does not
+        self.ending = models.BPE(vocab=self.vocab, merges=merges, end_of_word_suffix=self.end or None)
+        self.within = models.BPE(vocab=self.vocab, merges=merges)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in (self.vocab | self.special).items()}
-        self.joined = {pair for token in self.vocab for pair in self.pairs(self.units(token))}
+        self.joined, self.joined_last = self.inner_pairs()
         self.symbols = byte_symbols()
         library = Tokenizer.from_file(path)
         self.normalizer, self.pre_tokenizer = library.normalizer, library.pre_tokenizer
         self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         kinds = {c: unicodedata.category(chr(c))[0] for c in range(PLAIN)}
         listed = lambda kind: "".join(re.escape(chr(c)) for c in range(PLAIN) if kinds[c] == kind)
-        letters, numbers, blanks = listed("L"), listed("N"), "\\t-\\r \\x85\\xa0"
+        letters, numbers, blanks = listed("L"), listed("N"), "\t-\r \\x85\\xa0"
         self.plain = re.compile(f"[^\\x00-{chr(PLAIN - 1)}]")
         self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{blanks}{letters}{numbers}]+")
-        self.of_fragment = Known(self.merge)
+        self.of_fragment = Known(lambda part: pack(self.within, part))
+        self.of_last = Known(lambda part: pack(self.ending, part))
         self.of_symbols = Known(self.encode_symbols)
         self.of_word = Known(lambda word: self.encode_symbols("".join(map(self.symbols.__getitem__, word.encode("utf-8", "surrogatepass")))))
 
-    def units(self, token: str) -> list[str]:
-        if self.end and token.endswith(self.end) and len(token) > len(self.end):
-            stem = token[: -len(self.end)]
-            return [*stem[:-1], stem[-1] + self.end]
-        return [*token]
-
-    @staticmethod
-    def pairs(units: list[str]):
-        return zip(units, units[1:], strict=False)
-
-    def merge(self, fragment: tuple[str, ...]) -> bytes:
-        """Ids of a fragment: the pair of the lowest rank is merged first, wherever it stands, from the left."""
-        parts, rank = list(fragment), self.rank
-        while len(parts) > 1:
-            best = min(self.pairs(parts), key=lambda pair: rank.get(pair, len(rank)))
-            if best not in rank:
-                break
-            merged, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and (parts[i], parts[i + 1]) == best:
-                    merged.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    merged.append(parts[i])
-                    i += 1
-            parts = merged
-        return array("I", [self.vocab[p] for p in parts]).tobytes()
+    def inner_pairs(self) -> tuple[set[str], set[str]]:
+        """Byte pairs that stand side by side in a token: within it, and as the end of a word."""
+        within, last = set(), set()
+        for token in self.vocab:
+            stem = token.removesuffix(self.end) if self.end and token != self.end else token
+            pairs = [stem[i : i + 2] for i in range(len(stem) - 1)]
+            if stem != token and pairs:
+                last.add(pairs.pop())
+            within.update(pairs)
+        return (within, last) if self.end else (within, within)
 
     def encode_symbols(self, word: str) -> bytes:
         """Ids of one word of byte symbols, as little-endian unsigned 32-bit integers."""
-        units = [*word[:-1], word[-1] + self.end]
-        cuts = [0, *[i for i, pair in enumerate(self.pairs(units), 1) if pair not in self.joined], len(units)]
-        return b"".join(self.of_fragment[tuple(units[a:b])] for a, b in zip(cuts, cuts[1:], strict=False))
+        size, joined = len(word), self.joined
+        cuts = [i for i in range(1, size - 1) if word[i - 1 : i + 1] not in joined]
+        if size > 1 and word[-2:] not in self.joined_last:
+            cuts.append(size - 1)
+        if not cuts:
+            return self.of_last[word]
+        inner = [self.of_fragment[word[a:b]] for a, b in zip([0, *cuts], cuts, strict=False)]
+        return b"".join(inner) + self.of_last[word[cuts[-1] :]]
 
     def stretch(self, text: str) -> bytes:
         """Ids of a text without special tokens."""
@@ -159,9 +159,24 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", keeps: list[str] | None
     return with_batches(docs, [ids], docs.columns if keeps is None else keeps, [field("decoded", "string")], start)
 
 
+def round_trip(docs: DataFrame, path: str, text: str = "text", keeps: list[str] | None = None) -> DataFrame:
+    """Add ``ids`` and ``decoded`` in one pass: the text's packed ids, and those ids decoded."""
+
+    def start():
+        coder = Encoder(path)
+
+        def work(texts):
+            packed = [coder.encode(t) for t in texts]
+            return packed, [coder.decode(ids) for ids in packed]
+
+        return work
+
+    return with_batches(docs, [text], docs.columns if keeps is None else keeps, [field("ids", "binary"), field("decoded", "string")], start)
+
+
 def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, number of tokens, and digests of the ids and of the decoded text."""
-    coded = decode(encode(docs, path, text, [key]), path)
+    coded = round_trip(docs, path, text, [key])
     return coded.select(
         key, (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),

@@ -64,7 +64,8 @@ def test_bpe_every_character_and_special_tokens():
         same(text)
     draw = random.Random(5)
     same("".join(draw.choice("abcdefgh -'éß") for _ in range(5000)))
-    same("x" * 3000)
+    for text in ("x" * 3000, "ab" * 1500, "the" * 900, "".join(draw.choice("etaoin") for _ in range(4000))):
+        same(text)
 
 
 def test_bpe_awkward_rows(spark):
@@ -72,6 +73,9 @@ def test_bpe_awkward_rows(spark):
     assert [got[i].n_tokens for i in range(3)] == [0, 0, 0] and got[7].ids_sha256 == got[8].ids_sha256
     assert got[6].n_tokens == len(LIBRARY.encode(AWKWARD[6], add_special_tokens=False).ids)
     assert bpe.digests(docs(spark, []), PATH).count() == 0
+    apart = {r.doc_id: r for r in bpe.decode(bpe.encode(docs(spark, AWKWARD), PATH), PATH).collect()}
+    both = {r.doc_id: r for r in bpe.round_trip(docs(spark, AWKWARD), PATH).collect()}
+    assert all((apart[i].ids, apart[i].decoded) == (both[i].ids, both[i].decoded) for i in apart) and apart[0].score == "c"
 
 
 # --- personal data ---------------------------------------------------------------------
