@@ -20,6 +20,8 @@ from .common import field, with_batches
 UNKNOWN = "und"
 #: Bounds of the training sample: texts per language, characters of each, bytes of a dictionary.
 SAMPLE_TEXTS, SAMPLE_CHARS, DICTIONARY_BYTES = 256, 128, 32_768
+#: Parts of a language that are sampled apart first.
+PARTS = 64
 #: Bytes compressed at once.  Short enough that the dictionary, not the text before, explains a chunk.
 CHUNK = 4096
 #: Appended to each chunk: a block that doesn't shrink would be stored raw, the same for every language.
@@ -48,8 +50,13 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     room = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1
     piece = F.substring(F.col("text"), (F.pmod(F.col("h"), room) + 1).cast("int"), F.lit(SAMPLE_CHARS))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "piece"))
-    chosen = rows.select("lang", "h", piece.alias("piece")).withColumn("n", first).where(F.col("n") <= SAMPLE_TEXTS)
+    # the smallest hashes of each part of a language, then of the language: a language that
+    # holds most rows is cut down by many tasks before one sees it
+    part = F.pmod(F.col("h"), F.lit(PARTS)).alias("part")
+    picked = rows.select("lang", "h", part, piece.alias("piece"))
+    for by in (["lang", "part"], ["lang"]):
+        picked = picked.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("h", "piece"))).where(F.col("n") <= SAMPLE_TEXTS)
+    chosen = picked
     sample: dict[str, list[bytes]] = {}
     for row in chosen.orderBy("lang", "n").limit(SAMPLE_TEXTS * MAX_LANGUAGES + 1).collect():
         sample.setdefault(row.lang, []).append(letters(row.piece))
