@@ -354,15 +354,25 @@ def first_in_order(df: DataFrame, keys: list[str], order: str, k: int) -> DataFr
     ).where(f"place <= {int(k)}")
 
 
+def _shown(df: DataFrame, by: list[str] | None, columns: list[str] | None, sensitive: bool) -> tuple[DataFrame, Layout]:
+    """The columns whose values may be listed: those named, or all but the ones whose name says they are private."""
+    if columns is None and not sensitive:
+        columns = [c for c in df.columns if c not in (by or []) and names.privacy_by_name(c) is None]
+    if columns == []:
+        return df.where("false"), Layout.of(df, by or [])
+    return df, Layout.of(df, by or [], columns)
+
+
 def top_values(
-    df: DataFrame, k: int = 5, by: list[str] | None = None, columns: list[str] | None = None
+    df: DataFrame, k: int = 5, by: list[str] | None = None, columns: list[str] | None = None, sensitive: bool = False
 ) -> DataFrame:
     """(by..., column, value, n, place): the k most frequent stripped values.
 
     Ties go to the smaller value; long values that begin alike are taken by digest.  The
-    text of long values is fetched afterwards, for the k winners only.
+    text of long values is fetched afterwards, for the k winners only.  Columns that are
+    private by name are left out unless they are named or ``sensitive`` is set.
     """
-    layout = Layout.of(df, by or [], columns)
+    df, layout = _shown(df, by, columns, sensitive)
     keys = [*layout.by, "ord"]
     best = pin(first_in_order(value_counts(df, layout), keys, f"n desc, {key_order('value')}", k))
     hidden = best.where("startswith(value, ' ')")
@@ -382,14 +392,15 @@ def top_values(
 
 def sample_values(
     df: DataFrame, k: int = 5, by: list[str] | None = None, columns: list[str] | None = None,
-    order_by: list[str] | None = None,
+    order_by: list[str] | None = None, sensitive: bool = False,
 ) -> DataFrame:
     """(by..., column, value, place): k non-blank example values per column.
 
     With ``order_by`` the first k rows in that order are shown, otherwise the k smallest
-    distinct values.
+    distinct values.  Columns that are private by name are left out unless they are named or
+    ``sensitive`` is set.
     """
-    layout = Layout.of(df, by or [], columns)
+    df, layout = _shown(df, by, columns, sensitive)
     order = "value"
     if order_by:
         ordered = df.selectExpr("*", f"struct({', '.join(values.name(c) for c in order_by)}) as __order")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from dqspark.functions import values
 from dqspark.operators import detect, duplicates, privacy, profile, score
 from dqspark.operators.cells import Layout, value_counts, with_names
+from dqspark.operators.rules import Rule
 from dqspark.plans.audit import audit
 from dqspark.sources import readers
 
@@ -130,7 +133,7 @@ def dataset_profile(spark, sf_dir):
  cast(row_number() over (order by count(*) desc, trim({c})) as int) as place from customer_dirty where {c} is not null group by trim({c})"""
     for c in DIRTY]) + ") where place <= 5"))
 def top_values(spark, sf_dir):
-    return profile.top_values(view(spark, sf_dir, "customer_dirty"), 5).withColumnRenamed("column", "column_name")
+    return profile.top_values(view(spark, sf_dir, "customer_dirty"), 5, sensitive=True).withColumnRenamed("column", "column_name")
 
 
 @register("value_frequency", union([
@@ -152,7 +155,7 @@ def top_values_long(spark, sf_dir):
     f"""select '{c}' as column_name, value, cast(row_number() over (order by value) as int) as place
  from (select distinct trim({c}) as value from customer_dirty where not {miss(c)})""" for c in DIRTY]) + ") where place <= 5"))
 def sample_values(spark, sf_dir):
-    return profile.sample_values(view(spark, sf_dir, "customer_dirty"), 5).withColumnRenamed("column", "column_name")
+    return profile.sample_values(view(spark, sf_dir, "customer_dirty"), 5, sensitive=True).withColumnRenamed("column", "column_name")
 
 
 @register("duplicate_rows", """select cast(sum(k - 1) as bigint) as duplicate_row_count, cast(sum(case when k > 1 then k else 0 end) as bigint) as rows_in_duplicate_groups
@@ -475,6 +478,17 @@ def issues_date_expectations(spark, sf_dir):
     return detect.number_issues(raised, layout).select("category", "severity", "title", "affected_rows", "affected_rate", "confidence")
 
 
+@register("finding_examples", with_views(["orders_dirty"], """select * from (
+ select 'end_date is before start_date' as finding, cast(row_number() over (order by o_orderkey) as int) as place, cast(o_orderkey as varchar) as order_key from orders_dirty where end_date < start_date
+ union all select 'Missing values in total_amount', cast(row_number() over (order by o_orderkey) as int), cast(o_orderkey as varchar) from orders_dirty where total_amount is null
+ union all select 'Large orders failed', cast(row_number() over (order by o_orderkey) as int), cast(o_orderkey as varchar) from orders_dirty where total_amount > 450000) where place <= 3"""))
+def finding_examples(spark, sf_dir):
+    """Example rows of the audit's own findings."""
+    rules = [Rule(1, "Large orders", "numeric_range", "total_amount", parameters={"max": 450000})]
+    found = detect.finding_examples(view(spark, sf_dir, "orders_dirty"), ["o_orderkey"], rules, options=OPTIONS)
+    return found.selectExpr("finding", "place", "key.o_orderkey as order_key").withColumn("order_key", F.col("order_key").cast("string"))
+
+
 @register("issue_examples", with_views(["orders_dirty"], """select * from (
  select 'late' as finding, cast(row_number() over (order by o_orderkey) as int) as place, cast(o_orderkey as varchar) as order_key from orders_dirty where end_date < start_date
  union all

@@ -294,7 +294,7 @@ def _clause(c: str) -> str:
 def contract_from_profile(spark, sf_dir):
     by = ["dataset", "version"]
     df = view(spark, sf_dir, "order_versions")
-    made = contracts.contract_from_profile(profile.profile_columns(df, by, OPTIONS), profile.top_values(df, 21, by), by)
+    made = contracts.contract_from_profile(profile.profile_columns(df, by, OPTIONS), profile.top_values(df, 21, by, sensitive=True), by)
     return made.selectExpr("*", "explode(array('order_key', 'total', 'remark', 'state')) as column_name").selectExpr(
         "dataset", "version", "column_name", "array_contains(required_columns, column_name) as is_required",
         "array_contains(unique_columns, column_name) as is_unique", "expected_types[column_name] as expected_type",
