@@ -92,9 +92,9 @@ class Tree:
                         best = lost, (point, inner, near)
         return best and best[1]
 
-    def route(self, points: np.ndarray):
-        """(leaf, index of the point, at home) for each leaf that a point must be compared in."""
-        todo = [(self.root, np.arange(len(points)), np.ones(len(points), bool))]
+    def route(self, points: np.ndarray, home: np.ndarray | None = None):
+        """(leaf, index of the point, at home) for each leaf that a point must be compared in, a leaf at a time."""
+        todo = [(self.root, np.arange(len(points)), np.ones(len(points), bool) if home is None else home)]
         while todo:
             node, index, home = todo.pop()
             if not len(index):
@@ -133,11 +133,29 @@ def forest(homes: np.ndarray, queries: np.ndarray, radius: int = RADIUS) -> tupl
     return points[moved], points[root[moved]]
 
 
+def deep_forest(homes: np.ndarray, queries: np.ndarray, radius: int = RADIUS, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
+    """The same edges for a leaf that holds many more points than it should: a tree of its own divides it further."""
+    if len(homes) <= 4 * leaf:
+        return forest(homes, queries, radius)
+    drawn = np.random.default_rng(SEED).choice(homes, min(SAMPLE, len(homes)), replace=False)
+    tree, points = Tree(drawn, -(-len(homes) // leaf), radius), np.concatenate([homes, queries])
+    found = []
+    for _, index, home in tree.route(points, np.arange(len(points)) < len(homes)):
+        part = points[index]
+        if tree.leaves == 1 or home.sum() > len(homes) // 2:
+            found.append(forest(part[home], part[~home], radius))
+        else:
+            found.append(deep_forest(part[home], part[~home], radius, leaf))
+    return tuple(np.concatenate(side) for side in zip(*found, strict=True))
+
+
 def links(points: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, leaf: int = LEAF) -> DataFrame:
     """Edges (a, b) that connect all distinct ``fingerprint`` values within ``radius`` bits.
 
     Their components are those of the graph of all linked pairs; at most one edge per point
-    and leaf comes out.  ``points`` must be pinned: it is counted, sampled and read.
+    and leaf comes out.  ``points`` must be pinned: it is counted, sampled and read.  The
+    tree is fitted on about ``sample`` points; where these are too few for leaves of ``leaf``
+    points, a leaf is divided further by the task that compares it.
     """
     total = points.count()
     share = min(1.0, sample / max(1, total))
@@ -154,7 +172,7 @@ def links(points: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, leaf: i
 
     def compare(group: pa.Table) -> pa.Table:
         values, home = group.column("fingerprint").to_numpy().view(np.uint64), group.column("home").to_numpy(zero_copy_only=False).astype(bool)
-        a, b = forest(np.sort(values[home]), values[~home], radius)
+        a, b = deep_forest(np.sort(values[home]), values[~home], radius, leaf)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     routed = points.select("fingerprint").mapInArrow(spread, "leaf int, fingerprint long, home boolean")

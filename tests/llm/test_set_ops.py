@@ -81,6 +81,30 @@ def test_dense_group_makes_a_forest():
     assert set(b.tolist()) == {0}
 
 
+def test_large_leaf_is_divided_without_losing_links():
+    draw = np.random.default_rng(3)
+    points = draw.integers(0, 2**63, 1500, dtype=np.uint64)
+    points = np.unique(np.concatenate([points, points[:300] ^ np.uint64(5), points[:200] ^ np.uint64(1 << 40)]))
+    homes, queries = points[::2], points[1::2]
+    a, b = simhash.forest(homes, queries)
+    c, d = simhash.deep_forest(homes, queries, leaf=16)
+
+    def groups(x, y):
+        root = {int(p): int(p) for p in points}
+
+        def find(p):
+            while root[p] != p:
+                p = root[p]
+            return p
+
+        for p, q in zip(x.tolist(), y.tolist(), strict=True):
+            p, q = find(p), find(q)
+            root[max(p, q)] = min(p, q)
+        return [find(int(p)) for p in points]
+
+    assert groups(a, b) == groups(c, d) and len(set(groups(a, b))) < len(points)
+
+
 def test_repeated_and_null_keys(spark):
     rows = [(1, "same old words here"), (1, "same old words here"), (None, "other text"), (None, "other text"), (2, "same old words here")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
