@@ -57,7 +57,10 @@ def idf_of(files: DataFrame, vocabulary: list[str], text: str) -> tuple[dict[str
 
 
 def header_matches(files: DataFrame, key: str, text: str, templates=TEMPLATES) -> DataFrame:
-    """(key, license, cosine, words) of the lines whose best cosine reaches ``LEAST_COSINE``."""
+    """(key, license, cosine, words, total) of the lines whose best cosine reaches ``LEAST_COSINE``.
+
+    ``words`` are those of the line, ``total`` those of the file, so no text needs to move.
+    """
     spark = files.sparkSession
     template = template_terms(spark, templates)
     vocabulary = sorted({r["term"] for r in template.select("term").distinct().collect()})
@@ -66,14 +69,17 @@ def header_matches(files: DataFrame, key: str, text: str, templates=TEMPLATES) -
     weighted = template.join(rated, "term").select("notice", "license", "term", (F.col("tf") * F.col("idf")).alias("weight"))
     norms = weighted.groupBy("notice").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("norm"))
     units = weighted.join(norms, "notice").select("notice", "license", "term", (F.col("weight") / F.col("norm")).alias("unit"))
-    lines = files.where(F.col(text).rlike(CUES)).select(key, F.posexplode(F.split(text, "\n", -1)).alias("line", "said")).where(F.col("said").rlike(CUES))
-    counted = lines.select(key, "line", F.explode(terms(F.col("said"))).alias("term")).groupBy(key, "line", "term").agg(F.count("*").alias("tf"))
-    valued = counted.join(rated, "term", "left").select(key, "line", "term", "tf", (F.col("tf") * F.coalesce("idf", F.lit(rarest))).alias("weight"))
-    sizes = valued.groupBy(key, "line").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("size"), F.sum("tf").alias("words"))
-    dots = valued.join(F.broadcast(units), "term").groupBy(key, "line", "notice", "license").agg(F.sum(F.col("weight") * F.col("unit")).alias("dot"))
-    scored = dots.join(sizes, [key, "line"]).withColumn("cosine", F.round(F.col("dot") / F.col("size"), 6))
-    best = scored.groupBy(key, "line", "words").agg(F.max(F.struct("cosine", "license")).alias("b"))
-    return best.select(key, "b.license", "b.cosine", "words").where(F.col("cosine") >= LEAST_COSINE)
+    cued = files.where(F.col(text).rlike(CUES))
+    lines = cued.select(key, F.size(terms(F.col(text))).alias("total"), F.posexplode(F.split(text, "\n", -1)).alias("line", "said"))
+    lines = lines.where(F.col("said").rlike(CUES)).distinct()
+    counted = lines.select(key, "total", "line", F.explode(terms(F.col("said"))).alias("term")).groupBy(key, "total", "line", "term").agg(F.count("*").alias("tf"))
+    valued = counted.join(rated, "term", "left").select(key, "total", "line", "term", "tf", (F.col("tf") * F.coalesce("idf", F.lit(rarest))).alias("weight"))
+    place = [key, "total", "line"]
+    sizes = valued.groupBy(*place).agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("size"), F.sum("tf").alias("words"))
+    dots = valued.join(F.broadcast(units), "term").groupBy(*place, "notice", "license").agg(F.sum(F.col("weight") * F.col("unit")).alias("dot"))
+    scored = dots.join(sizes, place).withColumn("cosine", F.round(F.col("dot") / F.col("size"), 6))
+    best = scored.groupBy(*place, "words").agg(F.max(F.struct("cosine", "license")).alias("b"))
+    return best.select(key, "b.license", "b.cosine", "words", "total").where(F.col("cosine") >= LEAST_COSINE)
 
 
 def ancestors(folder: Column) -> Column:
@@ -92,15 +98,12 @@ def scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str =
     directory.  Rows that repeat a key share their matches; other columns are not read.
     """
     found = header_matches(files, key, text, templates)
-    own = found.groupBy(key).agg(F.max(F.struct("cosine", "license")).alias("b"), F.sum("words").alias("matched"))
-    own = pin(own.select(key, F.col("b.license").alias("own_license"), F.col("b.cosine").alias("score"), "matched"))
+    own = found.groupBy(key).agg(F.max(F.struct("cosine", "license")).alias("b"), F.sum("words").alias("matched"), F.max("total").alias("total"))
+    own = pin(own.select(F.col(key).alias("_key"), F.col("b.license").alias("own_license"), F.col("b.cosine").alias("score"), (F.col("matched") >= FILE_SHARE * F.col("total")).alias("mostly")))
     folder = F.regexp_extract(F.col(path), "^(.*)/[^/]*$", 1)
-    rows = files.select(key, path, folder.alias("_dir"), text).join(own.withColumnRenamed(key, "_key"), F.col(key) == F.col("_key"), "left").drop("_key")
-    size = F.size(terms(F.coalesce(F.col(text), F.lit(""))))
-    speaks = F.col(path).rlike(LICENCE_NAME) | (F.col("matched") >= FILE_SHARE * size)
-    # only the files with a match can speak, so the words of no other text are counted
-    marked = rows.withColumn("_speaks", F.when(F.col("own_license").isNotNull(), speaks).otherwise(False)).drop(text, "matched")
-    marked = pin(marked)
+    rows = files.select(key, path, folder.alias("_dir")).join(own, F.col(key) == F.col("_key"), "left").drop("_key")
+    speaks = F.col("own_license").isNotNull() & (F.col(path).rlike(LICENCE_NAME) | F.col("mostly"))
+    marked = pin(rows.withColumn("_speaks", speaks).drop("mostly"))
     votes = marked.where("_speaks and _dir is not null").groupBy("_dir", "own_license").agg(F.count("*").alias("n"))
     spoken = votes.groupBy("_dir").agg(F.min(F.struct(-F.col("n"), "own_license")).alias("b")).select(F.col("_dir").alias("above"), F.col("b.own_license").alias("told"))
     ways = marked.where("own_license is null and _dir is not null").select("_dir").distinct().select("_dir", F.posexplode(ancestors(F.col("_dir"))).alias("up", "above"))
