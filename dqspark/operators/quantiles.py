@@ -14,11 +14,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import pin, small_side
+from ..session import BROADCAST_ROWS, pin
 
 # Buckets per doubling of the first pass, and buckets of each later pass.
-PER_DOUBLING = 16
-BUCKETS = 4096
+PER_DOUBLING = 128
+BUCKETS = 65_536
 # First-pass bucket of the smallest positive double is 1; infinity lies beyond all others.
 OFFSET = 1074 * PER_DOUBLING + 1
 OUTERMOST = 1_000_000
@@ -29,39 +29,36 @@ def exact_quantiles(
 ) -> DataFrame:
     """(keys..., n, q0, q1, ...) for the non-null ``x`` of each group; NaN counts as null.
 
-    Infinite values count like any other.  ``buckets`` changes the number of passes only.
+    Infinite values count like any other.  ``buckets`` changes the number of passes only:
+    two for most data, more where values differ in their last digits only.
     """
     by = [F.col(k) for k in keys]
     numbers = numbers.select(*by, F.expr("nanvl(x, null)").alias("x")).where("x is not null")
     size = f"floor(log2(abs(x)) * {PER_DOUBLING}D) + {OFFSET}"
     bucket = f"cast(case when x = 0 then 0 when abs(x) = double('infinity') then sign(x) * {OUTERMOST} else sign(x) * ({size}) end as int)"
-    first = _counted(numbers.select(*by, F.expr(bucket).alias("bucket"), "x"), keys)
-    first = pin(first)
-    sizes = first.groupBy(*by).agg(F.sum("n").alias("total"))
-    ranks = F.array_distinct(F.flatten(F.array(*[
-        F.array(F.floor((F.col("total") - 1) * F.lit(float(p))), F.ceil((F.col("total") - 1) * F.lit(float(p)))) for p in probabilities
-    ])))
-    state = sizes.select(*by, F.explode(ranks).alias("rank"))
-    state = pin(_holding(_running(first, keys), state.withColumn("offset", F.col("rank")), keys))
+    first = _running(_counted(numbers.select(*by, F.expr(bucket).alias("bucket"), "x"), keys), keys)
+    places = ", ".join(f"cast(floor((total - 1) * {float(p)!r}D) as bigint), cast(ceil((total - 1) * {float(p)!r}D) as bigint)" for p in probabilities)
+    held = f"filter(array_distinct(array({places})), r -> r >= before and r < before + n)"
+    state = first.selectExpr(*[f"`{k}`" for k in keys], "total", f"explode({held}) as rank", "before", "least as low", "most as high")
+    state = pin(state.select(*by, "total", "rank", (F.col("rank") - F.col("before")).alias("offset"), "low", "high"))
     found = [state.where("low = high")]
-    while True:
-        state = state.where("low < high")
-        if state.isEmpty():
-            break
+    while unsettled := state.where("low < high").count():
         # Ranks in one bucket share its bounds, so a value meets each open bucket once.
-        opened = small_side(pin(state.select(*by, "low", "high").distinct()))
+        state = state.where("low < high")
+        opened = state.select(*by, "low", "high").distinct()
+        opened = F.broadcast(opened) if unsettled <= BROADCAST_ROWS else opened
         inside = numbers.join(opened, keys).where("x between low and high") if keys else numbers.join(opened, F.col("x").between(F.col("low"), F.col("high")))
         # Halves keep the width finite for bounds of opposite sign.
         place = f"if(x = low, 0, if(x = high, {buckets}, least(cast(floor((x / 2 - low / 2) / (high / 2 - low / 2) * {buckets}D) as int), {buckets})))"
         inner = [*keys, "low", "high"]
-        counts = _counted(inside.select(*inner, F.expr(place).alias("bucket"), "x"), inner).withColumnsRenamed({"low": "from", "high": "to"})
-        renamed = state.withColumnsRenamed({"low": "from", "high": "to"})
-        state = pin(_holding(_running(counts, [*keys, "from", "to"]), renamed, [*keys, "from", "to"]).select(*by, "rank", "offset", "low", "high"))
+        counts = _counted(inside.select(*inner, F.expr(place).alias("bucket"), "x"), inner)
+        met = state.join(_running(counts, inner).drop("total"), inner).where("offset >= before and offset < before + n")
+        state = pin(met.select(*by, "total", "rank", (F.col("offset") - F.col("before")).alias("offset"), F.col("least").alias("low"), F.col("most").alias("high")))
         found.append(state.where("low = high"))
-    values = reduce(DataFrame.unionByName, [f.select(*by, "rank", F.col("low").alias("x")) for f in found])
-    listed = values.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("rank", "x"))).alias("at"))
-    joined = sizes.join(listed, keys) if keys else sizes.join(listed)
-    return pin(joined.select(*by, F.col("total").alias("n"), *[F.expr(_between(p)).alias(f"q{i}") for i, p in enumerate(probabilities)]))
+    values = reduce(DataFrame.unionByName, [f.select(*by, "total", "rank", F.col("low").alias("x")) for f in found])
+    listed = values.groupBy(*by).agg(F.max("total").alias("total"), F.map_from_entries(F.collect_list(F.struct("rank", "x"))).alias("at"))
+    listed = listed if keys else listed.where("total is not null")
+    return listed.select(*by, F.col("total").alias("n"), *[F.expr(_between(p)).alias(f"q{i}") for i, p in enumerate(probabilities)])
 
 
 def _between(p: float) -> str:
@@ -77,14 +74,6 @@ def _counted(bucketed: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _running(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """Add ``before``: values in lower buckets.  A group has a bounded number of buckets."""
+    """Add ``before``, the values in lower buckets, and ``total``.  A group has a bounded number of buckets."""
     part = f"partition by {', '.join(f'`{k}`' for k in keys)}" if keys else ""
-    return counts.withColumn("before", F.expr(f"sum(n) over ({part} order by bucket) - n"))
-
-
-def _holding(counts: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
-    """Each wanted rank with the bucket that holds it: low, high, and its offset within."""
-    holds = (F.col("offset") >= F.col("before")) & (F.col("offset") < F.col("before") + F.col("n"))
-    met = wanted.join(counts, keys).where(holds) if keys else wanted.join(counts, holds)
-    rest = [c for c in wanted.columns if c not in ("offset",)]
-    return met.select(*rest, (F.col("offset") - F.col("before")).alias("offset"), F.col("least").alias("low"), F.col("most").alias("high"))
+    return counts.selectExpr("*", f"sum(n) over ({part} order by bucket) - n as before", f"sum(n) over ({part}) as total")
