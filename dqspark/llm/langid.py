@@ -22,7 +22,7 @@ UNKNOWN = "und"
 #: Bounds of the training sample: texts per language, characters of each, bytes of a dictionary.
 SAMPLE_TEXTS, SAMPLE_CHARS, DICTIONARY_BYTES = 256, 128, 32_768
 #: Parts of a language that are sampled apart first.
-PARTS = 64
+PARTS = 16
 #: Bytes compressed at once.  Short enough that the dictionary, not the text before, explains a chunk.
 CHUNK = 4096
 #: Appended to each chunk: a block that doesn't shrink would be stored raw, the same for every language.
