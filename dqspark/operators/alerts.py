@@ -30,8 +30,8 @@ def _shape(sql: str, **tables: DataFrame) -> DataFrame:
     )
 
 
-def score_alerts(audits: DataFrame, threshold: int = DEFAULT_THRESHOLD) -> DataFrame:
-    """Latest score below the threshold (O1)."""
+def score_alerts(audits: DataFrame, threshold: int = DEFAULT_THRESHOLD, newest: DataFrame | None = None) -> DataFrame:
+    """Latest score below the threshold (O1).  ``newest``: ``latest_audits`` where it is at hand."""
     t = int(threshold)
     return _shape(
         f"""select workspace_id, concat('score:', audit_id, ':{t}') as fingerprint, 'score_threshold' as alert_type,
@@ -40,12 +40,12 @@ def score_alerts(audits: DataFrame, threshold: int = DEFAULT_THRESHOLD) -> DataF
               concat('The latest score is ', score, '; the threshold is {t}.') as description,
               dataset_name, audit_id, null as rule_id, created_at as detected_at
             from {{newest}} where score < {t}""",
-        newest=latest_audits(audits),
+        newest=latest_audits(audits) if newest is None else newest,
     )
 
 
-def issue_alerts(audits: DataFrame, issues: DataFrame) -> DataFrame:
-    """Critical or high issues left in the latest audit (O2)."""
+def issue_alerts(audits: DataFrame, issues: DataFrame, newest: DataFrame | None = None) -> DataFrame:
+    """Critical or high issues left in the latest audit (O2).  ``newest`` as in ``score_alerts``."""
     return _shape(
         """select a.workspace_id, concat('issues:', a.audit_id) as fingerprint, 'high_severity_issue' as alert_type,
              if(bool_or(i.severity = 'critical'), 'critical', 'high') as severity,
@@ -55,7 +55,7 @@ def issue_alerts(audits: DataFrame, issues: DataFrame) -> DataFrame:
            from {newest} a join {issues} i on i.audit_id = a.audit_id
            where i.severity in ('critical', 'high') and i.status <> 'resolved'
            group by a.workspace_id, a.audit_id, a.dataset_name, a.created_at""",
-        newest=latest_audits(audits), issues=issues,
+        newest=latest_audits(audits) if newest is None else newest, issues=issues,
     )
 
 

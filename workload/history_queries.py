@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dqspark.operators import alerts, contracts, drift, lifecycle, profile, reports, score, versions
+from dqspark.session import pin
 from dqspark.sources import store
 
 from .registry import inferred, miss, register, union, unique_of
@@ -438,9 +439,10 @@ def alerts_drift(spark, sf_dir):
 
 
 def _found_alerts(spark, sf_dir):
-    audits = view(spark, sf_dir, "audits")
+    audits = pin(view(spark, sf_dir, "audits"))
+    newest = pin(alerts.latest_audits(audits))
     return alerts.all_alerts(
-        alerts.score_alerts(audits), alerts.issue_alerts(audits, issues(spark, sf_dir)),
+        alerts.score_alerts(audits, newest=newest), alerts.issue_alerts(audits, issues(spark, sf_dir), newest),
         alerts.rule_alerts(view(spark, sf_dir, "executions"), audits, view(spark, sf_dir, "quality_rules")),
         alerts.contract_alerts(view(spark, sf_dir, "contracts")), alerts.run_alerts(view(spark, sf_dir, "runs")),
     )
