@@ -23,20 +23,20 @@ def field(name: str, kind: str) -> T.StructField:
 
 
 def with_batches(
-    df: DataFrame, reads: Sequence[str], keeps: Sequence[str], fields: Sequence[T.StructField], start: Callable[[], Callable],
+    df: DataFrame, reads: Sequence[str], keeps: Sequence[str], fields: Sequence[T.StructField], start: Callable[[], Callable], rows: int = SLICE,
 ) -> DataFrame:
     """Columns ``keeps`` of ``df`` and new ``fields`` computed from columns ``reads``.
 
     ``start`` runs once per task and returns a function from lists of values (one per read
     column) to one list per new field.  Rows stay in their partition and go through Python
-    in Arrow slices of 256 rows, so memory is bounded by the rows of a slice.  A new field
+    in Arrow slices of ``rows`` rows, so memory is bounded by the rows of a slice.  A new field
     replaces a kept column of the same name.
     """
     new = {f.name for f in fields}
     kept = [c for c in keeps if c not in new]
     source = df.select(*[df[c].alias(f"_k{i}") for i, c in enumerate(kept)], *[df[c].alias(f"_r{i}") for i, c in enumerate(reads)])
     schema = T.StructType([*[T.StructField(f"_k{i}", df.schema[c].dataType) for i, c in enumerate(kept)], *fields])
-    kinds, width, slice_rows = [to_arrow_type(f.dataType) for f in fields], len(kept), SLICE
+    kinds, width, slice_rows = [to_arrow_type(f.dataType) for f in fields], len(kept), rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()

@@ -139,7 +139,7 @@ def index(docs: DataFrame, key: str, text: str, first: bytes, second: bytes, siz
         return work
 
     fields = [field("n_words", "long"), field("postings", "array<struct<term: string, pos: int, left: int, around: array<string>>>")]
-    return pin(with_batches(docs, [text], [key], fields, start)).withColumn("row", F.monotonically_increasing_id())
+    return pin(with_batches(docs, [text], [key], fields, start, rows=32)).withColumn("row", F.monotonically_increasing_id())
 
 
 def matches(indexed: DataFrame, planned: DataFrame, near: float = NEAR) -> DataFrame:
