@@ -2,7 +2,7 @@
 
 A page becomes a row of tokens: start tags, end tags, and stretches of words.  Words score
 by the place they stand in, positive where labelled pages have content and negative where
-they have menus or adverts; tags score negative.  Weights are log odds from pages that mark
+they have menus or adverts; tags score negative, tokens of an aside nothing.  Weights are log odds from pages that mark
 their content themselves, with ``<article>`` or ``<main>``; the marks are no features.  One
 linear scan finds the best run, and its text is put out without what is no content.
 """
@@ -120,12 +120,13 @@ def features(page: str | None) -> list[tuple[str, int, bool, bool, str, str]]:
         before = place.content
         if kind == "start":
             aside = place.start(name, attributes)
+            within = aside or place.aside
         else:
-            aside = place.aside
+            aside = within = place.aside
             place.end(name)
         shown = name if name in KNOWN else "other"
         feature = "" if name in CONTENT else f"{kind} {'aside ' if aside else ''}{shown}"
-        out.append((feature, 0 if not feature else 1, before and place.content, aside, "" if name in INLINE else " ", ""))
+        out.append((feature, 0 if not feature else 1, before and place.content, within, "" if name in INLINE else " ", ""))
     return out
 
 
@@ -179,7 +180,8 @@ def best_run(scores: list[float]) -> tuple[int, int]:
 
 def main_text(page: str | None, model: dict[str, float]) -> str:
     tokens = features(page)
-    first, last = best_run([n * weight(feature, model) for feature, n, *_ in tokens])
+    # what is left out of the text anyway neither ends nor starts a run
+    first, last = best_run([0.0 if aside else n * weight(feature, model) for feature, n, _, aside, *_ in tokens])
     return " ".join("".join(gap if gap else "" if aside else text for _, _, _, aside, gap, text in tokens[first:last]).split())
 
 
