@@ -64,27 +64,44 @@ def tokenize(page: str) -> Iterator[tuple[str, str, str]]:
             at = end.start() if end else size
 
 
+def marked(attributes: str) -> bool:
+    """Whether a class, id or role says that an element is no content."""
+    return "=" in attributes and any(w in ASIDE_WORDS for groups in MARKS.findall(attributes) for g in groups for w in re.split(r"[^a-z0-9]+", g.lower()))
+
+
 class Place:
-    """Open elements while a page is read."""
+    """Open elements while a page is read.
 
-    def __init__(self):
-        self.open: list[tuple[str, bool, bool]] = []
+    Elements are numbered by their start tags.  ``wraps`` are those that hold the page's
+    content, so a form or a mark says nothing there; ``main`` is the content element, in
+    which what stands around it is no aside.
+    """
+
+    def __init__(self, wraps: frozenset[int] = frozenset(), main: int = -1):
+        self.open: list[tuple[str, bool, bool, int]] = []
+        self.wraps, self.main, self.number = wraps, main, -1
 
     def start(self, name: str, attributes: str) -> bool:
         """Whether the element, if it is opened here, holds no article text."""
+        self.number += 1
         if name not in INLINE and name not in VOID:
             while self.open and (self.open[-1][0] in INLINE or self.open[-1][0] == "p" or self.open[-1][0] == name and name in ("li", "dt", "dd", "tr", "td", "th", "option")):
-                self.open.pop()
-        words = {w for groups in MARKS.findall(attributes) for g in groups for w in re.split(r"[^a-z0-9]+", g.lower())} if "=" in attributes else ()
-        aside = name in ASIDE or name in RAW or any(w in ASIDE_WORDS for w in words) and name not in ("html", "body", *CONTENT)
+                self.close(len(self.open) - 1)
+        told = name == "form" or name not in ("html", "body", *CONTENT) and marked(attributes)
+        aside = name in RAW or name in ASIDE and name != "form" or told and self.number not in self.wraps
         if name not in VOID and not attributes.rstrip().endswith("/"):
-            self.open.append((name, aside or bool(self.open and self.open[-1][1]), name in CONTENT or bool(self.open and self.open[-1][2])))
+            above = bool(self.open and self.open[-1][1]) and self.number != self.main
+            self.open.append((name, aside or above, name in CONTENT or bool(self.open and self.open[-1][2]), self.number))
         return aside
 
+    def close(self, at: int) -> None:
+        """Close the open elements from a depth on."""
+        del self.open[at:]
+
     def end(self, name: str) -> None:
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == name:
-                del self.open[i:]
+                self.close(i)
                 return
             if self.open[i][0] in CONTENT and name in INLINE | {"p"}:
                 return
@@ -99,19 +116,62 @@ class Place:
 
     @property
     def block(self) -> str:
-        for name, _, _ in reversed(self.open):
+        for name, *_ in reversed(self.open):
             if name not in INLINE and name not in CONTENT:
                 return name if name in KNOWN else "other"
         return "none"
 
 
+class Extents(Place):
+    """A first reading of a page: the words in each element, and the last element that starts in it."""
+
+    def __init__(self):
+        super().__init__()
+        self.words, self.at, self.spans, self.told = 0, {}, {}, {}
+
+    def start(self, name: str, attributes: str) -> bool:
+        aside = super().start(name, attributes)
+        if self.open and self.open[-1][3] == self.number and (name in CONTENT or name == "form" or aside):
+            self.at[self.number], self.told[self.number] = self.words, (name, marked(attributes))
+        return aside
+
+    def close(self, at: int) -> None:
+        for *_, number in self.open[at:]:
+            if number in self.at:
+                self.spans[number] = self.words - self.at[number], self.number
+        super().close(at)
+
+
+def wrappers(tokens: list[tuple[str, str, str]]) -> tuple[frozenset[int], int]:
+    """The elements that hold the content element (without one: most of the page's words), and the content element (-1 for none).
+
+    The content element is the ``<article>`` or ``<main>`` with the most words, the outer one of
+    equals; one that a mark tells apart, as comments and teasers are, must hold most of the page's words.
+    """
+    read = Extents()
+    for kind, name, attributes in tokens:
+        if kind == "text":
+            read.words += len(name.split())
+        elif kind == "start":
+            read.start(name, attributes)
+        else:
+            read.end(name)
+    read.close(0)
+    most = {n for n, (words, _) in read.spans.items() if 2 * words > read.words}
+    own = [n for n in read.spans if read.told[n][0] in CONTENT and (n in most or not read.told[n][1])]
+    main = max(own, key=lambda n: (read.spans[n][0], -n), default=-1)
+    around = {n for n, (_, last) in read.spans.items() if n < main <= last}
+    return frozenset(most if main < 0 else around), main
+
+
 def features(page: str | None) -> list[tuple[str, int, bool, bool, str, str]]:
     """(feature, words, in content, aside, break, text) of each token; a feature is empty for the content marks.
 
     ``break`` is a blank where a new block starts.
     """
-    place, out = Place(), []
-    for kind, name, attributes in tokenize(page or ""):
+    tokens, out = list(tokenize(page or "")), []
+    place = Place(*wrappers(tokens))
+    for kind, name, attributes in tokens:
         if kind == "text":
             text = html.unescape(name)
             count = len(text.split())
