@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import pin, shared_folder
 
-__all__ = ["bound", "field", "lower_ascii", "pin", "shared_folder", "with_batches"]
+__all__ = ["bound", "field", "lower_ascii", "pin", "row_ids", "shared_folder", "with_batches"]
 
 SLICE = 256
 
@@ -59,3 +59,13 @@ def lower_ascii(text: Column) -> Column:
 def bound(value: Column, body) -> Column:
     """``body`` of a value that is computed once, however often the body names it."""
     return F.transform(F.array(value), body)[0]
+
+
+def row_ids(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(row, key, _id): each row as a struct, its key, and a text that names its key and text together.
+
+    Equal keys and texts give equal names; null differs from every other key and from the empty text.
+    """
+    name = F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit("n"))
+    digest = F.coalesce(F.md5(F.col(text).cast("binary")), F.lit("n"))
+    return docs.select(F.struct(*docs.columns).alias("row"), F.col(key), F.concat_ws(" ", digest, name).alias("_id"))

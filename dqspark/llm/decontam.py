@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import field, pin, with_batches
+from .common import field, pin, row_ids, with_batches
 
 #: Words of a window, and the share of a window's different words that a proximity match has around the rarest.
 WINDOW, NEAR = 10, 0.8
@@ -185,6 +185,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows without a benchmark phrase, columns as they were; a row goes if any row of its key has one."""
-    bad = decontaminate(docs, items, key, text).where("n_hit > 0").select(F.col(key).alias("_bad")).distinct()
-    return docs.join(bad, docs[key].eqNullSafe(bad["_bad"]), "left_anti")
+    """Rows without a benchmark phrase, columns as they were.
+
+    Rows are told apart by key and text: a contaminated text does not take other rows with
+    it that have the same key, or none either.
+    """
+    given = row_ids(docs, key, text)
+    bad = decontaminate(given.select("_id", F.col("row").getField(text).alias("_text")), items, "_id", "_text").where("n_hit > 0").select("_id").distinct()
+    return given.select("row", "_id").join(bad, "_id", "left_anti").select("row.*")

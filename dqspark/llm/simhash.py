@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import field, pin, with_batches
+from .common import field, pin, row_ids, with_batches
 
 #: Words of a shingle, seed of its hash, and the differing bits up to which fingerprints link.
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -216,13 +216,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group of near duplicates, the one with the smallest key; columns as they were.
+    """One row of each group of near duplicates, the one with the smallest key (a null key comes last); columns as they were.
 
-    A key names a document: of rows that repeat a key, and of rows without one, one stays.
+    Rows are told apart by key and text, so different texts without a key, or with the same
+    one, are judged each by itself; of rows equal in both one stays.  Null and blank texts
+    are copies of each other.
     """
-    name = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    found = near_duplicates(docs, key, text)
-    chosen = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(name.alias("_key")).distinct()
-    # the semi join and the removal of repeated keys share one exchange and one sort
-    given = docs.select(F.struct(*docs.columns).alias("row"), name.alias("_key"))
-    return given.join(chosen, "_key", "left_semi").dropDuplicates(["_key"]).select("row.*")
+    given = row_ids(docs, key, text)
+    order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("_id").alias("id"))
+    found = near_duplicates(given.select(order.alias("_order"), F.col("row").getField(text).alias("_text")), "_order", "_text")
+    chosen = found.where(F.col("_order.id") == F.col("component_id.id")).select(F.col("_order.id").alias("_id")).distinct()
+    # the semi join and the removal of repeated rows share one exchange and one sort
+    return given.select("row", "_id").join(chosen, "_id", "left_semi").dropDuplicates(["_id"]).select("row.*")

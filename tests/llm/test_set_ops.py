@@ -110,6 +110,9 @@ def test_repeated_and_null_keys(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert simhash.near_duplicates(df).count() == 5
     assert sorted(str(r.doc_id) for r in simhash.keep_one(df).collect()) == ["1", "None"]
+    lines = [(k, " ".join(f"{c}{i}" for i in range(40))) for k, c in ((None, "a"), (None, "b"), (7, "c"), (7, "d"), (None, "d"))]
+    kept = simhash.keep_one(spark.createDataFrame(lines, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.text[0]) for r in kept) == [("7", "c"), ("7", "d"), ("None", "a"), ("None", "b")]
 
 
 # --- benchmark --------------------------------------------------------------------------
@@ -150,6 +153,14 @@ def test_decontamination_equals_brute_force(spark):
     assert clean == {i for i, text in enumerate(texts) if not hits(text, items)[1]}
 
 
+def test_clean_rows_stay_beside_contaminated_ones_of_the_same_key(spark):
+    item = spark.createDataFrame([("q", "one two three four five six seven eight nine ten")], "item_id string, text string")
+    dirty, clean = "so one two three four five six seven eight nine ten", "nothing to see here"
+    rows = [(None, dirty), (None, clean), (None, None), (3, dirty), (3, clean), (3, clean), (4, "")]
+    kept = decontam.keep_clean(spark.createDataFrame(rows, "doc_id long, text string"), item).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept) == [("3", clean), ("3", clean), ("4", ""), ("None", "None"), ("None", clean)]
+
+
 def test_decontamination_proximity_and_empty_tables(spark):
     item = spark.createDataFrame([("q", "one two three four five six seven eight nine ten")], "item_id string, text string")
     texts = ["one two three four five six seven eight nine ten", "one two three four five six seven eight ten nine", "one two three"]
