@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dqspark.llm import bpe, decontam, langid, nearcopies, pii
+from dqspark.llm import bpe, decontam, langid, pii, simhash
 from dqspark.llm.common import shared_folder
 from dqspark.llm.queries import training_rows
 from dqspark.llm.registry import table
@@ -27,8 +27,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies (five-word runs, similarity 0.8 or more), the one with the smallest id."""
-    return nearcopies.keep_one(docs)
+    """Keep one document of each group of fingerprints (three-word shingles) linked at two or fewer bits, the one with the smallest id."""
+    return simhash.keep_one(docs)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
