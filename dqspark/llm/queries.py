@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html, langid, licenses, pii, quality, simhash, urls
+from . import bpe, decontam, html, langid, licenses, negatives, pii, quality, simhash, substrings, urls, vectors, whitening
 from . import chat as chat_format
 from .registry import register, table
 
@@ -166,3 +166,52 @@ def license_scan(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     return licenses.scan(docs.select("doc_id", path.alias("path"), "text"))
+
+
+SUBSTRINGS_SQL = r"""
+with t as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+p as (select doc_id, unnest(range(1, len(w) - 11)) at, w from t where len(w) >= 13),
+g as (select doc_id, at, sha256(array_to_string(w[at:at + 12], ' ')) g from p),
+f as (select doc_id, at, min(doc_id) over (partition by g) first from g),
+q as (select distinct doc_id, unnest(range(at, at + 13)) q from f where first < doc_id),
+h as (select doc_id, list(q) q from q group by 1)
+select doc_id, cast(len(w) as bigint) n_words, cast(coalesce(len(q), 0) as bigint) n_removed,
+  sha256(array_to_string(case when q is null then w else list_filter(w, lambda x, i: not list_contains(q, i)) end, ' ')) kept_sha256
+from t left join h using (doc_id)
+"""
+
+
+@register("op11_substrings", SUBSTRINGS_SQL)
+def repeated_substrings(spark, sf_dir):
+    return substrings.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+NEGATIVES_SQL = """
+with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end g, list_transform(embedding, lambda c: floor(256 * cast(c as double))) x from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+s as (select a.vec_id anchor_id, b.vec_id other, a.g = b.g same, cast(list_inner_product(a.x, b.x) as bigint) score from e a, e b where a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+p as (select anchor_id, other positive_id, score positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, other) <= 5)
+select anchor_id, positive_id, cast(row_number() over w as integer) as rank, other negative_id, positive_score, score negative_score from p join s using (anchor_id)
+where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+window w as (partition by anchor_id, positive_id order by score desc, other) qualify row_number() over w <= 10
+"""
+
+
+@register("op12_negatives", NEGATIVES_SQL)
+def hard_negatives(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").where(vectors.usable("embedding"))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    given = rows.select("vec_id", moved.alias("label"), vectors.whole("embedding", 256).alias("embedding"))
+    return negatives.mine(given, lambda key: key % 100 == 0)
+
+
+@register("op13_whitening")
+def whitened_vectors(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    model = whitening.fit(rows)
+    share = F.lit(model.explained.tolist()).cast("array<double>")
+    found = whitening.transform(rows, model, ["vec_id"]).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return found.select(
+        "vec_id", (F.col("at") + 1).cast("int").alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
+        F.get(share, F.col("at")).alias("explained"), F.lit(model.identity_error).cast("double").alias("identity_error"),
+    )
