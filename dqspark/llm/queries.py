@@ -170,10 +170,10 @@ def license_scan(spark, sf_dir):
 
 SUBSTRINGS_SQL = r"""
 with t as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
-p as (select doc_id, unnest(range(1, len(w) - 11)) at, w from t where len(w) >= 13),
-g as (select doc_id, at, sha256(array_to_string(w[at:at + 12], ' ')) g from p),
-f as (select doc_id, at, min(doc_id) over (partition by g) first from g),
-q as (select distinct doc_id, unnest(range(at, at + 13)) q from f where first < doc_id),
+p as (select doc_id, unnest(range(1, len(w) - 11)) p, w from t where len(w) >= 13),
+g as (select doc_id, p, sha256(array_to_string(w[p:p + 12], ' ')) g from p),
+f as (select doc_id, p, min(doc_id) over (partition by g) first from g),
+q as (select distinct doc_id, unnest(range(p, p + 13)) q from f where first < doc_id),
 h as (select doc_id, list(q) q from q group by 1)
 select doc_id, cast(len(w) as bigint) n_words, cast(coalesce(len(q), 0) as bigint) n_removed,
   sha256(array_to_string(case when q is null then w else list_filter(w, lambda x, i: not list_contains(q, i)) end, ' ')) kept_sha256

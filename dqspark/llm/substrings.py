@@ -31,36 +31,78 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import field, pin, with_batches
 
 #: Words of the shortest run that counts as repeated, and words of a run that seeds are taken from.
 SIZE, RUN = 13, 4
-#: Different pieces that a shard should get, and pieces of one seed above which its windows are dealt out one by one.
+#: Pieces that a shard should get, and texts that share a seed above which its windows are dealt out one by one.
 SHARD, HOT = 4096, 16_384
+#: Seeds that a task puts together, and pieces that it collects, before they move.
+PAIRS, HELD = 1_000_000, 20_000
 #: Text hashes that a task remembers, so that copies it meets again are hashed once.
 SEEN = 1_000_000
-#: Words hashed at once, about.
-WORDS = 200_000
-#: Bits of a seed's place in the order; the rest orders by hash.
+#: Bytes of text looked at together, about.
+BYTES = 1_000_000
+#: Bits of a run's place in the order of runs; the bits above order by hash.
 PLACE = 28
 BLANK = r"[\x20\x09-\x0D]+"
 SPANS = "array<struct<start: int, end: int>>"
 
 
-class Hashes(dict):
-    """64-bit hashes of words, looked up once while the table has room."""
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").split()
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
 
+class Powers:
+    """Powers of an odd number and of its inverse, modulo 2**64, as many as asked for so far."""
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").split()
+    def __init__(self, base: int = 0x9E3779B97F4A7C15):
+        self.base = np.array([base, pow(base, -1, 1 << 64)], dtype=np.uint64)
+        self.powers = np.ones((2, 1), dtype=np.uint64)
+
+    def __call__(self, n: int) -> np.ndarray:
+        if self.powers.shape[1] < n:
+            steps = np.repeat(self.base[:, None], n, axis=1)
+            steps[:, 0] = 1
+            self.powers = np.cumprod(steps, axis=1, dtype=np.uint64)
+        return self.powers[:, :n]
+
+
+class Words:
+    """The words of some texts: the bytes, and of each word its text, start, end and hash.
+
+    A word's hash is a polynomial of its bytes, taken for all words at once.  Hashes only
+    deal out work; words are compared as they are.
+    """
+
+    def __init__(self, texts: list[bytes], powers: Powers):
+        self.bytes = b"\n".join(texts)
+        data = np.frombuffer(self.bytes, dtype=np.uint8)
+        inside = np.zeros(len(data) + 2, dtype=bool)
+        inside[1:-1] = ~((data == 32) | ((data >= 9) & (data <= 13)))
+        self.start, self.end = np.nonzero(inside[1:-1] & ~inside[:-2])[0], np.nonzero(inside[1:-1] & ~inside[2:])[0] + 1
+        offsets = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
+        self.counts = np.diff(np.searchsorted(self.start, offsets))
+        self.owner = np.repeat(np.arange(len(texts)), self.counts)
+        self.hash = np.zeros(len(self.start), dtype=np.uint64)
+        at = 0
+        while at < len(self.start):
+            to = max(at + 1, int(np.searchsorted(self.end, self.start[at] + BYTES)))
+            low = self.start[at]
+            own = data[low : self.end[to - 1]].astype(np.uint64) + np.uint64(1)
+            up, down = powers(len(own))
+            sums = np.zeros(len(own) + 1, dtype=np.uint64)
+            np.cumsum(own * up, out=sums[1:])
+            a, b = self.start[at:to] - low, self.end[at:to] - low
+            self.hash[at:to] = mixed((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
+            at = to
+
+    def line(self, first: int, last: int) -> bytes:
+        """Words first to last, last exclusive, joined by one blank."""
+        return b" ".join(self.bytes[self.start[first] : self.end[last - 1]].split())
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -68,22 +110,19 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def pieces(lists: list[list[bytes]], hashes: Hashes, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, seed, start, windows) of every piece: ``windows`` runs of ``size`` words, the first at word ``start``.
+def pieces(words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, seed, word, windows) of every piece: ``windows`` runs of ``size`` words, the first at that word.
 
-    The seed depends on the words of a window only: of its runs the one with the smallest
-    hash, the first of equal ones.  A piece ends where its windows' seed moves.
+    The seed depends on the words of a window only: of its short runs the one with the
+    smallest hash, the first of equal ones.  A piece ends where its windows' seed moves.
     """
-    run = min(RUN, size)
-    lengths = np.array([len(w) for w in lists], dtype=np.int64)
-    total, starts = int(lengths.sum()), np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    run, total = min(RUN, size), len(words.start)
     none = np.zeros(0, dtype=np.int64)
     if total < size:
         return none, none, none, none
-    h = np.fromiter((hashes[w] for words in lists for w in words), dtype=np.uint64, count=total)
     made = np.zeros(total - run + 1, dtype=np.uint64)
     for i in range(run):
-        made = mixed(made + h[i : total - run + 1 + i] + np.uint64(i + 1))
+        made = mixed(made + words.hash[i : total - run + 1 + i] + np.uint64(i + 1))
     place = np.uint64((1 << PLACE) - 1)
     least = (made & ~place) | np.arange(len(made), dtype=np.uint64)
     width, span = size - run + 1, 1
@@ -91,37 +130,53 @@ def pieces(lists: list[list[bytes]], hashes: Hashes, size: int) -> tuple[np.ndar
         step = min(span, width - span)
         least = np.minimum(least[:-step], least[step:])
         span += step
-    owner = np.repeat(np.arange(len(lists)), lengths)
     windows = len(least)
-    inside = owner[:windows] == owner[size - 1 : size - 1 + windows]
+    inside = words.owner[:windows] == words.owner[size - 1 : size - 1 + windows]
     at = (least & place).astype(np.int64)
     first = inside & np.concatenate([[True], (at[1:] != at[:-1]) | ~inside[:-1]])
     begins = np.nonzero(first)[0]
     if not len(begins):
         return none, none, none, none
-    counts = np.add.reduceat(inside.astype(np.int64), begins)
-    return owner[begins], made[at[begins]].view(np.int64), begins - starts[owner[begins]], counts
+    return words.owner[begins], made[at[begins]].view(np.int64), begins, np.add.reduceat(inside.astype(np.int64), begins)
 
 
-def grouped(texts: list[str | None]) -> Iterator[tuple[int, list[list[bytes]]]]:
-    """Texts as words, some at a time: (number of the first, words of each)."""
+def grouped(texts: list[str | None], powers: Powers) -> Iterator[tuple[int, Words]]:
+    """Texts as words, about a megabyte at a time: (number of the first, words)."""
     held, first, count = [], 0, 0
     for i, text in enumerate(texts):
-        words = words_of(text)
-        held.append(words)
-        count += len(words)
-        if count >= WORDS:
-            yield first, held
+        held.append((text or "").encode("utf-8", "surrogatepass"))
+        count += len(held[-1])
+        if count >= BYTES:
+            yield first, Words(held, powers)
             held, first, count = [], i + 1, 0
     if held:
-        yield first, held
+        yield first, Words(held, powers)
 
 
 def seeds(texts: DataFrame, size: int) -> DataFrame:
-    """(seed, h): the different seeds of each text of ``_text``; ``h`` is a hash of the text."""
+    """(seed, h, n, known): the seeds of each text of ``_text``; ``h`` is a hash of the text.
+
+    A task puts the seeds of many texts together first.  A seed that it finds in several
+    texts is known to be shared for each of them; besides, one row of every seed, with the
+    number of its texts, goes on to meet those of other tasks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = Hashes(), set()
+        powers, seen, held, count = Powers(), set(), [], 0
+
+        def out() -> pa.RecordBatch:
+            seed, h = (np.concatenate(c) for c in zip(*held, strict=True))
+            order = np.lexsort((h, seed))
+            seed, h = seed[order], h[order]
+            new = np.ones(len(seed), dtype=bool)  # different (seed, h)
+            new[1:] = (seed[1:] != seed[:-1]) | (h[1:] != h[:-1])
+            seed, h = seed[new], h[new]
+            first = np.nonzero(np.concatenate([[True], seed[1:] != seed[:-1]]))[0]
+            n = np.diff(np.append(first, len(seed)))
+            known = np.repeat(n > 1, n)
+            columns = [np.concatenate([seed[first], seed[known]]), np.concatenate([h[first], h[known]]), np.concatenate([n, np.zeros(known.sum(), np.int64)]), np.repeat([False, True], [len(first), known.sum()])]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["seed", "h", "n", "known"])
+
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -130,64 +185,140 @@ def seeds(texts: DataFrame, size: int) -> DataFrame:
                 if len(seen) > SEEN:
                     seen.clear()
                 hs = part.column(0).to_numpy(zero_copy_only=False)
-                for first, lists in grouped(part.column(1).to_pylist()):
-                    owner, seed, _, _ = pieces(lists, hashes, size)
-                    order = np.lexsort((seed, owner))
-                    owner, seed = owner[order], seed[order]
-                    once = np.ones(len(seed), dtype=bool)
-                    once[1:] = (owner[1:] != owner[:-1]) | (seed[1:] != seed[:-1])
-                    yield pa.RecordBatch.from_arrays([pa.array(seed[once]), pa.array(hs[first + owner[once]])], names=["seed", "h"])
+                for first, words in grouped(part.column(1).to_pylist(), powers):
+                    owner, seed, _, _ = pieces(words, size)
+                    if len(seed):
+                        held.append((seed, hs[first + owner]))
+                        count += len(seed)
+                    if count > PAIRS:
+                        yield out()
+                        held, count = [], 0
+        if held:
+            yield out()
 
-    return texts.select("h", "_text").mapInArrow(run, "seed long, h long")
+    return texts.select("h", "_text").mapInArrow(run, "seed long, h long, n long, known boolean")
 
 
-def shared_seeds(pairs: DataFrame) -> DataFrame:
-    """(h, found): for each text hash the seeds that another text has too."""
-    counted = pairs.groupBy("seed").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low < high").select("seed")
-    return pairs.join(counted, "seed").groupBy("h").agg(F.collect_set("seed").alias("found"))
+def shared_seeds(found: DataFrame, hot: int = HOT) -> DataFrame:
+    """(h, found): for each text hash the seeds that another text has too, with the number of parts their windows are dealt into.
 
-
-def placed(candidates: DataFrame, size: int) -> DataFrame:
-    """(tid, first, digest, seed, start, words): the pieces of each candidate text that have a shared seed."""
-    schema = candidates.select("tid", "first").schema
-    for name, kind in (("digest", "binary"), ("seed", "long"), ("start", "int"), ("words", "binary")):
-        schema.add(field(name, kind))
-    names, kinds = schema.names, (pa.binary(), pa.int64(), pa.int32(), pa.binary())
+    Rows of one seed meet in one task, at most one from each group of texts that
+    :func:`seeds` took together; seeds known to be shared keep out of it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, digest = Hashes(), xxhash.xxh3_128_digest
+        rest = [np.zeros(0, np.int64) for _ in range(3)]
+
+        def settled(seed, h, n, known) -> pa.RecordBatch:
+            first = np.nonzero(np.concatenate([[True], seed[1:] != seed[:-1]]))[0] if len(seed) else np.zeros(0, np.int64)
+            each = np.diff(np.append(first, len(seed)))
+            total, shared = (np.add.reduceat(n, first), np.minimum.reduceat(h, first) != np.maximum.reduceat(h, first)) if len(first) else (each, each > 1)
+            told = np.repeat(shared | (total > hot), each)
+            columns = [np.concatenate([seed[told], known[0]]), np.concatenate([h[told], known[1]]), np.concatenate([np.repeat(total, each)[told], np.zeros(len(known[0]), np.int64)])]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["seed", "h", "n"])
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                found = part.column(3).to_pylist()
-                for first, lists in grouped(part.column(2).to_pylist()):
-                    wanted, rows, owners = [set(found[first + i]) for i in range(len(lists))], [], []
-                    for i, seed, start, count in zip(*(c.tolist() for c in pieces(lists, hashes, size)), strict=True):
-                        if seed in wanted[i]:
-                            line = b" ".join(lists[i][start : start + count + size - 1])
-                            rows.append((digest(line), seed, start, line))
-                            owners.append(first + i)
-                    index = pa.array(owners, pa.int64())
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(index), part.column(1).take(index), *[pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]], names=names)
+            seed, h, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            known = batch.column(3).to_numpy(zero_copy_only=False)
+            own = [np.concatenate([r, c[~known]]) for r, c in zip(rest, (seed, h, n), strict=True)]
+            open_ = len(own[0]) and int(np.searchsorted(own[0], own[0][-1]))  # the last seed may go on in the next batch
+            rest = [c[open_:] for c in own]
+            yield settled(*[c[:open_] for c in own], (seed[known], h[known]))
+        yield settled(*rest, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+
+    dealt_ = found.repartition(F.when(F.col("known"), F.col("h")).otherwise(F.col("seed"))).sortWithinPartitions("known", "seed")
+    met = dealt_.mapInArrow(run, "seed long, h long, n long")
+    many = met.where(F.col("n") > hot).select("seed", F.ceil(F.col("n") / hot).cast("int").alias("parts")).distinct()
+    parts = F.coalesce("parts", F.lit(1))
+    return met.select("seed", "h").join(many, "seed", "left").groupBy("h").agg(F.collect_set(F.struct("seed", parts.alias("parts"))).alias("found"))
+
+
+class Wanted:
+    """The shared seeds of some texts, and which pieces have one."""
+
+    def __init__(self, lists: pa.ListArray):
+        number, flat = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten()
+        name = self.name(flat.field("seed").to_numpy(zero_copy_only=False), number)
+        order = np.argsort(name)
+        self.names, self.parts = name[order], flat.field("parts").to_numpy(zero_copy_only=False)[order]
+
+    @staticmethod
+    def name(seed: np.ndarray, number: np.ndarray) -> np.ndarray:
+        return mixed(seed.astype(np.uint64) + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+    def of(self, seed: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Parts of each seed, 0 where it is not shared."""
+        asked = self.name(seed, number)
+        at = np.minimum(np.searchsorted(self.names, asked), max(0, len(self.names) - 1))
+        return np.where(self.names[at] == asked, self.parts[at], 0) if len(self.names) else np.zeros(len(seed), np.int32)
+
+
+def lines(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple]:
+    """(rows, row, start, seed, part, line) of each shared piece of each text, a group of texts at a time.
+
+    Where very many texts share a seed its windows are pieces by themselves, and their own
+    hash tells the part: contexts of a hot phrase that differ then lie in many shards.
+    """
+    powers = Powers()
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            rows = batch.slice(at, 256)
+            wanted = Wanted(rows.column(3))
+            for first, words in grouped(rows.column(2).to_pylist(), powers):
+                owner, seed, word, count = pieces(words, size)
+                parts = wanted.of(seed, first + owner)
+                kept = np.nonzero(parts)[0]
+                owner, seed, word, count, parts = owner[kept], seed[kept], word[kept], count[kept], parts[kept]
+                start = word - np.concatenate([[0], np.cumsum(words.counts)])[owner]
+                found = []
+                for o, s, w, n, p, b in zip(*(c.tolist() for c in (owner, seed, word, count, parts, start)), strict=True):
+                    if p == 1:
+                        found.append((first + o, b, s, 0, words.line(w, w + n + size - 1)))
+                    else:
+                        windows = [words.line(w + i, w + i + size) for i in range(n)]
+                        found += [(first + o, b + i, s, xxhash.xxh3_64_intdigest(line) % p, line) for i, line in enumerate(windows)]
+                yield rows, found
+
+
+def different_pieces(candidates: DataFrame, size: int) -> DataFrame:
+    """(seed, part, key, words): the shared pieces, each different one once from each of a task's groups of texts, under its smallest key."""
+    kind = candidates.schema["first"]
+    schema = T.StructType([field("seed", "long"), field("part", "int"), T.StructField("key", kind.dataType), field("words", "binary")])
+    arrow, names = [to_arrow_type(f.dataType) for f in schema], schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, tuple] = {}
+
+        def out() -> pa.RecordBatch:
+            rows = [(seed, part, key, line) for line, (seed, part, key) in held.items()]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(arrow)], names=names)
+
+        for rows, found in lines(batches, size):
+            keys = rows.column(1).to_pylist()
+            for row, _, seed, part, line in found:
+                key, old = keys[row], held.get(line)
+                if old is None or old[2] is None or (key is not None and key < old[2]):
+                    held[line] = seed, part, key
+            if len(held) > HELD:
+                yield out()
+                held = {}
+        yield out()
 
     return candidates.select("tid", "first", "_text", "found").mapInArrow(run, schema)
 
 
-def dealt(owned: DataFrame, size: int, shard: int, hot: int) -> DataFrame:
-    """(shard, digest, at, words, key): the different pieces by shard; ``at`` is the window of the piece that ``words`` begin with.
+def occurrences(candidates: DataFrame, size: int) -> DataFrame:
+    """(tid, first, digest, start): where the shared pieces stand."""
+    schema = T.StructType([*candidates.select("tid", "first").schema, field("digest", "binary"), field("start", "int")])
+    names = schema.names
 
-    Equal windows have equal seeds.  The windows of a seed with very many pieces, a hot
-    phrase in ever other contexts, are dealt one by one, by their own hash.
-    """
-    many = owned.groupBy("seed").count().where(F.col("count") > hot)
-    joined = owned.join(many.select("seed", F.ceil(F.col("count") / hot).alias("parts")), "seed", "left")
-    words = F.split(F.col("words").cast("string"), " ")
-    windows = F.transform(F.sequence(F.lit(0), F.size(words) - size), lambda i: F.struct(i.alias("at"), F.array_join(F.slice(words, i + 1, F.lit(size)), " ").cast("binary").alias("words")))
-    whole = F.array(F.struct(F.lit(0).alias("at"), F.col("words").alias("words")))
-    lines = joined.select("digest", "seed", "key", "parts", F.explode(F.when(F.col("parts").isNull(), whole).otherwise(windows)).alias("line")).select("digest", "seed", "key", "parts", "line.*")
-    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("words"), F.col("parts")))
-    shards = max(1, -(-owned.count() // shard))
-    return lines.select(F.pmod(F.xxhash64("seed", part), F.lit(shards)).alias("shard"), "digest", "at", "words", "key")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, found in lines(batches, size):
+            index = pa.array([f[0] for f in found], pa.int64())
+            digests = pa.array([xxhash.xxh3_128_digest(f[4]) for f in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(index), rows.column(1).take(index), digests, pa.array([f[1] for f in found], pa.int32())], names=names)
+
+    return candidates.select("tid", "first", "_text", "found").mapInArrow(run, schema)
 
 
 class Automaton:
@@ -280,24 +411,30 @@ def repeats(docs: DataFrame, key: str, text: str, size: int = SIZE, shard: int =
     """
     given = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("_text"), text_id(text).alias("tid"))
     texts = pin(given.groupBy("tid").agg(F.min("key").alias("first")))
-    wanted = shared_seeds(seeds(given.select(F.xxhash64("tid").alias("h"), "_text"), size))
+    wanted = pin(shared_seeds(seeds(given.select(F.xxhash64("tid").alias("h"), "_text"), size), hot))
+    shards = max(1, -(-(wanted.agg(F.sum(F.size("found"))).first()[0] or 0) // shard))
     listed = texts.withColumn("h", F.xxhash64("tid")).join(wanted, "h").select(F.col("tid").alias("_tid"), "first", "found")
     same = (F.col("tid") == F.col("_tid")) & F.col("key").eqNullSafe(F.col("first"))  # a text counts under its smallest key
-    candidates = pin(given.join(listed, same).select("tid", "first", "_text", "found"))
-    each = placed(candidates, size)
-    owned = pin(each.groupBy("digest", "words", "seed").agg(F.min("first").alias("key")))
-    schema = owned.select("digest").schema.add(field("at", "int")).add(field("keys", f"array<{owned.schema['key'].dataType.simpleString()}>"))
-    names, kind = schema.names, to_arrow_type(schema["keys"].dataType)
+    # read thrice with the same columns, so that one exchange of the texts serves all
+    candidates = given.join(listed, same).select("tid", "first", "_text", "found")
+    kind = given.schema["key"].dataType
+    schema = T.StructType([field("digest", "binary"), T.StructField("keys", T.ArrayType(kind))])
+    list_kind = to_arrow_type(schema["keys"].dataType)
 
     def match(group: pa.Table) -> pa.Table:
-        lists = first_keys(group.column("words").to_pylist(), group.column("key").to_pylist(), size)
-        return pa.table([group.column("digest"), group.column("at"), pa.array(lists, kind)], names=names)
-
-    matched = dealt(owned, size, shard, hot).groupBy("shard").applyInArrow(match, schema)
+        held: dict[bytes, object] = {}
+        for line, key in zip(group.column("words").to_pylist(), group.column("key").to_pylist(), strict=True):
+            old = held.get(line, key)
+            held[line] = key if old is None or (key is not None and key < old) else old
+        found = first_keys(list(held), list(held.values()), size)
+        return pa.table([pa.array([xxhash.xxh3_128_digest(w) for w in held], pa.binary()), pa.array(found, list_kind)], names=schema.names)
+
+    dealt_ = different_pieces(candidates, size).select(F.pmod(F.xxhash64("seed", "part"), F.lit(shards)).alias("shard"), "key", "words")
+    matched = dealt_.groupBy("shard").applyInArrow(match, schema)
     mask = F.expr("aggregate(transform(keys, (k, i) -> if(k is not null and (first is null or k < first), shiftleft(1, i), 0)), 0, (a, b) -> a | b)")
-    met = each.select("digest", "tid", "first", "start").join(matched, "digest")
-    hits = met.select("tid", (F.col("start") + F.col("at")).alias("start"), mask.alias("mask")).where("mask <> 0")
-    return texts, candidates.select("tid", "_text").join(hits.groupBy("tid").agg(F.collect_set(F.struct("start", "mask")).alias("hits")), "tid")
+    met = occurrences(candidates, size).join(matched, "digest")
+    hits = met.select("tid", "start", mask.alias("mask")).where("mask <> 0").groupBy("tid").agg(F.collect_set(F.struct("start", "mask")).alias("hits"))
+    return texts, candidates.select("tid", "first", "_text", "found").join(hits, "tid")
 
 
 def text_id(text: str) -> Column:

@@ -89,10 +89,13 @@ def test_query_equals_brute_force(spark):
 def test_pieces_hold_every_window_once_with_a_seed_of_its_own_words():
     draw, size = random.Random(2), 13
     lists = [[draw.choice([b"a", b"b", b"c", b"dd"]) for _ in range(draw.choice([0, 3, 12, 13, 14, 200]))] for _ in range(60)]
-    owner, seed, start, count = (c.tolist() for c in substrings.pieces(lists, substrings.Hashes(), size))
+    held = substrings.Words([draw.choice([b" ", b"\n "]).join(w) for w in lists], substrings.Powers())
+    assert held.counts.tolist() == [len(w) for w in lists]
+    before = [sum(map(len, lists[:i])) for i in range(len(lists))]
     seen, seed_of = [], {}
-    for o, s, at, n in zip(owner, seed, start, count, strict=True):
-        assert n <= size - substrings.RUN + 1
+    for o, s, word, n in zip(*(c.tolist() for c in substrings.pieces(held, size)), strict=True):
+        assert n <= size - substrings.RUN + 1 and held.line(word, word + size) == b" ".join(lists[o][word - before[o] :][:size])
+        at = word - before[o]
         for i in range(at, at + n):
             seen.append((o, i))
             assert seed_of.setdefault(tuple(lists[o][i : i + size]), s) == s
