@@ -40,8 +40,13 @@ def copies(df: DataFrame, layout: Layout) -> DataFrame:
 
 def duplicate_counts(df: DataFrame, layout: Layout) -> DataFrame:
     """(by..., duplicate_row_count, rows_in_duplicate_groups): excess copies, and all copies."""
+    return excess(copies(df, layout), layout)
+
+
+def excess(counted: DataFrame, layout: Layout) -> DataFrame:
+    """The same from the number of copies of each distinct row."""
     return aggregate(
-        copies(df, layout),
+        counted,
         list(layout.by),
         duplicate_row_count="coalesce(sum(copies - 1), 0L)",
         rows_in_duplicate_groups="coalesce(sum(if(copies > 1, copies, 0L)), 0L)",

@@ -3,22 +3,24 @@
 Passes over the data, each independent of the number of columns and rules:
 
 1. ``measure``: one grouped aggregate over the cells; shuffles one row per column and task.
-2. ``distinct_measures``: value frequencies, the only pass that moves values.
-3. ``exact_quantiles`` and an outlier count, over the numeric columns only.
-4. duplicate rows, by digest.
+2. ``frequencies``: how often each value occurs, the only pass that moves values.  Distinct
+   counts, quantiles, outliers and casing variants are taken from its table.
+3. duplicate rows, by digest.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from ..functions import fixed, names, values
 from ..functions.values import lit, py_round, ratio
 from ..session import pin, small_side
 from . import privacy
-from .cells import DIGEST_ABOVE, Layout, aggregate, cells, counting_key, key_order, side_by_side, value_counts, with_names
+from .cells import DIGEST_ABOVE, Layout, aggregate, by_value, cells, counting_key, frequencies, key_order, side_by_side, value_counts, with_names
 from .duplicates import duplicate_counts
 from .quantiles import exact_quantiles
 
@@ -97,21 +99,19 @@ def distinct_measures(df: DataFrame, layout: Layout, only: list[str] | None = No
     ``distinct_text`` counts blanks as a value, ``unique_count`` does not;
     ``repeated_rows`` counts all rows whose non-blank value occurs more than once.
     """
+    return distinct_counts(value_counts(df, layout, only).selectExpr("*", "1L as spellings"), layout)
+
+
+def distinct_counts(valued: DataFrame, layout: Layout) -> DataFrame:
+    """The same from a table of values with ``n`` and ``spellings``; ``unique_count`` counts every spelling."""
     return aggregate(
-        value_counts(df, layout, only), [*layout.by, "ord"],
+        valued, [*layout.by, "ord"],
         distinct_text="count(1)",
-        unique_count="count_if(value <> '')",
+        unique_count="coalesce(sum(if(value <> '', spellings, 0L)), 0L)",
         repeated_rows="coalesce(sum(if(value <> '' and n > 1, n, 0L)), 0L)",
     )
 
 
-def raw_distinct(df: DataFrame, layout: Layout, only: list[str]) -> DataFrame:
-    """Distinct unstripped values, needed only for columns that hold padded values."""
-    long = cells(df, layout, only, parse=False).where("text <> ''")
-    kept = long.selectExpr(*layout.slices, "ord", f"if(char_length(raw) > {DIGEST_ABOVE}, {counting_key('raw')}, concat('=', raw)) as value").distinct()
-    return aggregate(kept, [*layout.by, "ord"], raw_unique="count(1)")
-
-
 def inferred_type(layout: Layout, options: Options) -> str:
     """Semantic type of a column from its measures: the first line that holds decides."""
     share = lambda part: ratio(part, "non_null")
@@ -130,33 +130,52 @@ def inferred_type(layout: Layout, options: Options) -> str:
         else 'text' end"""
 
 
-def column_measures(df: DataFrame, layout: Layout, options: Options = DEFAULT) -> DataFrame:
-    """Measures, distinct counts and inferred type, pinned: one row per slice and column."""
-    keys = [*layout.by, "ord"]
-    counted: list[str] | None = None
+@dataclass(frozen=True)
+class Counted:
+    """What one pass over the cells and one over the values leave: both tables are pinned.
+
+    ``measures`` has a row per slice and column, ``values`` the frequencies of
+    ``cells.frequencies`` for the columns in ``exact`` (all but the sketched ones).
+    """
+
+    measures: DataFrame
+    values: DataFrame | None
+    padded: tuple[str, ...]
+    exact: tuple[str, ...]
+
+
+def count_cells(df: DataFrame, layout: Layout, options: Options = DEFAULT, keep: bool = True) -> Counted:
+    """Measures and value frequencies of a table, in two passes.
+
+    Without ``keep`` the frequencies are not written, for callers that read them once.
+    """
+    base = pin(measure(df, layout, options))
+    exact = layout.columns
     if options.approximate_distinct:
-        counted = [c for c in layout.columns if names.has_token(c, fixed.KEY_NAME, options.name_match)]
-    base = measure(df, layout, options)
-    if counted == []:
-        full = base.selectExpr(
-            "*", "approx_distinct as distinct_text", "approx_distinct as unique_count", "0L as repeated_rows"
-        )
+        exact = tuple(c for c in layout.columns if names.has_token(c, fixed.KEY_NAME, options.name_match))
+    padded = tuple(layout.columns[r[0]] for r in base.where("padded > 0").select("ord").distinct().collect())
+    values_ = frequencies(df, layout, list(exact), list(padded)) if exact else None
+    return Counted(base, pin(values_) if keep and exact else values_, padded, exact)
+
+
+def with_distinct(counted: Counted, layout: Layout, options: Options = DEFAULT) -> DataFrame:
+    """Measures, distinct counts and inferred type, pinned: one row per slice and column."""
+    if counted.values is None:
+        full = counted.measures.selectExpr("*", "approx_distinct as distinct_text", "approx_distinct as unique_count", "0L as repeated_rows")
     else:
-        full = base.join(distinct_measures(df, layout, counted), keys, "left").selectExpr(
-            *layout.slices, "* except (distinct_text, unique_count, repeated_rows)"
-            if not layout.by else f"* except ({', '.join([*layout.slices, 'distinct_text', 'unique_count', 'repeated_rows'])})",
-            f"coalesce(distinct_text, {'approx_distinct' if counted else '0L'}) as distinct_text",
-            f"coalesce(unique_count, {'approx_distinct' if counted else '0L'}) as unique_count",
-            "coalesce(repeated_rows, 0L) as repeated_rows",
+        valued = by_value(counted.values, layout) if counted.padded else counted.values.selectExpr("*", "1L as spellings")
+        other = "approx_distinct" if options.approximate_distinct else "0L"
+        dropped = ", ".join([*(layout.slices if layout.by else []), "distinct_text", "unique_count", "repeated_rows"])
+        full = counted.measures.join(distinct_counts(valued, layout), [*layout.by, "ord"], "left").selectExpr(
+            *layout.slices, f"* except ({dropped})", f"coalesce(distinct_text, {other}) as distinct_text",
+            f"coalesce(unique_count, {other}) as unique_count", "coalesce(repeated_rows, 0L) as repeated_rows",
         )
-    full = pin(full)
-    padded = [layout.columns[r[0]] for r in full.where("padded > 0").select("ord").distinct().collect()]
-    if padded and not options.approximate_distinct:
-        full = full.join(raw_distinct(df, layout, padded), keys, "left").selectExpr(
-            "* except (unique_count, raw_unique)", "coalesce(raw_unique, unique_count) as unique_count"
-        )
-        full = pin(full)
-    return full.selectExpr("*", f"{inferred_type(layout, options)} as inferred_type")
+    return pin(full).selectExpr("*", f"{inferred_type(layout, options)} as inferred_type")
+
+
+def column_measures(df: DataFrame, layout: Layout, options: Options = DEFAULT) -> DataFrame:
+    """``with_distinct`` of a table whose value frequencies nobody else needs."""
+    return with_distinct(count_cells(df, layout, options, keep=False), layout, options)
 
 
 NO_OUTLIERS = (
@@ -164,11 +183,40 @@ NO_OUTLIERS = (
 )
 
 
-def outlier_measures(df: DataFrame, layout: Layout, measures: DataFrame, options: Options = DEFAULT) -> DataFrame:
+def numbers_in(df: DataFrame | None, layout: Layout, ords: list[int], counted: Counted | None, long_values: bool) -> DataFrame:
+    """(by..., ord, num, plain, n): the numbers of the chosen columns, read from their frequencies where there are any.
+
+    Typed numbers come back from their text unchanged; a text over 256 characters is kept by
+    digest only, so numbers written that long are read from the rows.
+    """
+    columns = [layout.columns[i] for i in ords]
+    kept = [c for c in columns if counted is not None and counted.values is not None and c in counted.exact]
+    parts = []
+    if kept:
+        typed = layout.where(lambda c: layout.kind(c) == "numeric")
+        single = layout.where(lambda c: isinstance(layout.types[c], T.FloatType))
+        read = f"case when {single} then cast(try_cast(value as float) as double) when {typed} then try_cast(value as double) else {values.number_in('value')} end"
+        found = counted.values.where(values.among("ord", [layout.ordinal(c) for c in kept])).selectExpr(*layout.slices, "ord", "value", "n", f"{read} as plain")
+        commas = f"if(contains(value, ','), {values.number_in('value', True)}, plain)"
+        parts.append(found.selectExpr(*layout.slices, "ord", f"{commas} as num", "plain", "n"))
+    rest = [c for c in columns if c not in kept]
+    if rest:
+        parts.append(cells(df, layout, rest, render=False).selectExpr(*layout.slices, "ord", "num", "plain", "1L as n"))
+    if kept and long_values and df is not None:
+        texts = [c for c in kept if layout.kind(c) == "text"]
+        if texts:
+            parts.append(cells(df, layout, texts).where(f"char_length(text) > {DIGEST_ABOVE}").selectExpr(*layout.slices, "ord", "num", "plain", "1L as n"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def outlier_measures(
+    df: DataFrame | None, layout: Layout, measures: DataFrame, options: Options = DEFAULT, counted: Counted | None = None
+) -> DataFrame:
     """Quartiles and outlier counts of the numeric columns.
 
     Two readings exist: ``num`` (thousands commas dropped) for profiles and ``plain``
-    for the outlier detector.  They share one pass unless commas occur.
+    for the outlier detector.  They share one pass unless commas occur.  With ``counted``
+    the numbers are taken from its frequencies; the rows are not read again.
     """
     keys = [*layout.by, "ord"]
     skipped = layout.named(fixed.NOT_OUTLIER_NAME, options.name_match)
@@ -176,24 +224,25 @@ def outlier_measures(df: DataFrame, layout: Layout, measures: DataFrame, options
         f"(inferred_type = 'numeric' and numbers >= 4) or (not {skipped} and plain_numbers >= 8)"
     )
     facts = wanted.selectExpr(
-        "collect_set(ord) as ords", "coalesce(max(numbers <> plain_numbers), false) as commas",
+        "sort_array(collect_set(ord)) as ords", "coalesce(max(numbers <> plain_numbers), false) as commas",
+        f"coalesce(max(len_max) > {DIGEST_ABOVE}, false) as long_values",
     ).first()
     if not facts["ords"]:
         fields = [f"cast(null as {part.split()[1]}) as {part.split()[0]}" for part in NO_OUTLIERS.split(", ")]
         return measures.where("false").selectExpr(*layout.slices, "ord", *fields)
-    long = cells(df, layout, [layout.columns[i] for i in facts["ords"]], render=False)
     readings = "struct('num' as reading, num as x)"
     if facts["commas"]:
         readings += ", struct('plain' as reading, plain as x)"
-    numbers = long.selectExpr(*layout.slices, "ord", f"inline(array({readings}))").where("x is not null")
+    read = numbers_in(df, layout, facts["ords"], counted, facts["long_values"])
+    numbers = pin(read.selectExpr(*layout.slices, "ord", "n", f"inline(array({readings}))").where("x is not null"))
     keyed = [*keys, "reading"]
-    bounds = pin(exact_quantiles(numbers, keyed, [0.25, 0.5, 0.75]))
+    bounds = pin(exact_quantiles(numbers, keyed, [0.25, 0.5, 0.75], weight="n"))
     reach = f"{IQR_REACH}D * (q2 - q0)"
-    counted = aggregate(
-        numbers.join(small_side(bounds.where("q2 <> q0")), keyed), keyed,
-        outliers=f"count_if(x < q0 - {reach} or x > q2 + {reach})",
+    beyond = aggregate(
+        numbers.withColumnRenamed("n", "times").join(small_side(bounds.where("q2 <> q0")), keyed), keyed,
+        outliers=f"coalesce(sum(if(x < q0 - {reach} or x > q2 + {reach}, times, 0L)), 0L)",
     )
-    full = pin(bounds.join(counted, keyed, "left").fillna({"outliers": 0}))
+    full = pin(bounds.join(beyond, keyed, "left").fillna({"outliers": 0}))
     plain = "plain" if facts["commas"] else "num"
     return aggregate(
         full, keys,
@@ -217,24 +266,13 @@ def cardinality(unique: str, rows: str) -> str:
     )
 
 
-# Points a column's state adds to its risk score, and the signal shown for it.
-RISK_PARTS = (
-    ("inferred_type = 'empty'", 70, "no usable values"),
-    ("missing_rate >= 0.5D", 45, "at least half of the values are missing"),
-    ("missing_rate >= 0.1D and missing_rate < 0.5D", 25, "a material share of values is missing"),
-    ("missing_rate > 0D and missing_rate < 0.1D", 8, "some values are missing"),
-    ("outlier_rate >= 0.1D", 30, "many numeric outliers"),
-    ("outlier_rate > 0D and outlier_rate < 0.1D", 12, "some numeric outliers"),
-    ("constant", 20, "a single repeated value"),
-)
-
-
 def risk_score() -> str:
-    return "least(100, " + " + ".join(f"if({test}, {points}, 0)" for test, points, _ in RISK_PARTS) + ")"
+    """Points for what a column's measures show."""
+    return "least(100, " + " + ".join(f"if({test}, {points}, 0)" for _, points, test in fixed.RISK_POINTS) + ")"
 
 
 def risk_signals() -> str:
-    told = ", ".join(f"if({test}, {lit(signal)}, null)" for test, _, signal in RISK_PARTS)
+    told = ", ".join(f"if({test}, {lit(code)}, null)" for code, _, test in fixed.RISK_POINTS)
     return f"filter(array({told}), s -> s is not null)"
 
 
@@ -285,8 +323,9 @@ def profile_columns(
 ) -> DataFrame:
     """One row per (slice and) column: the whole column profile."""
     layout = Layout.of(df, by or [], columns)
-    measures = column_measures(df, layout, options)
-    scored = described(layout, measures, outlier_measures(df, layout, measures, options), options)
+    counted = count_cells(df, layout, options)
+    measures = with_distinct(counted, layout, options)
+    scored = described(layout, measures, outlier_measures(df, layout, measures, options, counted), options)
     return column_profiles(layout, scored, options)
 
 

@@ -25,18 +25,19 @@ OUTERMOST = 1_000_000
 
 
 def exact_quantiles(
-    numbers: DataFrame, keys: list[str], probabilities: list[float], buckets: int = BUCKETS,
+    numbers: DataFrame, keys: list[str], probabilities: list[float], buckets: int = BUCKETS, weight: str | None = None,
 ) -> DataFrame:
     """(keys..., n, q0, q1, ...) for the non-null ``x`` of each group; NaN counts as null.
 
-    Infinite values count like any other.  ``buckets`` changes the number of passes only:
+    Infinite values count like any other.  ``weight`` names a column of whole numbers: a row
+    stands for so many equal values, as in a frequency table.  ``buckets`` changes the number of passes only:
     two for most data, more where values differ in their last digits only.
     """
     by = [F.col(k) for k in keys]
-    numbers = numbers.select(*by, F.expr("nanvl(x, null)").alias("x")).where("x is not null")
+    numbers = numbers.select(*by, F.expr("nanvl(x, null)").alias("x"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("w")).where("x is not null and w > 0")
     size = f"floor(log2(abs(x)) * {PER_DOUBLING}D) + {OFFSET}"
     bucket = f"cast(case when x = 0 then 0 when abs(x) = double('infinity') then sign(x) * {OUTERMOST} else sign(x) * ({size}) end as int)"
-    first = _running(_counted(numbers.select(*by, F.expr(bucket).alias("bucket"), "x"), keys), keys)
+    first = _running(_counted(numbers.select(*by, F.expr(bucket).alias("bucket"), "x", "w"), keys), keys)
     places = ", ".join(f"cast(floor((total - 1) * {float(p)!r}D) as bigint), cast(ceil((total - 1) * {float(p)!r}D) as bigint)" for p in probabilities)
     held = f"filter(array_distinct(array({places})), r -> r >= before and r < before + n)"
     state = first.selectExpr(*[f"`{k}`" for k in keys], "total", f"explode({held}) as rank", "before", "least as low", "most as high")
@@ -51,7 +52,7 @@ def exact_quantiles(
         # Halves keep the width finite for bounds of opposite sign.
         place = f"if(x = low, 0, if(x = high, {buckets}, least(cast(floor((x / 2 - low / 2) / (high / 2 - low / 2) * {buckets}D) as int), {buckets})))"
         inner = [*keys, "low", "high"]
-        counts = _counted(inside.select(*inner, F.expr(place).alias("bucket"), "x"), inner)
+        counts = _counted(inside.select(*inner, F.expr(place).alias("bucket"), "x", "w"), inner)
         met = state.join(_running(counts, inner).drop("total"), inner).where("offset >= before and offset < before + n")
         state = pin(met.select(*by, "total", "rank", (F.col("offset") - F.col("before")).alias("offset"), F.col("least").alias("low"), F.col("most").alias("high")))
         found.append(state.where("low = high"))
@@ -70,7 +71,7 @@ def _between(p: float) -> str:
 
 def _counted(bucketed: DataFrame, keys: list[str]) -> DataFrame:
     """(keys..., bucket, n, least, most) of each bucket."""
-    return bucketed.groupBy(*keys, "bucket").agg(F.count("*").alias("n"), F.min("x").alias("least"), F.max("x").alias("most"))
+    return bucketed.groupBy(*keys, "bucket").agg(F.sum("w").alias("n"), F.min("x").alias("least"), F.max("x").alias("most"))
 
 
 def _running(counts: DataFrame, keys: list[str]) -> DataFrame:

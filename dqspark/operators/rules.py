@@ -160,26 +160,55 @@ def execute_rules(
     duplicate-row rules share one digest pass.
     """
     layout = Layout.of(df, by or [])
-    types = {c: layout.types[c] for c in layout.columns}
     rules = [validate_rule(rule) for rule in rules]
-    tests = [predicate(rule, types, options) for rule in rules]
-    counted = count_rows(df, layout, [test or "false" for test in tests])
-    keys = list(layout.by)
-    unique = sorted({r.column_name for r, t in zip(rules, tests, strict=True) if t is None and r.rule_type == "unique"})
+    counted, keys = count_rows(df, layout, rule_predicates(rules, layout, options)), list(layout.by)
+    unique = unique_columns(rules, layout)
     if unique:
-        repeated = {f"u{layout.ordinal(c)}": f"max(if(ord = {layout.ordinal(c)}, repeated_rows, null))" for c in unique}
-        counted = side_by_side(keys, counted, aggregate(distinct_measures(df, layout, unique), keys, **repeated))
+        counted = side_by_side(keys, counted, repeated_rows(distinct_measures(df, layout, unique), layout, unique))
     if any(rule.rule_type == "duplicate_rows" for rule in rules):
         counted = side_by_side(keys, counted, duplicate_counts(df, layout))
+    return rated_rules(counted, 0, layout, rules, options, with_rows)
+
+
+def rule_predicates(rules: list[Rule], layout: Layout, options: Options = DEFAULT) -> list[str]:
+    """One row predicate per rule; false for rules that need more than one row."""
+    types = {c: layout.types[c] for c in layout.columns}
+    return [predicate(rule, types, options) or "false" for rule in rules]
+
+
+def unique_columns(rules: list[Rule], layout: Layout) -> list[str]:
+    return sorted({r.column_name for r in rules if r.rule_type == "unique" and r.column_name in layout.columns})
+
+
+def repeated_rows(measures: DataFrame, layout: Layout, columns: list[str]) -> DataFrame:
+    """(by..., u<ord>...): rows that repeat a value of a column, one row per slice."""
+    return aggregate(measures, list(layout.by), **{f"u{layout.ordinal(c)}": f"max(if(ord = {layout.ordinal(c)}, repeated_rows, null))" for c in columns})
+
+
+def executions_from(
+    checks: DataFrame, first: int, measures: DataFrame, duplicates: DataFrame, layout: Layout, rules: list[Rule], options: Options = DEFAULT
+) -> DataFrame:
+    """``execute_rules`` from what an audit has counted already: rule i's rows are column p<first + i> of ``checks``."""
+    keys, unique, counted = list(layout.by), unique_columns(rules, layout), checks
+    if unique:
+        counted = side_by_side(keys, counted, repeated_rows(measures, layout, unique))
+    if any(rule.rule_type == "duplicate_rows" for rule in rules):
+        counted = side_by_side(keys, counted, duplicates)
+    return rated_rules(counted, first, layout, rules, options, False)
+
+
+def rated_rules(counted: DataFrame, first: int, layout: Layout, rules: list[Rule], options: Options, with_rows: bool) -> DataFrame:
+    """Executions from one row of counts per slice."""
+    types = {c: layout.types[c] for c in layout.columns}
     entries = []
-    for place, (rule, test) in enumerate(zip(rules, tests, strict=True)):
-        rows = f"p{place}"
+    for place, rule in enumerate(rules):
+        rows = f"p{first + place}"
         if rule.rule_type == "duplicate_rows":
             rows = "coalesce(rows_in_duplicate_groups, 0L)"
-        elif test is None:
+        elif rule.rule_type == "unique" and rule.column_name in types:
             rows = f"coalesce(u{layout.ordinal(rule.column_name)}, 0L)"
         elif rule.rule_type == "missing_threshold" and rule.column_name in types:
-            rows = f"if({ratio(rows, 'row_count')} <= {float(rule.parameters.get('max_rate', 0))!r}D, 0L, p{place})"
+            rows = f"if({ratio(rows, 'row_count')} <= {float(rule.parameters.get('max_rate', 0))!r}D, 0L, {rows})"
         entries.append(
             f"struct({place} as nth, {rule.id}L as rule_id, {lit(rule.name)} as rule_name, {lit(rule.rule_type)} as rule_type,"
             f" {rows} as affected_rows)"
@@ -322,8 +351,3 @@ def replace_executions(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     """Executions snapshot with those of the re-run audits replaced."""
     kept = stored.join(fresh.select("audit_id").distinct(), "audit_id", "left_anti")
     return kept.unionByName(fresh)
-
-
-def pinned_executions(df: DataFrame, rules: list[Rule], by: list[str] | None = None, options: Options = DEFAULT) -> DataFrame:
-    """``execute_rules`` written to the checkpoint folder, for audits that read it several times."""
-    return pin(execute_rules(df, rules, by, options))

@@ -2,8 +2,8 @@
 
     profile -> issues -> rules -> score -> summary
 
-The data is read once per pass listed in ``operators.profile``; everything after works
-on tables of a row per column, rule or issue, which are pinned to the checkpoint folder.
+The data is read four times by ``state.observe``; everything after works on the tables of
+that state, and on ones of a row per column, rule or issue.
 """
 
 from __future__ import annotations
@@ -13,12 +13,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from ..operators import detect, score
-from ..operators.cells import Layout, aggregate
-from ..operators.duplicates import duplicate_counts
-from ..operators.profile import DEFAULT, Options, column_measures, column_profiles, dataset_profile, described
-from ..operators.profile import outlier_measures
-from ..operators.rules import Rule, pinned_executions, rule_issues
-from ..session import pin, prepare
+from ..operators.cells import aggregate
+from ..operators.duplicates import excess
+from ..operators.profile import DEFAULT, Options, column_profiles, dataset_profile, described, outlier_measures, with_distinct
+from ..operators.rules import Rule, executions_from, rule_issues
+from ..session import pin
+from .state import State, observe
 
 
 @dataclass
@@ -44,18 +44,23 @@ def audit(
     context: score.ScoringContext = score.DEFAULT_CONTEXT,
 ) -> Audit:
     """Audit a table.  With ``by`` every distinct slice gets its own audit in the same jobs."""
-    prepare(df.sparkSession)
-    by = by or []
-    layout = Layout.of(df, by)
-    measures = column_measures(df, layout, options)
-    scored = pin(described(layout, measures, outlier_measures(df, layout, measures, options), options))
+    return conclude(observe(df, rules, expectations, by, options, keep=False), context)
+
+
+def conclude(state: State, context: score.ScoringContext = score.DEFAULT_CONTEXT) -> Audit:
+    """The audit of what a state has seen."""
+    layout, options, by, rules = state.layout, state.options, state.by, list(state.rules)
+    measures = with_distinct(state.counted, layout, options)
+    outliers = outlier_measures(state.df, layout, measures, options, state.counted)
+    scored = pin(described(layout, measures, outliers, options))
     profiles = column_profiles(layout, scored, options)
-    duplicates = pin(duplicate_counts(df, layout))
+    duplicates = pin(excess(state.rows, layout))
     dataset = dataset_profile(profiles, duplicates, by)
-    issues = detect.detect_issues(df, layout, scored, duplicates, expectations, options)
+    checks = detect.row_checks(layout, state.expectations, options)
+    issues = detect.issues_from(layout, scored, duplicates, state.counted, state.checks, checks, state.expectations, options, state.df)
     executions = None
     if rules:
-        executions = pinned_executions(df, rules, by, options)
+        executions = pin(executions_from(state.checks, len(checks), scored, duplicates, layout, rules, options))
         issues = pin(issues)
         if by:
             found = aggregate(issues, by, found="count(1)")

@@ -474,7 +474,8 @@ DATED = detect.Expectations(date_ranges={"updated_at": ("2020-01-01", "today")},
 def issues_date_expectations(spark, sf_dir):
     df = view(spark, sf_dir, "people").select("birth_date", "updated_at")
     layout = Layout.of(df)
-    raised = detect.row_issues(df, layout, detect.row_checks(layout, DATED, OPTIONS))
+    checks = detect.row_checks(layout, DATED, OPTIONS)
+    raised = detect.row_issues(detect.count_rows(df, layout, [c.predicate for c in checks]), layout, checks)
     return detect.number_issues(raised, layout).select("category", "severity", "title", "affected_rows", "affected_rate", "confidence")
 
 
