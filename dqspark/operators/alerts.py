@@ -20,7 +20,7 @@ CLOSED = ("resolved", "dismissed")
 
 def latest_audits(audits: DataFrame) -> DataFrame:
     """Newest audit per dataset."""
-    return latest(audits, ["workspace_id", "dataset_name"], "created_at, audit_id")
+    return latest(audits, ["workspace_id", "dataset_name"], ["created_at", "audit_id"])
 
 
 def _shape(sql: str, **tables: DataFrame) -> DataFrame:

@@ -125,20 +125,16 @@ def value_counts(df: DataFrame, layout: Layout, only: list[str] | None = None) -
     return long.groupBy(*long.columns).count().withColumnRenamed("count", "n")
 
 
-def frequencies(df: DataFrame, layout: Layout, only: list[str] | None = None, padded: list[str] | None = None) -> DataFrame:
+def frequencies(df: DataFrame, layout: Layout, only: list[str] | None = None) -> DataFrame:
     """(by..., ord, value, spelling, n): how often each non-null value occurs, by stripped value and spelling.
 
-    ``spelling`` is null where the value stands without surrounding blanks; it is looked at
-    in the ``padded`` columns only (default: all).  This is the one table from which distinct
-    counts, quantiles, outliers, casing variants and repeated keys are taken.
+    ``spelling`` is null where the value stands without surrounding blanks.  This is the one
+    table from which distinct counts, quantiles, outliers, casing variants and repeated keys
+    are taken.
     """
     long = cells(df, layout, only, parse=False).where("text is not null")
-    looked = layout.where(lambda c: padded is None or c in padded)
-    spelling = "cast(null as string)"
-    if looked != "false":
-        written = f"if(char_length(raw) > {DIGEST_ABOVE}, {counting_key('raw')}, concat('=', raw))"
-        spelling = f"if({looked} and raw <> text, {written}, null)"
-    long = long.selectExpr(*layout.slices, "ord", f"{counting_key('text')} as value", f"{spelling} as spelling")
+    written = f"if(char_length(raw) > {DIGEST_ABOVE}, {counting_key('raw')}, concat('=', raw))"
+    long = long.selectExpr(*layout.slices, "ord", f"{counting_key('text')} as value", f"if(raw <> text, {written}, null) as spelling")
     return long.groupBy(*long.columns).count().withColumnRenamed("count", "n")
 
 

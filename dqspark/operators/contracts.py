@@ -141,7 +141,7 @@ def to_rules(contract, first_id: int = 1) -> list[Rule]:
 
 def audit_to_validate(audits: DataFrame) -> DataFrame:
     """Per dataset the newest audit of the highest version, or the newest when none is versioned (K6)."""
-    return latest(audits, ["dataset_name"], "coalesce(dataset_version, -1), created_at, audit_id")
+    return latest(audits, ["dataset_name"], ["coalesce(dataset_version, -1)", "created_at", "audit_id"])
 
 
 def schema_violations(contracts: DataFrame, audits: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -240,7 +240,7 @@ def append_versions(stored: DataFrame, changes: DataFrame) -> DataFrame:
 
 def latest_versions(contracts: DataFrame, key: str = "dataset_name") -> DataFrame:
     """Newest version of each contract (K7)."""
-    return latest(contracts, [key], "version")
+    return latest(contracts, [key], ["version"])
 
 
 def contract_json(contract) -> str:

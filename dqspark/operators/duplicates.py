@@ -17,21 +17,24 @@ def row_digest(layout: Layout) -> str:
     """
     parts = []
     for column in layout.columns:
-        value, dtype = name(column), layout.types[column]
-        if isinstance(dtype, (T.DoubleType, T.FloatType)):
-            text = f"cast(nullif(cast({value} as double), double('NaN')) + 0D as string)"
-        elif isinstance(dtype, T.MapType):
-            text = f"to_json(array_sort(map_entries({value})))"
-        elif isinstance(dtype, (T.ArrayType, T.StructType, T.VariantType)):
-            text = f"to_json({value})"
-        elif isinstance(dtype, T.BinaryType):
-            text = f"hex({value})"
-        else:
-            text = f"cast({value} as string)"
+        text = encoded(name(column), layout.types[column])
         parts.append(f"coalesce(concat(cast(char_length({text}) as string), ':', {text}), '-')")
     return f"unhex(sha2(concat({', '.join(parts)}), 256))"
 
 
+def encoded(value: str, dtype: T.DataType) -> str:
+    """A value as text, equal values as equal texts; null and NaN are null, the order of a map does not matter."""
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return f"cast(nullif(cast({value} as double), double('NaN')) + 0D as string)"
+    if isinstance(dtype, T.MapType):
+        return f"to_json(array_sort(map_entries({value})))"
+    if isinstance(dtype, (T.ArrayType, T.StructType, T.VariantType)):
+        return f"to_json({value})"
+    if isinstance(dtype, T.BinaryType):
+        return f"hex({value})"
+    return f"cast({value} as string)"
+
+
 def copies(df: DataFrame, layout: Layout) -> DataFrame:
     """(by..., digest, copies): one row per distinct row."""
     hashed = df.selectExpr(*layout.slices, f"{row_digest(layout)} as digest")

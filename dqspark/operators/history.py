@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..functions.values import name
 
@@ -14,11 +13,12 @@ def query(sql: str, **tables: DataFrame) -> DataFrame:
     return spark.sql(sql, **tables)
 
 
-def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last row per key in an order such as ``created_at, audit_id``.
+def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The last row per key in an order of expressions, nulls coming first.
 
-    A partial aggregate over whole rows: one row per key and task is shuffled, so a key
-    with a long history costs no more than one with a short one.
+    Every task keeps one row of a key before the shuffle, so a key with a long history costs
+    no more than one with a short one.
     """
-    out = df.groupBy(*keys).agg(F.expr(f"max_by(struct(*), struct({order})) as row"))
-    return out.selectExpr(*[f"row.{name(c)} as {name(c)}" for c in df.columns])
+    last = ", ".join(f"{sql} desc nulls last" for sql in order)
+    part = ", ".join(name(k) for k in keys) or "1"
+    return df.selectExpr("*", f"row_number() over (partition by {part} order by {last}) as __place").where("__place = 1").drop("__place")

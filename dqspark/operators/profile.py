@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions import fixed, names, values
 from ..functions.values import lit, py_round, ratio
-from ..session import pin, small_side
+from ..session import pin, small_side, together
 from . import privacy
 from .cells import DIGEST_ABOVE, Layout, aggregate, by_value, cells, counting_key, frequencies, key_order, side_by_side, value_counts, with_names
 from .duplicates import duplicate_counts
@@ -149,13 +149,16 @@ def count_cells(df: DataFrame, layout: Layout, options: Options = DEFAULT, keep:
 
     Without ``keep`` the frequencies are not written, for callers that read them once.
     """
-    base = pin(measure(df, layout, options))
     exact = layout.columns
     if options.approximate_distinct:
         exact = tuple(c for c in layout.columns if names.has_token(c, fixed.KEY_NAME, options.name_match))
+    found = frequencies(df, layout, list(exact)) if exact else None
+    if keep and exact:
+        base, found = together(df.sparkSession, lambda: pin(measure(df, layout, options)), lambda: pin(found))
+    else:
+        base = pin(measure(df, layout, options))
     padded = tuple(layout.columns[r[0]] for r in base.where("padded > 0").select("ord").distinct().collect())
-    values_ = frequencies(df, layout, list(exact), list(padded)) if exact else None
-    return Counted(base, pin(values_) if keep and exact else values_, padded, exact)
+    return Counted(base, found, padded, exact)
 
 
 def with_distinct(counted: Counted, layout: Layout, options: Options = DEFAULT) -> DataFrame:
@@ -236,7 +239,7 @@ def outlier_measures(
     read = numbers_in(df, layout, facts["ords"], counted, facts["long_values"])
     numbers = pin(read.selectExpr(*layout.slices, "ord", "n", f"inline(array({readings}))").where("x is not null"))
     keyed = [*keys, "reading"]
-    bounds = pin(exact_quantiles(numbers, keyed, [0.25, 0.5, 0.75], weight="n"))
+    bounds = exact_quantiles(numbers, keyed, [0.25, 0.5, 0.75], weight="n")
     reach = f"{IQR_REACH}D * (q2 - q0)"
     beyond = aggregate(
         numbers.withColumnRenamed("n", "times").join(small_side(bounds.where("q2 <> q0")), keyed), keyed,

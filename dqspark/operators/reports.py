@@ -65,7 +65,7 @@ def rule_failures(executions: DataFrame) -> DataFrame:
 
 def contract_failures(contracts: DataFrame) -> DataFrame:
     """Violations and impacted contracts among the newest versions."""
-    newest = latest(contracts, ["workspace_id", "contract_key"], "version, updated_at")
+    newest = latest(contracts, ["workspace_id", "contract_key"], ["version", "updated_at"])
     failed = "validation_status in ('failed', 'violation') or status = 'violation'"
     return newest.selectExpr(
         f"coalesce(sum(if({failed}, violation_count, 0L)), 0L) as contract_violations",
@@ -122,7 +122,7 @@ def activity_feed(
                  order by updated_at desc, id limit 3))
             order by happened_at desc, kind, title limit {int(k)}""",
         audits=audits, current=current, datasets=datasets,
-        contracts=latest(contracts, ["workspace_id", "contract_key"], "version, updated_at"),
+        contracts=latest(contracts, ["workspace_id", "contract_key"], ["version", "updated_at"]),
     )
 
 

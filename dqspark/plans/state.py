@@ -26,7 +26,7 @@ from ..operators.cells import Layout, aggregate
 from ..operators.duplicates import copies
 from ..operators.profile import DEFAULT, Counted, Options, count_cells
 from ..operators.rules import Rule, rule_predicates, validate_rule
-from ..session import pin, prepare
+from ..session import pin, prepare, together
 
 # Measures that are the largest or smallest of the parts; the means and deviation are put
 # together from the parts' own; all others are sums.
@@ -90,10 +90,16 @@ def observe(
     prepare(df.sparkSession)
     layout, expect = Layout.of(df, by or []), expectations or detect.Expectations()
     rules = [validate_rule(r) for r in rules or []]
-    counted = count_cells(df, layout, options)
-    predicates = check_predicates(layout, rules, expect, options)
-    checks = pin(detect.count_rows(df, layout, predicates)) if predicates else aggregate(counted.measures, list(layout.by), row_count="max(row_count)")
-    return State(layout, tuple(rules), expect, options, counted, pin(copies(df, layout)) if keep else copies(df, layout), checks, df)
+    predicates, digests = check_predicates(layout, rules, expect, options), copies(df, layout)
+    counted, checks, rows = together(
+        df.sparkSession,
+        lambda: count_cells(df, layout, options),
+        lambda: pin(detect.count_rows(df, layout, predicates)) if predicates else None,
+        lambda: pin(digests) if keep else digests,
+    )
+    if checks is None:
+        checks = aggregate(counted.measures, list(layout.by), row_count="max(row_count)")
+    return State(layout, tuple(rules), expect, options, counted, rows, checks, df)
 
 
 def load(

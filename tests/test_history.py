@@ -247,3 +247,30 @@ def test_scope_and_purge(spark):
     assert reports.in_scope(audits, "2025-01-15").count() == 1
     kept, dropped = reports.purge_stale(audits, audits.where("audit_id = 'a'"))
     assert (kept.first()["audit_id"], dropped.first()["audit_id"]) == ("a", "b")
+
+
+def test_whole_rows_with_nulls_are_equal_in_columns_of_any_type(spark):
+    plain = "select 1 as a, cast(null as string) as b, double('NaN') as x union all select 1, null, null union all select 1, 'c', 2D union all select 2, null, null"
+    for more in ("", ", map('k', a) as m", ", array(a) as m", ", named_struct('s', a) as m"):
+        df = spark.sql(f"select *{more} from ({plain})")
+        assert remediate.deduplicate(df).count() == 3, more
+        assert remediate.deduplicate(df.unionByName(df)).count() == 3 and remediate.deduplicate(df).columns == df.columns
+    turned = spark.sql("select map('a', 1, 'b', 2) as m union all select map('b', 2, 'a', 1)")
+    assert remediate.deduplicate(turned).count() == 1
+    assert remediate.deduplicate(turned, ["m"]).count() == 1
+    assert remediate.deduplicate(spark.sql(plain).limit(0)).count() == 0
+
+
+def test_first_and_last_rows_are_cut_down_in_each_task(spark):
+    from dqspark.operators.history import latest
+
+    df = spark.createDataFrame([(i % 3, i if i != 5 else None, f"v{i % 7}") for i in range(60)], "k long, t long, v string")
+    plans = [remediate.deduplicate(df), remediate.deduplicate(df, ["k"], ["t"]), latest(df, ["k"], ["t", "v"])]
+    for made in plans:
+        shown = made._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in shown and "WindowGroupLimit" in shown
+    assert sorted(map(tuple, plans[1].collect())) == [(0, 0, "v0"), (1, 1, "v1"), (2, None, "v5")]
+    assert sorted(map(tuple, plans[2].collect())) == [(0, 57, "v1"), (1, 58, "v2"), (2, 59, "v3")]
+    assert latest(df, [], ["t"]).first()["t"] == 59
+    # of whole rows only those with a repeated digest are moved
+    assert "LeftAnti" in plans[0]._jdf.queryExecution().optimizedPlan().toString()
