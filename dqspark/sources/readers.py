@@ -9,10 +9,8 @@ from pyspark.sql import types as T
 
 from ..functions import fixed, values
 from ..functions.values import name
+from .records import BYTE_ENCODINGS, records
 
-
-#: Largest file, in bytes, that is read by one task unless the caller says so.
-WHOLE_FILE = 1 << 30
 ODD = "__odd_record"
 
 
@@ -50,7 +48,6 @@ def _survey_lines(spark: SparkSession, path: str):
     return spark.read.text(path).selectExpr(
         "coalesce(bool_or(not is_valid_utf8(value)), false) as foreign",
         "coalesce(bool_or((length(value) - length(replace(value, '\"', ''))) % 2 = 1), false) as broken",
-        "max(_metadata.file_size) as largest",
     ).first()
 
 
@@ -61,10 +58,10 @@ def read_csv(
     """Read a CSV with a header as text columns, missing-value tokens as null.
 
     Types are inferred later by the profile, over all rows.  Without an encoding UTF-8 is
-    tried first and Latin-1 used when some line does not decode.  Files whose records stay
-    on one line are split and read in parallel; ``multi_line`` says so when the caller
-    knows, otherwise a pass over the lines finds out.  A file with records over several lines
-    is one task, so above ``WHOLE_FILE`` bytes the caller must ask for that.
+    tried first and Latin-1 used when some line does not decode.  Files are split and read in
+    parallel, also where records run over several lines (``records``); ``multi_line`` says
+    so when the caller knows, otherwise a pass over the lines finds out.  Only in an encoding
+    of several bytes a character is a file with such records one task.
 
     All files must have the same header.  Rows with too few fields are padded with nulls;
     a row with too many is refused when it is read.
@@ -80,12 +77,12 @@ def read_csv(
         if encoding is None and seen["foreign"]:
             encoding = "ISO-8859-1"
             line = _first_line(spark, path, encoding)
-        if multi_line is None and seen["broken"] and seen["largest"] > WHOLE_FILE:
-            raise IngestionError("a line has an unpaired quote; records over several lines in so large a file need multi_line=True")
         multi_line = seen["broken"] if multi_line is None else multi_line
     encoding = encoding or "UTF-8"
     raw = next(csv.reader([line]), [])
     columns = check_header(raw)
+    if multi_line and encoding.upper() in BYTE_ENCODINGS:
+        return normalise_na(_fields(records(spark, path, encoding.upper(), line.rstrip("\r")), len(raw)).toDF(*columns), na_tokens)
     parsed = T.StructType([T.StructField(column, T.StringType()) for column in raw])
     reader = spark.read.option("header", True).option("enforceSchema", False).option("encoding", encoding)
     reader = reader.option("columnPruning", False).option("multiLine", multi_line).option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", ODD)
@@ -99,6 +96,14 @@ def read_csv(
     return normalise_na(sound.toDF(*columns), na_tokens)
 
 
+def _fields(found: DataFrame, width: int) -> DataFrame:
+    """The fields of records; a record with more than ``width`` of them is refused."""
+    schema = ", ".join(f"c{i} string" for i in range(width + 1))
+    parsed = found.selectExpr(f"from_csv(record, '{schema}', map('escape', '\"', 'multiLine', 'true', 'maxCharsPerColumn', '-1')) as f")
+    refuse = f"cast(raise_error('a row has more than {width} fields') as boolean)"
+    return parsed.where(f"if(f.c{width} is null, true, {refuse})").selectExpr(*[f"f.c{i}" for i in range(width)])
+
+
 def normalise_na(df: DataFrame, tokens: tuple[str, ...] = fixed.NA_TOKENS) -> DataFrame:
     """Turn missing-value tokens of text columns into null."""
     return df.selectExpr(*[

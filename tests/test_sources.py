@@ -68,9 +68,48 @@ def test_csv_files_must_share_their_header(spark, tmp_path):
         readers.read_csv(spark, str(tmp_path / "d")).collect()
 
 
-def test_large_file_with_an_odd_quote_is_refused(spark, tmp_path, monkeypatch):
+def single(spark, path):
+    """The same file by Spark's own reader in one task."""
+    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_records_over_several_lines_are_read_by_several_tasks(spark, tmp_path, end):
+    import random
+
+    draw = random.Random(7)
+    field = lambda: draw.choice(["", "x", "a,b", 'say "hi"', f"one{end}two", f"{end}{end}", 'ends with "', f'"{end}', "Zo\u00eb", "long " * 30, '""', f'"quoted"{end}line,'])
+    plain = lambda v: v and not any(c in v for c in '",\r\n')
+    rows = [[str(i), field(), field()] for i in range(400)]
+    rows[200][1] = end.join(["a very long field"] * 200)  # over many splits
+    text = end.join(["id,a,b", *[",".join(v if plain(v) and draw.random() < 0.7 or v == "" else '"' + v.replace('"', '""') + '"' for v in r) for r in rows]])
+    for name, more in (("a", ""), ("b", end), ("c", f'{end}400,6" pipe,x{end}{end}401,"open{end}end')):
+        path = write(tmp_path / f"{name}.csv", (text + more).encode())
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            got = readers.read_csv(spark, path, na_tokens=())
+            assert got.rdd.getNumPartitions() > 5
+            mine = {r["id"]: tuple(r) for r in got.collect()}
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        theirs = {r["id"]: tuple(r) for r in single(spark, path).collect()}
+        assert mine == theirs
+        for r in rows:
+            assert mine[r[0]] == tuple(v.replace("\r\n", "\n") or None for v in r)
+
+
+def test_records_over_several_lines_in_several_files_and_latin1(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    write(tmp_path / "d" / "a.csv", 'id,note\n1,"é\nb"\n'.encode("latin-1"))
+    write(tmp_path / "d" / "b.csv", 'id,note\n2,"x\n\ny"\n3,z\n'.encode("latin-1"))
+    assert sorted(map(tuple, readers.read_csv(spark, str(tmp_path / "d")).collect())) == [("1", "é\nb"), ("2", "x\n\ny"), ("3", "z")]
+    write(tmp_path / "d" / "c.csv", b'other,note\n4,"x\ny"\n')
+    with pytest.raises(Exception, match="header"):
+        readers.read_csv(spark, str(tmp_path / "d")).collect()
+    long = write(tmp_path / "long.csv", b'id,note\n1,"x\ny",EXTRA\n')
+    with pytest.raises(Exception, match="more than 2 fields"):
+        readers.read_csv(spark, long).collect()
     path = write(tmp_path / "q.csv", b'id,name\n1,6" pipe\n2,x\n')
-    monkeypatch.setattr(readers, "WHOLE_FILE", 10)
-    with pytest.raises(readers.IngestionError, match="multi_line"):
-        readers.read_csv(spark, path)
-    assert readers.read_csv(spark, path, multi_line=False).count() == 2
+    assert [tuple(r) for r in readers.read_csv(spark, path).orderBy("id").collect()] == [("1", '6" pipe'), ("2", "x")]
