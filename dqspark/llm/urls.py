@@ -4,6 +4,9 @@ Rules name hosts and path prefixes.  URLs that a rule judges train two smoothed
 Markov models of characters, one of accepted and one of rejected URLs.  Any other URL is
 judged by the difference of its log-likelihoods per character against a threshold calibrated
 on judged URLs that the models did not see.
+
+The models are a table of all runs of characters seen, as long as the URLs make it.  Every
+different run of a URL to be judged looks up its longest end in that table once, by joins.
 """
 
 from __future__ import annotations
@@ -13,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import pin
 
-#: Longest run of characters counted, strength of the shorter context, and slots of the table of each length.
-ORDER, STRENGTH, SLOTS = 4, 4.0, 4096
+#: Longest run of characters counted, and strength of the shorter context.
+ORDER, STRENGTH = 4, 4.0
 #: One in so many judged URLs is kept for calibration; thresholds are tried in steps of this size up to this size.
 HELD_OUT, STEP, WIDEST = 4, 0.02, 4.0
 
@@ -51,21 +54,16 @@ def gram(line: Column, at: Column, size: int) -> Column:
     return F.substring(line, start, at - start + 1)
 
 
-def slot(value: Column) -> Column:
-    return F.pmod(F.xxhash64(value), F.lit(SLOTS)).cast("int")
-
-
 def train(judged: DataFrame) -> DataFrame:
-    """(size, slot, ratio): mean log ratio of the last character's probability, by run of characters.
+    """(gram, ratio): log ratio of the probabilities of a run's last character, for every run of characters seen.
 
-    ``judged`` has ``line`` and ``bad``.  The probability of a character after a context is its
-    share there, smoothed by ``STRENGTH`` times that after the context without its first
-    character, down to an even one.  Counting is a partial sum, and what comes out has at
-    most ``ORDER * SLOTS`` rows, so the model is bounded whatever the URLs.
+    ``judged`` has ``line``, ``bad`` and ``n``, the number of such URLs.  The probability of a
+    character after a context is its share there, smoothed by ``STRENGTH`` times that after
+    the context without its first character, down to an even one.
     """
-    ends = judged.select("line", "bad", F.explode(F.sequence(F.lit(2), F.greatest(F.length("line"), F.lit(2)))).alias("at"))
-    each = ends.select("bad", F.explode(F.array(*[F.struct(F.lit(k).alias("size"), gram(F.col("line"), F.col("at"), k).alias("gram")) for k in range(1, ORDER + 1)])).alias("g")).select("bad", "g.*")
-    seen = each.where(F.length("gram") == F.col("size")).groupBy("size", "gram").agg(F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good"))
+    ends = judged.select("line", "bad", "n", F.explode(F.sequence(F.lit(2), F.greatest(F.length("line"), F.lit(2)))).alias("at"))
+    each = ends.select("bad", "n", F.explode(F.array(*[F.struct(F.lit(k).alias("size"), gram(F.col("line"), F.col("at"), k).alias("gram")) for k in range(1, ORDER + 1)])).alias("g")).select("bad", "n", "g.*")
+    seen = each.where(F.length("gram") == F.col("size")).groupBy("size", "gram").agg(*both_kinds())
     seen = pin(seen.withColumn("context", F.left("gram", F.col("size") - 1)))
     done, levels = None, []
     for k in range(1, ORDER + 1):
@@ -77,22 +75,31 @@ def train(judged: DataFrame) -> DataFrame:
         else:
             rows = rows.withColumn("_low", F.right("gram", F.lit(k - 1))).join(done.select(F.col("gram").alias("_low"), F.col("p_bad").alias("low_bad"), F.col("p_good").alias("low_good")), "_low")
         smooth = lambda c: (F.col(c) + STRENGTH * F.col(f"low_{c}")) / (F.col(f"all_{c}") + STRENGTH)  # noqa: E731, B023
-        done = rows.select("size", "gram", (F.col("bad") + F.col("good")).alias("n"), smooth("bad").alias("p_bad"), smooth("good").alias("p_good"))
+        done = rows.select("gram", smooth("bad").alias("p_bad"), smooth("good").alias("p_good"))
         levels.append(done)
     every = levels[0]
     for level in levels[1:]:
         every = every.unionByName(level)
-    return every.groupBy("size", slot(F.col("gram")).alias("slot")).agg((F.sum(F.col("n") * F.log(F.col("p_good") / F.col("p_bad"))) / F.sum("n")).alias("ratio"))
+    return every.select("gram", F.log(F.col("p_good") / F.col("p_bad")).alias("ratio"))
 
 
-def score(line: Column, tables: list[Column]) -> Column:
-    """Mean over the characters of the ratio of the longest run that training saw."""
+def both_kinds() -> list[Column]:
+    return [F.coalesce(F.sum(F.when(kind, F.col("n"))), F.lit(0)).alias(name) for name, kind in (("bad", F.col("bad")), ("good", ~F.col("bad")))]
 
-    def at(i):
-        return F.coalesce(*[F.when(i >= k, F.get(tables[k - 1], slot(gram(line, i, k)))) for k in range(ORDER, 0, -1)], F.lit(0.0))
 
-    places = F.sequence(F.lit(2), F.greatest(F.length(line), F.lit(2)))
-    return F.aggregate(places, F.lit(0.0), lambda total, i: total + at(i)) / F.size(places)
+def score(lines: DataFrame, model: DataFrame) -> DataFrame:
+    """(line, score) of different lines: mean over the characters of the ratio of the longest run seen that ends there.
+
+    Runs that no line end of the model fits count 0.
+    """
+    named = lines.select("line", F.md5(F.col("line").cast("binary")).alias("id"))
+    ends = named.select("id", F.explode(F.sequence(F.lit(2), F.greatest(F.length("line"), F.lit(2)))).alias("at"), "line")
+    runs = ends.select("id", gram(F.col("line"), F.col("at"), ORDER).alias("run")).groupBy("id", "run").agg(F.count("*").alias("n"))
+    tails = runs.select("run").distinct().select("run", F.explode(F.sequence(F.lit(1), F.greatest(F.length("run"), F.lit(1)))).alias("size"))
+    fits = tails.select("run", "size", F.right("run", F.col("size")).alias("gram")).join(model, "gram")
+    longest = fits.groupBy("run").agg(F.max(F.struct("size", "ratio")).alias("b")).select("run", "b.ratio")
+    each = runs.join(longest, "run", "left").groupBy("id").agg((F.sum(F.col("n") * F.coalesce("ratio", F.lit(0.0))) / F.sum("n")).alias("score"))
+    return named.join(each, "id").select("line", F.round("score", 9).alias("score"))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", keeps: list[str] | None = None) -> DataFrame:
@@ -109,18 +116,21 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", keep
     parts = pages.select(F.struct(*kept).alias("row"), host.alias("host"), path.alias("path"))
     rule, says = rule_of(F.col("host"), F.col("path"), rules)
     lined = parts.withColumns({"rule": rule, "_says": says, "_line": shown(F.col("host"), F.col("path"))})
-    judged = lined.where("_says is not null").select(F.col("_line").alias("line"), (F.col("_says") == "block").alias("bad"))
-    held = F.pmod(F.xxhash64("line"), F.lit(HELD_OUT)) == 0
-    model = {(r["size"], r["slot"]): r["ratio"] for r in train(judged.where(~held)).collect()}  # at most ORDER * SLOTS rows
-    both = judged.where(~held).agg(F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good")).first()
+    said = lined.where("_says is not null").groupBy(F.col("_line").alias("line"), (F.col("_says") == "block").alias("bad")).agg(F.count("*").alias("n"))
+    judged = pin(said.withColumn("held", F.pmod(F.xxhash64("line"), F.lit(HELD_OUT)) == 0))
+    learn, held = judged.where("not held"), judged.where("held")
+    both = learn.agg(*both_kinds()).first()
     usable = bool(both["bad"] and both["good"])
-    value = lambda k, n: f"{model[k, n]!r}D" if usable and (k, n) in model else "double(null)"
-    # arrays of constants, which the optimizer folds into one literal each
-    tables = [F.expr(f"array({', '.join(value(k, n) for n in range(SLOTS))})") for k in range(1, ORDER + 1)]
-    cut = threshold(judged.where(held).select("bad", score(F.col("line"), tables).alias("score"))) if usable else -float("inf")
-    scored = lined.withColumn("score", F.when(F.col("_says").isNull(), score(F.col("_line"), tables)))
+    rest = lined.where("_says is null").select(F.col("_line").alias("line"))
+    if usable:
+        scores = pin(score(rest.union(held.select("line")).distinct(), pin(train(learn))))
+        cut = threshold(held.join(scores, "line"))
+    else:
+        scores, cut = rest.distinct().withColumn("score", F.lit(0.0)), -float("inf")
+    ruled = lined.where("_says is not null").withColumn("score", F.lit(None).cast("double"))
+    found = lined.where("_says is null").join(scores.withColumnRenamed("line", "_line"), "_line").select(*ruled.columns)
     verdict = F.coalesce("_says", F.when(F.col("score") >= cut, "allow").otherwise("block"))
-    return scored.withColumn("verdict", verdict).select("row.*", *ADDED)
+    return ruled.unionByName(found).withColumn("verdict", verdict).select("row.*", *ADDED)
 
 
 def threshold(held: DataFrame) -> float:
@@ -130,6 +140,6 @@ def threshold(held: DataFrame) -> float:
     """
     bins = int(WIDEST / STEP)
     at = F.least(F.greatest(F.floor(F.col("score") / STEP), F.lit(-bins)), F.lit(bins)).cast("int")
-    counts = {r["at"]: (r["bad"], r["good"]) for r in held.groupBy(at.alias("at")).agg(F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good")).collect()}
+    counts = {r["at"]: (r["bad"], r["good"]) for r in held.groupBy(at.alias("at")).agg(*both_kinds()).collect()}
     errors = {cut: sum(good if b < cut else bad for b, (bad, good) in counts.items()) for cut in range(-bins, bins + 2)}
     return STEP * min(errors, key=lambda cut: (errors[cut], abs(cut), cut))

@@ -192,7 +192,8 @@ def test_url_model_equals_plain_python(spark):
 
     draw = random.Random(9)
     rows = [("^" + "".join(draw.choice("abcd" if bad else "abxy") for _ in range(draw.randint(1, 8))) + "$", bad) for bad in (True, False) for _ in range(60)]
-    got = {(r["size"], r.slot): r.ratio for r in urls.train(spark.createDataFrame(rows, "line string, bad boolean")).collect()}
+    judged = spark.createDataFrame(rows, "line string, bad boolean").withColumn("n", F.lit(1))
+    got = {r.gram: r.ratio for r in urls.train(judged).collect()}
     count = {bad: Counter(line[i - k : i] for line, b in rows if b == bad for i in range(2, len(line) + 1) for k in range(1, urls.ORDER + 1) if i >= k) for bad in (True, False)}
 
     def p(gram, bad):
@@ -200,17 +201,27 @@ def test_url_model_equals_plain_python(spark):
         total = sum(n for g, n in count[bad].items() if len(g) == len(gram) and g[:-1] == gram[:-1])
         return (count[bad][gram] + urls.STRENGTH * low) / (total + urls.STRENGTH)
 
-    grams = sorted(set(count[True]) | set(count[False]))
-    slots = dict(spark.createDataFrame([(g,) for g in grams], "g string").select("g", urls.slot(F.col("g"))).collect())
-    want = {}
-    for g in grams:
-        n = count[True][g] + count[False][g]
-        total = want.setdefault((len(g), slots[g]), [0.0, 0])
-        total[0] += n * math.log(p(g, False) / p(g, True))
-        total[1] += n
-    assert set(got) == set(want)
-    for key, (total, n) in want.items():
-        assert got[key] == pytest.approx(total / n)
+    want = {g: math.log(p(g, False) / p(g, True)) for g in set(count[True]) | set(count[False])}
+    assert set(got) == set(want) and all(got[g] == pytest.approx(want[g]) for g in want)
+
+    lines = sorted({line for line, _ in rows[:20]} | {"^zzz$", "^a", "x", "", "^😀abab$"})
+    scores = {r.line: r.score for r in urls.score(spark.createDataFrame([(x,) for x in lines], "line string"), urls.train(judged)).collect()}
+    for line in lines:
+        places = range(2, max(len(line), 2) + 1)
+        runs = [next((want[line[max(0, i - k) : i]] for k in range(min(urls.ORDER, i), 0, -1) if line[max(0, i - k) : i] in want), 0.0) for i in places]
+        assert scores[line] == pytest.approx(sum(runs) / len(runs), abs=1e-9), line
+
+
+def test_verdicts_do_not_depend_on_how_many_other_urls_there_are(spark):
+    """Backing off to shorter runs goes on working when very many runs have been seen."""
+    draw = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789-_~"
+    made = lambda: "".join(draw.choice(letters) for _ in range(14))
+    rows = [f"http://{'casino' if i % 2 else 'library'}{i % 37}.net/{'win' if i % 2 else 'book'}/{made()}" for i in range(4000)]
+    asked = [f"http://{'casino' if i % 2 else 'library'}.info/{'win' if i % 2 else 'book'}/{i}" for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(rows + asked)), "page_id long, url string")
+    got = urls.judge(df, [("net/win/", "block"), ("net/book/", "allow")]).where("rule is null").collect()
+    assert len(got) == 40 and all((r.verdict == "block") == (r.page_id % 2 == 1) for r in got)
 
 
 def test_held_out_urls_are_told_apart(spark):
