@@ -1,7 +1,8 @@
 """License scans: TF-IDF cosine of header lines and licence files to templates, inherited along directories.
 
-Every line of every file is a candidate header.  Lines that share a rare word with a
-template get their cosine to each template; idf comes from counts over all files.  A file
+Every line of every file, and every few lines in a row, is a candidate header.  Those with a
+cue get their cosine to each template; the idf of all their words comes from counts over all
+files.  A file
 whose words are mostly such lines, or that bears a licence file's name, is a licence file
 and speaks for its directory.  A file without a licence of its own takes that of its nearest
 ancestor directory that has one.
@@ -9,11 +10,10 @@ ancestor directory that has one.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import small_side
 from .common import pin
 
 #: Notices by licence; a licence may have several.
@@ -30,6 +30,8 @@ TEMPLATES = (
 )
 #: Least cosine, least share of a licence file's words in matching lines, and words a template needs no line without.
 LEAST_COSINE, FILE_SHARE = 0.6, 0.5
+#: Lines that a wrapped notice runs over at most.
+SPAN = 3
 LICENCE_NAME = r"(?i)(?:^|/)(?:licen[cs]e|copying|notice|copyright)(?:\.[a-z0-9]+)?$"
 WORD = r"[a-z0-9]+(?:\.[0-9]+)*"
 #: Words that a matching line has at least one of.
@@ -46,40 +48,61 @@ def template_terms(spark: SparkSession, templates) -> DataFrame:
     return rows.select("notice", "license", F.explode(terms(F.col("said"))).alias("term")).groupBy("notice", "license", "term").agg(F.count("*").alias("tf"))
 
 
-def idf_of(files: DataFrame, vocabulary: list[str], text: str) -> tuple[dict[str, float], float]:
-    """idf of the template words, and that of a word in no file: log((1 + files) / (1 + files with it)) + 1, over all files."""
-    listed = F.array(*[F.lit(w) for w in vocabulary])
-    held = files.select(F.array_intersect(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^a-z0-9.]+|\.(?![0-9])"), listed).alias("w"))
-    counted = held.select(F.explode(F.concat(F.col("w"), F.array(F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    got = {r["term"]: r["n"] for r in counted.collect()}  # a row per template word at most
-    total = got.get("", 0)
-    return {w: math.log((1 + total) / (1 + got.get(w, 0))) + 1 for w in vocabulary}, math.log(1 + total) + 1
+def document_counts(files: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
+    """(term, n) over all files: in how many files each term of ``wanted`` stands; the empty term counts the files.
+
+    Terms are dropped that nobody asks for before anything moves, and the rest summed in each
+    task.
+    """
+    words = F.array_distinct(terms(F.coalesce(F.col(text), F.lit(""))))
+    held = files.select(F.explode(F.concat(words, F.array(F.lit("")))).alias("term"))
+    return held.join(small_side(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+
+
+def units(files: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, total, line, span, said): lines with a cue, and up to ``SPAN`` lines in a row that hold one and start or end with it.
+
+    A notice that is wrapped over several lines is whole in one of these.  ``total`` are the
+    words of the file, so no text needs to move.
+    """
+    cued = files.where(F.col(text).rlike(CUES)).select(key, F.size(terms(F.col(text))).alias("total"), F.split(text, "\n", -1).alias("lines"))
+    places = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.get("lines", i).rlike(CUES))
+    starts = cued.select(key, "total", "lines", F.explode(places).alias("at"))
+    each = starts.select(key, "total", "lines", "at", F.explode(F.sequence(F.lit(1), F.lit(SPAN))).alias("span"))
+    each = each.select(key, "total", "lines", "span", F.explode(F.array_distinct(F.array(F.col("at"), F.col("at") - F.col("span") + 1))).alias("line"))
+    each = each.where((F.col("line") >= 0) & (F.col("line") + F.col("span") <= F.size("lines")))
+    return each.select(key, "total", "line", "span", F.array_join(F.slice("lines", F.col("line") + 1, F.col("span")), "\n").alias("said")).distinct()
 
 
 def header_matches(files: DataFrame, key: str, text: str, templates=TEMPLATES) -> DataFrame:
-    """(key, license, cosine, words, total) of the lines whose best cosine reaches ``LEAST_COSINE``.
+    """(key, license, cosine, words, total) of the headers whose best cosine reaches ``LEAST_COSINE``.
 
-    ``words`` are those of the line, ``total`` those of the file, so no text needs to move.
+    A header is a line or a few lines in a row; of headers that overlap the best stays (ties:
+    the shorter, then the first).  ``words`` are those of the header.  idf is
+    log((1 + files) / (1 + files with the word)) + 1 for every word, counted over all files.
     """
     spark = files.sparkSession
     template = template_terms(spark, templates)
-    vocabulary = sorted({r["term"] for r in template.select("term").distinct().collect()})
-    idf, rarest = idf_of(files, vocabulary, text)
-    rated = F.broadcast(spark.createDataFrame(list(idf.items()), "term string, idf double"))
+    place = [key, "total", "line", "span"]
+    counted = pin(units(files, key, text).select(*place, F.explode(terms(F.col("said"))).alias("term")).groupBy(*place, "term").agg(F.count("*").alias("tf")))
+    wanted = pin(counted.select("term").union(template.select("term")).union(spark.createDataFrame([("",)], "term string")).distinct())
+    seen = pin(document_counts(files, wanted, text))
+    total = seen.where("term = ''").agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    rated = pin(wanted.join(seen, "term", "left").select("term", (F.log((1 + total) / (1 + F.coalesce("n", F.lit(0)))) + 1).alias("idf")))
     weighted = template.join(rated, "term").select("notice", "license", "term", (F.col("tf") * F.col("idf")).alias("weight"))
     norms = weighted.groupBy("notice").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("norm"))
-    units = weighted.join(norms, "notice").select("notice", "license", "term", (F.col("weight") / F.col("norm")).alias("unit"))
-    cued = files.where(F.col(text).rlike(CUES))
-    lines = cued.select(key, F.size(terms(F.col(text))).alias("total"), F.posexplode(F.split(text, "\n", -1)).alias("line", "said"))
-    lines = lines.where(F.col("said").rlike(CUES)).distinct()
-    counted = lines.select(key, "total", "line", F.explode(terms(F.col("said"))).alias("term")).groupBy(key, "total", "line", "term").agg(F.count("*").alias("tf"))
-    valued = counted.join(rated, "term", "left").select(key, "total", "line", "term", "tf", (F.col("tf") * F.coalesce("idf", F.lit(rarest))).alias("weight"))
-    place = [key, "total", "line"]
+    rows = weighted.join(norms, "notice").select("notice", "license", "term", (F.col("weight") / F.col("norm")).alias("unit"))
+    valued = counted.join(rated, "term").select(*place, "term", "tf", (F.col("tf") * F.col("idf")).alias("weight"))
     sizes = valued.groupBy(*place).agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("size"), F.sum("tf").alias("words"))
-    dots = valued.join(F.broadcast(units), "term").groupBy(*place, "notice", "license").agg(F.sum(F.col("weight") * F.col("unit")).alias("dot"))
+    dots = valued.join(F.broadcast(rows), "term").groupBy(*place, "notice", "license").agg(F.sum(F.col("weight") * F.col("unit")).alias("dot"))
     scored = dots.join(sizes, place).withColumn("cosine", F.round(F.col("dot") / F.col("size"), 6))
-    best = scored.groupBy(*place, "words").agg(F.max(F.struct("cosine", "license")).alias("b"))
-    return best.select(key, "b.license", "b.cosine", "words", "total").where(F.col("cosine") >= LEAST_COSINE)
+    best = scored.groupBy(*place, "words").agg(F.max(F.struct("cosine", "license")).alias("b")).where(F.col("b.cosine") >= LEAST_COSINE)
+    # a header gives way to a better one among the lines that it covers
+    covered = best.select(*place, "b", "words", F.explode(F.sequence(F.col("line"), F.col("line") + F.col("span") - 1)).alias("covers"))
+    first = covered.groupBy(key, "covers").agg(F.min(F.struct(-F.col("b.cosine"), "span", "line")).alias("top"))
+    held = covered.join(first, [key, "covers"]).withColumn("own", (F.col("top.span") == F.col("span")) & (F.col("top.line") == F.col("line")))
+    kept = held.groupBy(*place, "words", "b").agg(F.bool_and("own").alias("kept")).where("kept")
+    return kept.select(key, "b.license", "b.cosine", "words", "total")
 
 
 def ancestors(folder: Column) -> Column:

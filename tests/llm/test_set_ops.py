@@ -296,20 +296,39 @@ def test_licence_cosines_equal_brute_force(spark):
     texts = {r.doc_id: r.text for r in table.collect()}
     got = {r.doc_id: (r.own_license, r.score) for r in queries.license_scan(spark, SF).collect()}
     split = lambda t: re.findall(licenses.WORD, t.lower())
-    vocabulary = {w for _, notice in licenses.TEMPLATES for w in split(notice)}
-    held = Counter(w for t in texts.values() for w in {x for x in re.split(r"[^a-z0-9.]+|\.(?![0-9])", t.lower())} & vocabulary)
-    idf = {w: math.log((1 + len(texts)) / (1 + held[w])) + 1 for w in vocabulary}
-    rarest = math.log(1 + len(texts)) + 1
-    vector = lambda t: {w: n * idf.get(w, rarest) for w, n in Counter(split(t)).items()}
+    held = Counter(w for t in texts.values() for w in set(split(t or "")))
+    idf = lambda w: math.log((1 + len(texts)) / (1 + held[w])) + 1
+    vector = lambda t: {w: n * idf(w) for w, n in Counter(split(t)).items()}
     norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
     cosine = lambda a, b: sum(x * b.get(w, 0) for w, x in a.items()) / ((norm(a) * norm(b)) or 1)
     notices = [(name, vector(notice)) for name, notice in licenses.TEMPLATES]
     for key, text in texts.items():
-        best = max(((cosine(vector(line), v), name) for line in text.split("\n") for name, v in notices), default=(0, None))
+        lines = (text or "").split("\n")
+        cued = [bool(re.search(licenses.CUES, line)) for line in lines]
+        blocks = ["\n".join(lines[a : a + k]) for k in (1, 2, 3) for a in range(len(lines) - k + 1) if cued[a] or cued[a + k - 1]]
+        best = max(((cosine(vector(block), v), name) for block in blocks for name, v in notices), default=(0, None))
         want = (best[1], pytest.approx(best[0], abs=1e-5)) if best[0] >= licenses.LEAST_COSINE else (None, None)
         assert got[key] == want, text[-200:]
 
 
+def test_cosines_do_not_move_with_the_size_of_the_table(spark):
+    notice = "Copyright 2024 Example. All rights reserved."
+    found = []
+    for n in (200, 2000):
+        rows = [(i, f"d/{i}.txt", f"plain text number {i}\n" + (notice if i % 20 == 0 else "nothing here")) for i in range(n)]
+        got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+        assert all((got[i].own_license == "proprietary") == (i % 20 == 0) for i in range(n))
+        found.append(got[0].score)
+    assert found[0] == pytest.approx(found[1], abs=0.01)
+
+
+def test_wrapped_notices_are_found_whole(spark):
+    wrapped = "# Redistribution and use in source and binary forms,\n# with or without modification,\n# are permitted\n"
+    rows = [(0, "a/x.py", "x = 1\n" * 40 + wrapped + "y = 2\n" * 40), (1, "b/y.py", "y = 2\n" * 40)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got[0].own_license == "BSD-3-Clause" and got[0].score > 0.99 and got[1].license is None
+
+
 def test_term_slots_agree(spark):
     terms = ["a", "é", "x" * 100]
     slots = spark.createDataFrame([(t,) for t in terms], "t string").select(decontam.slot(F.col("t"))).collect()
