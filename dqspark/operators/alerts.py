@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 
 from ..functions.values import items, lit
-from .history import latest, query
+from .history import latest, page_after, query
 
 DEFAULT_THRESHOLD = 80
 ALERT_KEYS = ("workspace_id", "fingerprint")
@@ -176,9 +176,9 @@ def apply_actions(alerts: DataFrame, actions: DataFrame) -> DataFrame:
 def alert_page(
     alerts: DataFrame, search: str | None = None, severity: str | None = None, status: str | None = None,
     alert_type: str | None = None, dataset_name: str | None = None, date_from: str | None = None, date_to: str | None = None,
-    page: int = 1, page_size: int = 8,
+    page: int = 1, page_size: int = 8, after: dict | None = None,
 ) -> DataFrame:
-    """Filtered alerts, newest first, one page."""
+    """Filtered alerts, newest first, one page (O9): the one that follows ``after``, or by its number."""
     if search:
         term = lit("%" + search.strip() + "%")
         alerts = alerts.where(f"title ilike {term} or dataset_name ilike {term} or description ilike {term}")
@@ -189,6 +189,8 @@ def alert_page(
         alerts = alerts.where(f"detected_at >= cast({lit(date_from)} as timestamp)")
     if date_to:
         alerts = alerts.where(f"detected_at <= cast({lit(date_to)} as timestamp)")
+    if after is not None:
+        return page_after(alerts, [("detected_at", True), ("fingerprint", False)], page_size, after)
     ordered = alerts.orderBy("detected_at", "fingerprint", ascending=[False, True])
     return ordered.offset((page - 1) * page_size).limit(page_size)
 

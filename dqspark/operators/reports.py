@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from ..functions import fixed
 from ..functions.values import items, lit, py_round
 from .alerts import latest_audits
-from .history import latest, query
+from .history import latest, page_after, query
 from .score import health
 
 CLOSED = items(fixed.CLOSED_STATUSES)
@@ -226,8 +226,9 @@ def recent_executions(executions: DataFrame, rules: DataFrame, k: int = 30) -> D
 def execution_history(
     executions: DataFrame, rules: DataFrame, audits: DataFrame, outcome: str | None = None, rule_id: int | None = None,
     dataset: str | None = None, search: str = "", page: int | None = None, page_size: int = 25,
+    after: dict | None = None,
 ) -> DataFrame:
-    """Executions with rule and dataset names, filtered, newest first."""
+    """Executions with rule and dataset names, filtered, newest first (O21, O22); a page by its number, or the one that follows ``after``."""
     found = query(
         f"""select e.rule_id, r.name as rule_name, a.dataset_name, e.audit_id, e.outcome, e.affected_rows, e.affected_rate,
               {py_round('e.affected_rate * 100D', 2)} as affected_percentage, e.message, e.executed_at
@@ -242,6 +243,8 @@ def execution_history(
         found = found.where(f"dataset_name = {lit(dataset)}")
     if search.strip():
         found = found.where(f"contains(lower(rule_name), {lit(search.strip().lower())})")
+    if after is not None:
+        return page_after(found, [("executed_at", True), ("rule_id", False), ("audit_id", False)], page_size, after)
     if page is None:
         return found
     ordered = found.orderBy("executed_at", "rule_id", "audit_id", ascending=[False, True, True])

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ..functions import fixed, values
+from ..functions.patterns import UnsafePattern, refuse_unsafe
 from ..functions.values import lit, name, py_round, ratio
 from ..session import pin
 from .cells import Layout, aggregate, counting_key, side_by_side, value_counts
@@ -68,6 +69,10 @@ def java_pattern(pattern: str) -> str:
         re.compile(pattern)
     except re.error as problem:
         raise RuleError(f"invalid pattern {pattern!r}: {problem}") from problem
+    try:
+        refuse_unsafe(pattern)
+    except UnsafePattern as problem:
+        raise RuleError(str(problem)) from problem
     return f"(?U)^(?:{translated})$"
 
 
