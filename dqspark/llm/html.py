@@ -33,6 +33,8 @@ ASIDE_WORDS = frozenset(
     "navigation newsletter notice notices pagination popup promo promotion related respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 KNOWN = VOID | INLINE | RAW | ASIDE | frozenset("blockquote body caption center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 html li ol p pre section summary table tbody td tfoot th thead tr ul address".split())
+#: Elements that are a part of a text, not a container of something else: inside the content element a mark on one says nothing.
+PARTS = frozenset("h1 h2 h3 h4 h5 h6 li td th dt dd caption figcaption label legend".split())
 #: Weights beyond this are cut off; a tag scores this at most; weights where no page is labelled.
 STRONGEST, TAG = 4.0, -0.05
 PLAIN = {"word": 1.0, "tag": -0.5, "aside": -2.0}
@@ -87,8 +89,9 @@ class Place:
         if name not in INLINE and name not in VOID:
             while self.open and (self.open[-1][0] in INLINE or self.open[-1][0] == "p" or self.open[-1][0] == name and name in ("li", "dt", "dd", "tr", "td", "th", "option")):
                 self.close(len(self.open) - 1)
-        told = name == "form" or name not in ("html", "body", *CONTENT) and marked(attributes)
-        aside = name in RAW or name in ASIDE and name != "form" or told and self.number not in self.wraps
+        part = name in PARTS and self.content
+        told = name == "form" or name not in ("html", "body", *CONTENT) and not part and marked(attributes)
+        aside = name in RAW or name in ASIDE and name != "form" and not part or told and self.number not in self.wraps
         if name not in VOID and not attributes.rstrip().endswith("/"):
             above = bool(self.open and self.open[-1][1]) and self.number != self.main
             self.open.append((name, aside or above, name in CONTENT or bool(self.open and self.open[-1][2]), self.number))

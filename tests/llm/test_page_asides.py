@@ -42,3 +42,14 @@ def test_articles_in_asides_stay_asides(spark):
     comments = f"<section id='comments'><article class='comment'><p>{run(90, 'k')}</p></article></section>"
     page = f"<body><article><p>{run(80, 'b')}</p></article>{teasers}{comments}</body>"
     assert html.main_text(page, model) == run(80, "b")
+
+
+def test_marked_headings_and_items_inside_the_article_stay(spark):
+    model = labelled(spark)
+    page = (
+        f"<body><nav>{run(30, 'n')}</nav><article><h2 class='section-header'>{run(4, 't')}</h2><p>{run(80, 'b')}</p><h3 id='related'>{run(3, 'u')}</h3>"
+        f"<ul><li class='social'>{run(6, 'i')}</li></ul><label>{run(3, 'l')}</label><p>{run(60, 'c')}</p><div class='related'><h3>{run(3, 'x')}</h3></div>"
+        f"<form><label>{run(4, 'y')}</label></form></article><h2 class='header'>{run(4, 'z')}</h2></body>"
+    )
+    want = " ".join([run(4, "t"), run(80, "b"), run(3, "u"), run(6, "i"), run(3, "l"), run(60, "c")])
+    assert html.main_text(page, model) == want
