@@ -110,10 +110,10 @@ def contract_next_version(spark, sf_dir):
 
 VERSION_RULES = [
     Rule(1, "Total present", "required", "total"), Rule(2, "States", "allowed_values", "state", parameters={"values": ["F", "O", "P"]}),
-    Rule(3, "Total limits", "numeric_range", "total", parameters={"min": 0, "max": 480000}),
+    Rule(3, "Total limits", "numeric_range", "total", parameters={"min": 0, "max": 900000}),
 ]
 _RULES_BROKEN = f"""(select dataset, version, cast(count_if({miss('total')}) > 0 as int) + cast(count_if(not {miss('state')} and trim(state) not in ('F', 'O', 'P')) > 0 as int)
- + cast(count_if(not {miss('total')} and ({num('total')} is null or {num('total')} < 0 or {num('total')} > 480000)) > 0 as int) as broken from order_versions group by dataset, version)"""
+ + cast(count_if(not {miss('total')} and ({num('total')} is null or {num('total')} < 0 or {num('total')} > 900000)) > 0 as int) as broken from order_versions group by dataset, version)"""
 
 
 @register("contract_rules_next_version", with_views(["order_versions"], f"""select *, missing_columns + type_mismatches + rule_violations as violation_count,
