@@ -22,7 +22,7 @@ from ..session import pin, small_side, together
 from . import privacy
 from .cells import DIGEST_ABOVE, Layout, aggregate, by_value, cells, counting_key, frequencies, key_order, side_by_side, value_counts, with_names
 from .duplicates import duplicate_counts
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles, sketch_of
 
 IQR_REACH = 1.5
 
@@ -36,12 +36,15 @@ class Options:
     CSV reader would, so a text column made of numbers counts as a number column.
     ``approximate_distinct``: sketch the distinct counts of columns not named like keys
     instead of shuffling their values; key columns stay exact.
+    ``quantiles``: ``exact``, or ``sketch`` to take quartiles from mergeable sketches made in the
+    first pass; outliers are then counted exactly beyond approximate bounds.
     ``as_of``: timestamp text that date checks compare with; default is now.
     """
 
     name_match: str = "substring"
     dtypes: str = "declared"
     approximate_distinct: bool = False
+    quantiles: str = "exact"
     as_of: str | None = None
 
     @property
@@ -89,6 +92,7 @@ def measure(df: DataFrame, layout: Layout, options: Options = DEFAULT) -> DataFr
         future=f"count_if(ts > {now})",
         off_birth=f"count_if(ts > {now} or ts < {values.months_back(now, 120)})",
         stale=f"count_if(ts < {values.months_back(now, 3)})",
+        **({"num_sketch": sketch_of("num"), "plain_sketch": sketch_of("plain")} if options.quantiles == "sketch" else {}),
         **({"approx_distinct": "approx_count_distinct(if(present, text, null))"} if options.approximate_distinct else {}),
     )
 
@@ -239,7 +243,13 @@ def outlier_measures(
     read = numbers_in(df, layout, facts["ords"], counted, facts["long_values"])
     numbers = pin(read.selectExpr(*layout.slices, "ord", "n", f"inline(array({readings}))").where("x is not null"))
     keyed = [*keys, "reading"]
-    bounds = exact_quantiles(numbers, keyed, [0.25, 0.5, 0.75], weight="n")
+    quartiles = [0.25, 0.5, 0.75]
+    if options.quantiles == "sketch":
+        sketches = ", ".join(f"struct('{r}' as reading, {count} as n, {r}_sketch as sketch)" for r, count in (("num", "numbers"), ("plain", "plain_numbers"))[: 1 + facts["commas"]])
+        shown = [f"kll_sketch_get_quantile_double(sketch, {p!r}D) as q{i}" for i, p in enumerate(quartiles)]
+        bounds = wanted.selectExpr(*layout.slices, "ord", f"inline(array({sketches}))").where("sketch is not null").selectExpr(*layout.slices, "ord", "reading", "n", *shown)
+    else:
+        bounds = exact_quantiles(numbers, keyed, quartiles, weight="n")
     reach = f"{IQR_REACH}D * (q2 - q0)"
     beyond = aggregate(
         numbers.withColumnRenamed("n", "times").join(small_side(bounds.where("q2 <> q0")), keyed), keyed,

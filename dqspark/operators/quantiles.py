@@ -62,6 +62,31 @@ def exact_quantiles(
     return listed.select(*by, F.col("total").alias("n"), *[F.expr(_between(p)).alias(f"q{i}") for i, p in enumerate(probabilities)])
 
 
+# Entries of a sketch's widest level; a rank is then off by some 0.7 % of the rows, with 99 % confidence.
+SKETCH_K = 400
+
+
+def sketch_of(sql: str, k: int = SKETCH_K) -> str:
+    """A mergeable KLL sketch of the non-null numbers of an expression, as an aggregate; null without any."""
+    return f"if(count({sql}) = 0, null, kll_sketch_agg_double({sql}, {int(k)}))"
+
+
+def merged_sketches(column: str, k: int = SKETCH_K) -> str:
+    """The sketch of all rows from sketches of parts, as an aggregate."""
+    return f"if(count({column}) = 0, null, kll_merge_agg_double({column}, {int(k)}))"
+
+
+def sketched_quantiles(numbers: DataFrame, keys: list[str], probabilities: list[float], k: int = SKETCH_K) -> DataFrame:
+    """(keys..., n, q0, q1, ...) like :func:`exact_quantiles`, from one pass over mergeable sketches.
+
+    A value comes out whose rank is off by about 1 / ``k`` to 3 / ``k`` of the rows; nothing is
+    interpolated.  A task keeps one sketch of bounded size for each group.
+    """
+    found = numbers.selectExpr(*[f"`{c}`" for c in keys], "nanvl(x, null) as x").where("x is not null").groupBy(*keys).agg(
+        F.count("*").alias("n"), F.expr(f"{sketch_of('x', k)} as sketch"))
+    return found.where("n > 0").selectExpr(*[f"`{c}`" for c in keys], "n", *[f"kll_sketch_get_quantile_double(sketch, {float(p)!r}D) as q{i}" for i, p in enumerate(probabilities)])
+
+
 def _between(p: float) -> str:
     """The value at a place between two ranks; equal neighbours, infinite ones too, are taken as they are."""
     place = f"((total - 1) * {float(p)!r}D)"

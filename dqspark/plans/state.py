@@ -25,6 +25,7 @@ from ..operators import detect
 from ..operators.cells import Layout, aggregate
 from ..operators.duplicates import copies
 from ..operators.profile import DEFAULT, Counted, Options, count_cells
+from ..operators.quantiles import merged_sketches
 from ..operators.rules import Rule, rule_predicates, validate_rule
 from ..session import pin, prepare, together
 
@@ -125,6 +126,7 @@ def merge_measures(parts: DataFrame, layout: Layout) -> DataFrame:
     over = f"over (partition by {', '.join(name(k) for k in keys)})"
     centred = parts.selectExpr("*", f"sum(numbers * num_mean) {over} / nullif(sum(numbers) {over}, 0) as whole_mean")
     sums = {c: f"sum({c})" for c in parts.columns if c not in (*keys, *LEAST, *MOST, *MEANS)}
+    sums |= {c: merged_sketches(c) for c in parts.columns if c.endswith("_sketch")}
     ends = {c: f"min({c})" for c in LEAST} | {c: f"max({c})" for c in MOST}
     shift = "(num_mean - whole_mean)"
     means = {

@@ -85,3 +85,28 @@ def test_numbers_from_frequencies_equal_those_from_rows(spark):
     counted = profile.count_cells(df, layout, AS_OF)
     measures = profile.with_distinct(counted, layout, AS_OF)
     assert rows(profile.outlier_measures(df, layout, measures, AS_OF, counted)) == rows(profile.outlier_measures(df, layout, measures, AS_OF))
+
+
+def test_sketched_quartiles_are_close_and_merge(spark):
+    import random
+
+    from dqspark.operators import profile
+    from dqspark.operators.quantiles import exact_quantiles, sketched_quantiles
+
+    draw = random.Random(4)
+    values = sorted([draw.lognormvariate(0, 2) for _ in range(20_000)])
+    df = spark.createDataFrame([(v, "a") for v in values], "x double, g string").repartition(7)
+    got = sketched_quantiles(df, ["g"], [0.0, 0.1, 0.5, 0.99, 1.0]).first()
+    assert got["n"] == 20_000 and got["q0"] == values[0] and got["q4"] == values[-1]
+    for p, q in zip((0.1, 0.5, 0.99), (got["q1"], got["q2"], got["q3"]), strict=True):
+        assert abs(sum(v <= q for v in values) / 20_000 - p) < 0.015
+    assert sketched_quantiles(df.where("x < 0"), ["g"], [0.5]).count() == 0
+    options = Options(as_of="2025-06-01", quantiles="sketch")
+    whole = profile.profile_columns(df, options=options).where("column = 'x'").first()
+    parts = merge(*[observe(df.where(t), options=options) for t in ("x < 1", "x >= 1")])
+    merged = conclude(parts).columns.where("column = 'x'").first()
+    exact = exact_quantiles(df, [], [0.5]).first()["q0"]
+    rank = lambda q: sum(v <= q for v in values) / 20_000
+    for found in (whole, merged):
+        assert abs(rank(found["median"]) - rank(exact)) < 0.015 and found["row_count"] == 20_000
+        assert found["outlier_count"] == pytest.approx(profile.profile_columns(df, options=AS_OF).where("column = 'x'").first()["outlier_count"], rel=0.2)

@@ -222,6 +222,18 @@ def quantiles_grouped(spark, sf_dir):
     return found.selectExpr("l_returnflag", "l_linestatus", "n", "round(q0, 4) as q1", "round(q1, 4) as q2", "round(q2, 4) as q3")
 
 
+@register("quantiles_sketched", """select l_returnflag, l_linestatus, count(*) as n, true as close from lineitem group by l_returnflag, l_linestatus""")
+def quantiles_sketched(spark, sf_dir):
+    """Quartiles from sketches, and whether the true share of rows up to each is within 2 % of what was asked."""
+    from dqspark.operators.quantiles import sketched_quantiles
+
+    keys = ["l_returnflag", "l_linestatus"]
+    df = table(spark, sf_dir, "lineitem", heavy=True).selectExpr(*keys, "l_extendedprice as x")
+    found = F.broadcast(sketched_quantiles(df, keys, [0.25, 0.5, 0.75]))  # a row per group
+    off = " and ".join(f"abs(avg(if(x <= q{i}, 1D, 0D)) - {p}D) < 0.02D" for i, p in enumerate((0.25, 0.5, 0.75)))
+    return df.join(found, keys).groupBy(*keys).agg(F.count("*").alias("n"), F.expr(f"{off} as close"))
+
+
 # --- privacy -----------------------------------------------------------------------
 _NAME_CLASS = {
     "email": ("email", "high"), "phone": ("phone_number", "high"), "full_name": ("person_name", "high"),
