@@ -55,48 +55,91 @@ class Options:
 DEFAULT = Options()
 
 
-def measure(df: DataFrame, layout: Layout, options: Options = DEFAULT) -> DataFrame:
-    """(by..., ord, measures): everything that needs to see each value only once."""
-    long = cells(df, layout).selectExpr("*", f"not {values.missing('text')} as present")
+def cell_tests(options: Options) -> dict[str, str]:
+    """What is counted over the cells: name -> test of one cell."""
     now = options.now
-    count = lambda test: f"count_if(present and {test})"
+    tests = {
+        "non_null": "text is not null",
+        "missing_count": "not present",
+        "padded": "present and raw <> text",
+        "bool_tokens": values.in_tokens("text", fixed.BOOLEAN_TOKENS),
+        "bool_words": "lower(text) in ('true', 'false')",
+        "date_marks": values.has_date_mark("text"),
+        "timestamps": "ts is not null",
+        "numbers": "num is not null",
+        "plain_numbers": "plain is not null",
+        "emails": f"present and {values.is_email('text')}",
+        "phones": f"present and {values.is_phone('text')}",
+        "addresses": f"present and {values.is_ip('text')}",
+        "cards": f"present and {values.is_card('text')}",
+        "identifiers": f"present and {values.is_identifier('text')}",
+        "negative": "plain < 0",
+        "off_percent": "plain < 0 or plain > 100",
+        "off_age": "plain < 0 or plain > 120",
+        "future": f"ts > {now}",
+        "off_birth": f"ts > {now} or ts < {values.months_back(now, 120)}",
+        "stale": f"ts < {values.months_back(now, 3)}",
+    }
+    return tests
+
+
+CELL_ENDS = {
+    "num_min": "min(num)", "num_max": "max(num)", "ts_min": "min(ts)", "ts_max": "max(ts)",
+    "len_min": "min(char_length(text))", "len_max": "max(char_length(text))",
+}
+
+
+def measure(df: DataFrame, layout: Layout, options: Options = DEFAULT, only: list[str] | None = None) -> DataFrame:
+    """(by..., ord, measures): everything that needs to see each value only once."""
+    long = cells(df, layout, only).selectExpr("*", f"not {values.missing('text')} as present")
     return aggregate(
         long, [*layout.by, "ord"],
         row_count="count(1)",
-        non_null="count(text)",
-        missing_count="count_if(not present)",
-        padded="count_if(present and raw <> text)",
-        bool_tokens=f"count_if({values.in_tokens('text', fixed.BOOLEAN_TOKENS)})",
-        bool_words="count_if(lower(text) in ('true', 'false'))",
-        date_marks=f"count_if({values.has_date_mark('text')})",
-        timestamps="count(ts)",
-        numbers="count(num)",
-        plain_numbers="count(plain)",
-        num_min="min(num)",
-        num_max="max(num)",
+        **{k: f"count_if({test})" for k, test in cell_tests(options).items()},
+        **CELL_ENDS,
         num_mean="avg(num)",
         num_std="stddev_pop(num)",
-        ts_min="min(ts)",
-        ts_max="max(ts)",
-        len_min="min(char_length(text))",
-        len_max="max(char_length(text))",
         len_mean="avg(char_length(text))",
-        emails=count(values.is_email('text')),
-        phones=count(values.is_phone('text')),
-        addresses=count(values.is_ip('text')),
-        cards=count(values.is_card('text')),
-        identifiers=count(values.is_identifier('text')),
-        negative="count_if(plain < 0)",
-        off_percent="count_if(plain < 0 or plain > 100)",
-        off_age="count_if(plain < 0 or plain > 120)",
-        future=f"count_if(ts > {now})",
-        off_birth=f"count_if(ts > {now} or ts < {values.months_back(now, 120)})",
-        stale=f"count_if(ts < {values.months_back(now, 3)})",
         **({"num_sketch": sketch_of("num"), "plain_sketch": sketch_of("plain")} if options.quantiles == "sketch" else {}),
         **({"approx_distinct": "approx_count_distinct(if(present, text, null))"} if options.approximate_distinct else {}),
     )
 
 
+def measure_values(counted: DataFrame, layout: Layout, known: DataFrame, options: Options = DEFAULT) -> DataFrame:
+    """The measures of whole columns, taken from their frequencies instead of their rows.
+
+    ``known`` has a row per column: ``ord``, its ``row_count``, and a ``centre`` near its mean, from
+    which squares are taken.  For exact quartiles, and columns without values over 256
+    characters, which frequencies hold by digest only.
+    """
+    kind = lambda test: layout.where(test)
+    typed = kind(lambda c: layout.kind(c) == "numeric")
+    single, timed = kind(lambda c: isinstance(layout.types[c], T.FloatType)), kind(lambda c: layout.kind(c) == "datetime")
+    parsed = kind(lambda c: layout.kind(c) == "text")
+    long = counted.selectExpr("ord", "n", "value as text", "coalesce(substr(spelling, 2), value) as raw").selectExpr(
+        "*",
+        f"case when {single} then cast(try_cast(text as float) as double) when {typed} then try_cast(text as double) when {parsed} then {values.number_in('text')} end as plain",
+        f"case when {timed} then try_cast(text as timestamp) when {parsed} then {values.timestamp_in('text')} end as ts",
+        f"not {values.missing('text')} as present",
+    ).selectExpr("*", f"if({parsed} and contains(text, ','), {values.number_in('text', True)}, plain) as num")
+    joined = long.join(known.select("ord", "centre"), "ord")
+    size = "sum(if(num is not null, n, 0L))"
+    found = aggregate(
+        joined, ["ord"],
+        **{k: f"coalesce(sum(if({test}, n, 0L)), 0L)" for k, test in cell_tests(options).items()},
+        **CELL_ENDS,
+        num_mean=f"sum(n * num) / nullif({size}, 0)",
+        num_std=f"sum(n * (num - centre) * (num - centre)) / nullif({size}, 0)",
+        len_mean="cast(sum(n * char_length(text)) as double) / nullif(sum(n), 0)",
+    )
+    zeros = [f"coalesce({k}, 0L) as {k}" for k in cell_tests(options) if k != "missing_count"]
+    present = "coalesce(non_null, 0L) - coalesce(missing_count, 0L)"
+    return known.join(found, "ord", "left").selectExpr(
+        "ord", "row_count", f"row_count - ({present}) as missing_count", *zeros, *CELL_ENDS, "num_mean", "len_mean",
+        "sqrt(greatest(num_std - (num_mean - centre) * (num_mean - centre), 0D)) as num_std",
+    )
+
+
 def distinct_measures(df: DataFrame, layout: Layout, only: list[str] | None = None) -> DataFrame:
     """(by..., ord, distinct_text, unique_count, repeated_rows) from value frequencies.
 
@@ -148,19 +191,19 @@ class Counted:
     exact: tuple[str, ...]
 
 
-def count_cells(df: DataFrame, layout: Layout, options: Options = DEFAULT, keep: bool = True) -> Counted:
-    """Measures and value frequencies of a table, in two passes.
+def count_cells(df: DataFrame, layout: Layout, options: Options = DEFAULT, keep: bool = True, only: list[str] | None = None) -> Counted:
+    """Measures and value frequencies of a table, or of some of its columns, in two passes.
 
     Without ``keep`` the frequencies are not written, for callers that read them once.
     """
-    exact = layout.columns
+    exact = layout.columns if only is None else tuple(only)
     if options.approximate_distinct:
-        exact = tuple(c for c in layout.columns if names.has_token(c, fixed.KEY_NAME, options.name_match))
+        exact = tuple(c for c in exact if names.has_token(c, fixed.KEY_NAME, options.name_match))
     found = frequencies(df, layout, list(exact)) if exact else None
     if keep and exact:
-        base, found = together(df.sparkSession, lambda: pin(measure(df, layout, options)), lambda: pin(found))
+        base, found = together(df.sparkSession, lambda: pin(measure(df, layout, options, only)), lambda: pin(found))
     else:
-        base = pin(measure(df, layout, options))
+        base = pin(measure(df, layout, options, only))
     padded = tuple(layout.columns[r[0]] for r in base.where("padded > 0").select("ord").distinct().collect())
     return Counted(base, found, padded, exact)
 

@@ -33,6 +33,7 @@ class Audit:
     score: DataFrame
     summary: DataFrame
     by: list[str]
+    state: State | None = None
 
 
 def audit(
@@ -72,4 +73,4 @@ def conclude(state: State, context: score.ScoringContext = score.DEFAULT_CONTEXT
     issues = pin(issues)
     costs = score.deductions(issues, by, context)
     scores = pin(score.score(costs, dataset, by, context))
-    return Audit(profiles, dataset, issues, executions, costs, scores, score.summary(issues, scores, by), by)
+    return Audit(profiles, dataset, issues, executions, costs, scores, score.summary(issues, scores, by), by, state)

@@ -13,7 +13,8 @@ from ..operators.remediate import Remediation, plan_actions, remediate
 from ..operators.rules import Rule
 from ..operators.score import DEFAULT_CONTEXT, ScoringContext
 from ..sources.store import AuditStore
-from .audit import Audit, audit
+from .audit import Audit, audit, conclude
+from .state import revise
 
 
 @dataclass
@@ -38,13 +39,22 @@ def preview(
 ) -> Preview:
     """Clean the table by the chosen issues and audit the outcome; nothing is written (M9).
 
+    The audit starts from the state of the source's: only changed columns are measured anew,
+    and removed rows are taken off the counts of the others.  It runs the source's rules and
+    expectations; with other rules or options the outcome is audited as a whole.
+
     Actions run in the order of the audit, grave issues first.  The plan has a row per issue
     and is read to the driver; the data is not.
     """
     chosen = set(issue_ids)
     plan = [r for r in plan_actions(in_severity_order(source.issues)).collect() if r["issue_id"] in chosen]
     cleaned = remediate(df, plan, **how)
-    return Preview(cleaned, audit(cleaned.result, rules, options=options, context=context))
+    kept = source.state
+    if kept is None or rules is not None and tuple(rules) != kept.rules or options != kept.options:
+        return Preview(cleaned, audit(cleaned.result, rules, options=options, context=context))
+    touched = cleaned.touched()
+    gone = cleaned.removed([c for c in kept.layout.columns if c not in touched])
+    return Preview(cleaned, conclude(revise(kept, cleaned.result, touched, gone), context))
 
 
 def apply(store: AuditStore, name: str, version: int, done: Preview, audit_date: str, audit_id: str) -> str:

@@ -20,11 +20,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ..functions.values import name
+from ..functions.values import among, name
 from ..operators import detect
-from ..operators.cells import Layout, aggregate
+from ..operators.cells import DIGEST_ABOVE, Layout, aggregate, frequencies
 from ..operators.duplicates import copies
-from ..operators.profile import DEFAULT, Counted, Options, count_cells
+from ..operators.profile import DEFAULT, Counted, Options, count_cells, measure_values
 from ..operators.quantiles import merged_sketches
 from ..operators.rules import Rule, rule_predicates, validate_rule
 from ..session import pin, prepare, together
@@ -158,3 +158,49 @@ def merge(*states: State) -> State:
     checks = pin(aggregate(counts, keys, **{c: f"sum({c})" for c in counts.columns if c not in keys}))
     padded = tuple(c for c in layout.columns if any(c in s.counted.padded for s in states))
     return replace(first, counted=Counted(measures, values, padded, layout.columns), rows=rows, checks=checks, df=None)
+
+
+def revise(state: State, result: DataFrame, touched: list[str], removed: DataFrame | None) -> State:
+    """The state of a table after some of its columns changed and some of its rows went.
+
+    Only ``touched`` columns are measured anew.  The frequencies of the others lose those of
+    the ``removed`` rows (which hold these columns), and their measures are taken from what is
+    left.  Columns that hold values over 256 characters, known by digest only, count as
+    touched where rows went.  Row digests and checks are counted on the result.
+    """
+    options, rules, expect = state.options, list(state.rules), state.expectations
+    if state.by or options.approximate_distinct or options.quantiles != "exact":
+        return observe(result, rules, expect, state.by, options, keep=False)
+    layout = Layout.of(result)
+    long = []
+    if removed is not None:
+        long = [state.layout.columns[r[0]] for r in state.counted.measures.where(f"len_max > {DIGEST_ABOVE}").select("ord").collect()]
+    fresh = [c for c in layout.columns if c in touched or c in long]
+    rest = [c for c in layout.columns if c not in fresh]
+    at = {c: layout.ordinal(c) for c in rest}
+    # columns stay in place: cleaning adds and drops none
+    chosen = among("ord", list(at.values()))
+    predicates, digests = check_predicates(layout, rules, expect, options), copies(result, layout)
+    parts = [lambda: pin(detect.count_rows(result, layout, predicates)) if predicates else None]
+    parts += [lambda: count_cells(result, layout, options, only=fresh)] if fresh else []
+    checks, *found = together(result.sparkSession, *parts)
+    measures, values = [], []
+    if rest:
+        kept, known = state.counted.values.where(chosen), state.counted.measures.where(chosen)
+        if removed is not None:
+            gone = frequencies(removed, Layout.of(state.df if state.df is not None else result, columns=list(state.layout.columns)), rest).selectExpr("* except (n)", "-n as n")
+            kept = aggregate(kept.unionByName(gone.select(kept.columns)), ["ord", "value", "spelling"], n="sum(n)").where("n > 0")
+            kept, fewer = together(result.sparkSession, lambda: pin(kept), removed.count)
+            centred = known.selectExpr("ord", f"row_count - {fewer}L as row_count", "coalesce(num_mean, 0D) as centre")
+            known = measure_values(kept, layout, pin(centred), options)
+        measures.append(known)
+        values.append(kept)
+    if found:
+        measures.append(found[0].measures)
+        values.append(found[0].values)
+    whole = pin(reduce(DataFrame.unionByName, measures))
+    padded = tuple(layout.columns[r[0]] for r in whole.where("padded > 0").select("ord").collect())
+    counted = Counted(whole, pin(reduce(DataFrame.unionByName, values)), padded, layout.columns)
+    if checks is None:
+        checks = aggregate(whole, [], row_count="max(row_count)")
+    return State(layout, state.rules, expect, options, counted, digests, checks, result)

@@ -110,3 +110,19 @@ def test_sketched_quartiles_are_close_and_merge(spark):
     for found in (whole, merged):
         assert abs(rank(found["median"]) - rank(exact)) < 0.015 and found["row_count"] == 20_000
         assert found["outlier_count"] == pytest.approx(profile.profile_columns(df, options=AS_OF).where("column = 'x'").first()["outlier_count"], rel=0.2)
+
+
+@pytest.mark.parametrize("wanted", [("completeness", "consistency"), ("uniqueness",), ("uniqueness", "completeness", "privacy"), ()])
+def test_preview_by_what_changed_equals_a_whole_audit(spark, customers, wanted):
+    from dqspark.operators.score import DEFAULT_CONTEXT
+    from dqspark.plans.clean import preview
+
+    df = customers.unionByName(customers.where("customer_id = 'K3'")).selectExpr(
+        "*", "cast(monthly_spend as double) / 3 as ratio", "cast(signup_date as date) as joined", "repeat(name, 60) as story", "if(customer_id = 'K4', '  padded ', country) as place")
+    source = audit(df, RULES, EXPECT, options=AS_OF)
+    ids = [r["id"] for r in source.issues.collect() if r["category"] in wanted]
+    how = {"order_by": ["customer_id"], "fill_strategy": "mode"}
+    done = preview(df, source, ids, options=AS_OF, **how)
+    whole = audit(done.remediation.result, RULES, EXPECT, options=AS_OF, context=DEFAULT_CONTEXT)
+    same(done.projected, whole)
+    assert bool(ids) == bool(wanted)
