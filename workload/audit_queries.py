@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from dqspark.operators import contracts, profile, rules
 from dqspark.operators.rules import Rule
 from dqspark.plans.audit import audit, conclude
+from dqspark.plans.clean import preview
 from dqspark.plans.state import merge, observe
 
 from .profile_queries import _CUSTOMER_ISSUES, _profile_sql, DIRTY
@@ -142,3 +143,35 @@ def contract_run(spark, sf_dir):
     found = audit(df.drop("version"), expectations=contracts.to_expectations(made), options=OPTIONS).issues
     kept = found.where("title like 'Values outside allowed%' or title like 'Configured numeric range%'")
     return kept.selectExpr("columns[0] as column_name", "affected_rows").where("column_name in ('total', 'state')")
+
+
+# --- preview of a cleaned table ------------------------------------------------------------
+_CLEANED = """(select distinct on (customer_id) customer_id, full_name, email, phone, balance_amount, status,
+ array_to_string(list_transform(regexp_extract_all(lower(trim(segment)), '[a-z]+|[^a-z]+'), lambda x: upper(x[1]) || x[2:]), '') as segment from customer_dup)"""
+
+
+def _previewed(spark, sf_dir):
+    df = view(spark, sf_dir, "customer_dup")
+    source = audit(df, options=OPTIONS)
+    keys = [r["id"] for r in source.issues.where("category in ('uniqueness', 'consistency')").select("id").collect()]
+    return source, preview(df, source, keys, options=OPTIONS, order_by=["customer_id"])
+
+
+@register("preview_profile", with_views(["customer_dup"], union([_profile_sql(c, c, _CLEANED) for c in DIRTY])))
+def preview_profile(spark, sf_dir):
+    """All columns of the cleaned table, as the preview's audit sees them (M9)."""
+    return _previewed(spark, sf_dir)[1].projected.columns.selectExpr(
+        "column as column_name", "inferred_type", "row_count", "missing_count", "missing_rate", "unique_count", "unique_rate",
+        "cardinality", "constant as is_constant", "identifier_candidate",
+    )
+
+
+@register("preview_cells", with_views(["customer_dup"], f"""select (select count(*) from customer_dup) as rows_before, (select count(*) from {_CLEANED}) as rows_after,
+ (select count_if(segment is distinct from array_to_string(list_transform(regexp_extract_all(lower(trim(segment)), '[a-z]+|[^a-z]+'), lambda x: upper(x[1]) || x[2:]), '')) from (select distinct on (customer_id) * from customer_dup)) as changed_cells,
+ true as better"""))
+def preview_cells(spark, sf_dir):
+    """Rows, changed cells, and whether the score rises and issues fall (M6, M9)."""
+    source, done = _previewed(spark, sf_dir)
+    changed = done.remediation.changes().selectExpr("sum(changed_cells) as changed_cells")
+    shown = done.comparison(source).selectExpr("rows_before", "rows_after", "projected_score_delta > 0 and projected_issues < issues_before as better")
+    return shown.crossJoin(changed).select("rows_before", "rows_after", "changed_cells", "better")
