@@ -24,6 +24,28 @@ KNOWN = 200_000
 PLAIN = 0x180
 
 
+#: What the rules built here follow: white space as blanks, lower case, this split, symbols of bytes.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+#: Options of the model that have to be off.
+OFF = ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")
+
+
+def refuse_other_rules(spec: dict) -> None:
+    """Raise ``ValueError`` for a tokenizer whose file asks for other rules than those followed here."""
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}]
+    same = {
+        "normalizer": (spec.get("normalizer") or {}).get("normalizers") == NORMALIZERS,
+        "pre_tokenizer": len(steps) == 2 and steps[0].get("pattern") == {"Regex": SPLIT} and (steps[0].get("behavior"), steps[0].get("invert")) == ("Removed", True)
+        and steps[1].get("type") == "ByteLevel" and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex"),
+        "model": spec["model"].get("type") == "BPE" and not any(spec["model"].get(k) for k in OFF),
+        "decoder": spec.get("decoder") is None,
+        "added_tokens": all(t["content"].startswith("<|") and not (t.get("normalized") or t.get("single_word") or t.get("lstrip") or t.get("rstrip")) for t in spec.get("added_tokens", [])),
+    }
+    if other := [k for k, v in same.items() if not v]:
+        raise ValueError(f"the tokenizer file has another {', '.join(other)} than this encoder follows")
+
+
 def byte_symbols() -> list[str]:
     """The printable symbol of each byte: printable Latin-1 stands for itself, the rest follows from U+0100."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -57,7 +79,7 @@ class Known(dict):
 
 
 class Encoder:
-    """Encodes and decodes as the tokenizer file says.
+    """Encodes and decodes as the tokenizer file says; files with other rules than these are refused.
 
     The library merges within a fragment; where a word is cut, and what its parts are, is
     decided here.
@@ -68,6 +90,7 @@ class Encoder:
 
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
+        refuse_other_rules(spec)
         model = spec["model"]
         self.end = model.get("end_of_word_suffix") or ""
         self.vocab: dict[str, int] = model["vocab"]

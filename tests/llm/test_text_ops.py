@@ -189,3 +189,48 @@ def test_training_rows_leave_out_a_third(spark):
 def test_spark_hash_is_xxh64(spark):
     for text in ("", "a b c", "é" * 50):
         assert spark.createDataFrame([(text,)], "t string").select(F.xxhash64("t")).first()[0] % 2**64 == xxhash.xxh64_intdigest(text.encode(), 42)
+
+
+def test_tokenizer_files_with_other_rules_are_refused(tmp_path):
+    import json
+
+    with open(PATH, encoding="utf-8") as file:
+        spec = json.load(file)
+    bpe.refuse_other_rules(spec)
+    others = [
+        {"normalizer": None}, {"decoder": {"type": "ByteLevel"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": spec["model"] | {"byte_fallback": True}},
+        {"added_tokens": [{"id": 1, "content": "[PAD]"}]},
+    ]
+    for other in others:
+        with pytest.raises(ValueError, match=next(iter(other))):
+            bpe.refuse_other_rules(spec | other)
+
+
+def test_languages_equal_plain_zstandard_sizes(spark):
+    """Every text of a table, by compressing it with each dictionary in plain calls."""
+    import zstandard
+
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.train(queries.training_rows(table)[0])
+    setting = zstandard.ZstdCompressionParameters(
+        compression_level=3, strategy=zstandard.STRATEGY_GREEDY, min_match=4, search_log=3, window_log=16, hash_log=14, chain_log=14, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+    def size(data, name):
+        total = 0
+        for at in range(0, len(data), 4096):
+            content = zstandard.ZstdCompressionDict(model[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            total += len(zstandard.ZstdCompressor(compression_params=setting, dict_data=content).compress(data[at : at + 4096] + b" " + b"0" * 64))
+        return total
+
+    got = {r.doc_id: r for r in queries.language_id(spark, SF).collect()}
+    for row in table.collect():
+        words = re.findall(r"[^\W\d_]+", (row.text or "").lower())
+        if not words:
+            assert got[row.doc_id].lang_pred == "und"
+            continue
+        sizes = sorted((size(" ".join(words).encode(), name), name) for name in model)
+        if sizes[1][0] - sizes[0][0] < 0.002 * sizes[0][0]:  # narrow: the different words decide
+            sizes = sorted((size(" ".join(sorted(set(words), key=str.encode)).encode(), name), name) for name in model)
+        assert got[row.doc_id].lang_pred == sizes[0][1]
+        margin = (sizes[1][0] - sizes[0][0]) / sizes[0][0]
+        assert got[row.doc_id].margin == pytest.approx(margin) and got[row.doc_id].rejected == (margin < 0.002)
