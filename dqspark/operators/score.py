@@ -58,9 +58,8 @@ def top_deductions(costs: DataFrame, by: list[str] | None = None, k: int = 10) -
     """The k costliest issues per audit."""
     if by:
         return first_in_order(costs, by, "weighted_penalty desc, issue_id", k)
-    return costs.selectExpr("*", "row_number() over (order by weighted_penalty desc, issue_id) as place").where(
-        f"place <= {int(k)}"
-    )
+    most = costs.orderBy(F.desc("weighted_penalty"), "issue_id").limit(int(k))
+    return most.selectExpr("*", "row_number() over (order by weighted_penalty desc, issue_id) as place")  # of k rows
 
 
 def score(

@@ -92,10 +92,14 @@ class AuditStore:
         number = self.snapshot_number(table)
         return self.spark.read.parquet(f"{self.path(table)}/snapshot={number}")
 
-    def write_snapshot(self, table: str, rows: DataFrame) -> int:
-        """Write the next snapshot, then commit its number."""
+    def write_snapshot(self, table: str, rows: DataFrame, replace_unfinished: bool = False) -> int:
+        """Write the next snapshot, then commit its number.
+
+        A folder of that number without a commit belongs to another writer, or to one that
+        failed; it is refused unless ``replace_unfinished``.
+        """
         number = self.snapshot_number(table) + 1
-        rows.write.mode("overwrite").parquet(f"{self.path(table)}/snapshot={number}")
+        rows.write.mode("overwrite" if replace_unfinished else "errorifexists").parquet(f"{self.path(table)}/snapshot={number}")
         self.spark.sql(f"select {number} as snapshot").write.mode("append").parquet(self.path(table + "_commits"))
         return number
 

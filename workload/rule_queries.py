@@ -233,6 +233,17 @@ def remediate_mask_collisions(spark, sf_dir):
     return remediate.mask_collisions(view(spark, sf_dir, "customer_dirty"), "phone")
 
 
+_LINE_PHONE = "concat('+', k, '-', l_orderkey * 10 + l_linenumber)"
+
+
+@register("mask_collisions_lines", f"""select masked, count(*) as originals from (
+ select distinct p, '+254' || right(lpad(cast(cast('0x' || substr(sha256(p), 1, 10) as bigint) as varchar), 13, '0'), 9) as masked from (select {_LINE_PHONE} as p from lineitem, range(1, 5) r(k)))
+ group by masked having count(*) > 1""")
+def mask_collisions_lines(spark, sf_dir):
+    """Four phone numbers for each line: so many that some share a pseudonym of nine digits."""
+    return remediate.mask_collisions(table(spark, sf_dir, "lineitem").selectExpr("*", "explode(sequence(1, 4)) as k").selectExpr(f"{_LINE_PHONE} as phone"), "phone")
+
+
 _PLAN = [
     {"issue_id": "DQ-001", "title": "gaps", "action_type": "fill_missing", "columns": ["full_name", "email"]},
     {"issue_id": "DQ-002", "title": "casing", "action_type": "standardize", "columns": ["segment"]},
