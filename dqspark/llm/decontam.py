@@ -11,20 +11,23 @@ close by is a proximity match.
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import field, pin, row_ids, with_batches
+from .substrings import Powers, Words
 
 #: Words of a window, and the share of a window's different words that a proximity match has around the rarest.
 WINDOW, NEAR = 10, 0.8
 #: Slots of a term filter: two to this power.  The filter that tasks get is a megabyte, whatever the number of terms.
 SLOT_BITS = 20
+#: Characters of text looked at together, about.
+CHARS = 1_000_000
 BLANKS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -45,8 +48,13 @@ def windows(items: DataFrame, key: str = "item_id", text: str = "text", size: in
     return pin(listed.select(F.sha2(F.array_join("words", " "), 256).alias("window"), "words", "items"))
 
 
-def slot(term: Column) -> Column:
-    return (F.crc32(term.cast("binary")) % (1 << SLOT_BITS)).cast("int")
+def read(texts: list[str | None], powers: Powers) -> Words:
+    """The words of some texts as :func:`tokens` finds them, with their hashes."""
+    return Words([(t or "").encode("utf-8", "surrogatepass").translate(BLANKS) for t in texts], powers)
+
+
+def slots(words: Words) -> np.ndarray:
+    return (words.hash & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)
 
 
 def term_filter(terms: DataFrame) -> bytes:
@@ -55,43 +63,46 @@ def term_filter(terms: DataFrame) -> bytes:
     At most 2**17 rows of eight slots each come to the driver.  A term that only shares a
     slot passes too; the joins that follow drop it.
     """
-    bits = terms.select(slot(F.col("term")).alias("s")).groupBy((F.col("s") / 8).cast("int").alias("at")).agg(
-        F.bit_or(F.expr("shiftleft(1, s % 8)")).alias("bits"))
+
+    def slotted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for batch in batches:
+            held = np.unique(slots(read(batch.column(0).to_pylist(), powers)))
+            yield pa.RecordBatch.from_arrays([pa.array(held)], names=["s"])
+
+    bits = terms.select("term").mapInArrow(slotted, "s long").groupBy((F.col("s") / 8).cast("int").alias("at")).agg(
+        F.bit_or(F.expr("shiftleft(1, cast(s % 8 as int))")).alias("bits"))
     flags = bytearray(1 << SLOT_BITS)
     for at, byte in bits.collect():
         flags[at * 8 : at * 8 + 8] = bytes(byte >> i & 1 for i in range(8))
     return bytes(flags)
 
 
-class Flags(dict):
-    """Filter bits of a word, looked up once while the table has room."""
-
-    def __init__(self, *filters: bytes):
-        self.filters = filters
-
-    def __missing__(self, word: bytes) -> int:
-        at = zlib.crc32(word) & ((1 << SLOT_BITS) - 1)
-        value = sum(f[at] << i for i, f in enumerate(self.filters))
-        if len(self) > 200_000:
-            self.clear()
-        self[word] = value
-        return value
+def some(texts: list[str | None], powers: Powers) -> Iterator[tuple[int, Words]]:
+    """Texts as words, about a megabyte at a time: (number of the first, words)."""
+    first, size = 0, 0
+    for i, text in enumerate(texts):
+        size += len(text or "")
+        if size >= CHARS or i + 1 == len(texts):
+            yield first, read(texts[first : i + 1], powers)
+            first, size = i + 1, 0
 
 
 def term_counts(docs: DataFrame, text: str, wanted: bytes) -> DataFrame:
     """(term, n) over the whole corpus, of the terms that pass the filter; summed in each task before they move."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags, total = Flags(wanted), Counter()
+        flags, total, powers = np.frombuffer(wanted, dtype=np.uint8), Counter(), Powers()
 
         def out() -> pa.RecordBatch:
             kept = [(w.decode("utf-8", "surrogatepass"), n) for w, n in total.items()]
             return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["term", "n"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                for value in batch.column(0).slice(at, 64).to_pylist():
-                    total.update([w for w in tokens(value) if flags[w]])
+            for at in range(0, batch.num_rows, 256):
+                for _, words in some(batch.column(0).slice(at, 256).to_pylist(), powers):
+                    hit = np.nonzero(flags[slots(words)])[0]
+                    total.update([words.bytes[a:b] for a, b in zip(words.start[hit].tolist(), words.end[hit].tolist(), strict=True)])
                 if len(total) > 200_000:
                     yield out()
                     total.clear()
@@ -120,26 +131,29 @@ def index(docs: DataFrame, key: str, text: str, first: bytes, second: bytes, siz
     reach = size - 1
 
     def start():
-        flags = Flags(first, second)
+        rare, other, powers = np.frombuffer(first, dtype=np.uint8), np.frombuffer(second, dtype=np.uint8), Powers()
 
         def work(texts):
-            sizes, lists = [], []
-            for value in texts:
-                words = tokens(value)
-                sizes.append(len(words))
-                made = []
-                for at, flag in enumerate(map(flags.__getitem__, words)):
-                    if flag:
-                        left = max(0, at - reach)
-                        near = [w.decode("utf-8", "surrogatepass") for w in words[left : at + size]] if flag & 1 else None
-                        made.append({"term": words[at].decode("utf-8", "surrogatepass"), "pos": at, "left": left, "around": near})
-                lists.append(made)
+            sizes, lists = [], [[] for _ in texts]
+            for number, words in some(texts, powers):
+                sizes += words.counts.tolist()
+                ends = np.cumsum(words.counts)
+                at = slots(words)
+                flag = rare[at] | other[at] << 1
+                hit = np.nonzero(flag)[0]
+                owner = words.owner[hit]
+                for i, kind, own, low, high in zip(hit.tolist(), flag[hit].tolist(), owner.tolist(), (ends[owner] - words.counts[owner]).tolist(), ends[owner].tolist(), strict=True):
+                    left, near = max(low, i - reach), None
+                    if kind & 1:
+                        near = words.line(left, min(high, i + size)).decode("utf-8", "surrogatepass").split(" ")
+                    term = words.bytes[words.start[i] : words.end[i]].decode("utf-8", "surrogatepass")
+                    lists[number + own].append({"term": term, "pos": i - low, "left": left - low, "around": near})
             return sizes, lists
 
         return work
 
     fields = [field("n_words", "long"), field("postings", "array<struct<term: string, pos: int, left: int, around: array<string>>>")]
-    return pin(with_batches(docs, [text], [key], fields, start, rows=32)).withColumn("row", F.monotonically_increasing_id())
+    return pin(with_batches(docs, [text], [key], fields, start, rows=64)).withColumn("row", F.monotonically_increasing_id())
 
 
 def matches(indexed: DataFrame, planned: DataFrame, near: float = NEAR) -> DataFrame:

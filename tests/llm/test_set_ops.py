@@ -2,7 +2,6 @@ from __future__ import annotations
 
 import random
 import re
-import zlib
 
 import numpy as np
 import pytest
@@ -329,7 +328,13 @@ def test_wrapped_notices_are_found_whole(spark):
     assert got[0].own_license == "BSD-3-Clause" and got[0].score > 0.99 and got[1].license is None
 
 
-def test_term_slots_agree(spark):
-    terms = ["a", "é", "x" * 100]
-    slots = spark.createDataFrame([(t,) for t in terms], "t string").select(decontam.slot(F.col("t"))).collect()
-    assert [r[0] for r in slots] == [zlib.crc32(t.encode()) & ((1 << decontam.SLOT_BITS) - 1) for t in terms]
+def test_term_slots_agree_wherever_a_term_stands():
+    powers = decontam.Powers()
+    terms = ["a", "é", "x" * 100, "\U0001f600k", "9"]
+    alone = decontam.slots(decontam.read(terms, powers)).tolist()
+    among = decontam.read(["zz " * 400 + "A!é" + "-" + "X" * 100 + " \U0001f600K/9", None, "", "É"], powers)
+    assert decontam.slots(among).tolist()[400:405] == alone and len(set(alone)) == 5
+    assert among.counts.tolist() == [405, 0, 0, 1]
+    for text in ("zz A!é", "...", "", None, "\u00a0x y"):
+        words = decontam.read([text], powers)
+        assert [words.bytes[a:b] for a, b in zip(words.start, words.end, strict=True)] == decontam.tokens(text)
