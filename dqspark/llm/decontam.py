@@ -26,8 +26,8 @@ from .substrings import Powers, Words
 WINDOW, NEAR = 10, 0.8
 #: Slots of a term filter: two to this power.  The filter that tasks get is a megabyte, whatever the number of terms.
 SLOT_BITS = 20
-#: Characters of text looked at together, about.
-CHARS = 1_000_000
+#: Characters of text looked at together, about: enough to vectorise, and little memory in a worker.
+CHARS = 200_000
 BLANKS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
