@@ -105,6 +105,18 @@ def stripped(text: str) -> str:
     return f"btrim({text}, {lit(fixed.WHITESPACE)})"
 
 
+def stripped_column(text: str) -> str:
+    """``stripped`` for a rendered text that is at hand as a column, so reading it again is free.
+
+    Trimming looks every end character up in all white space; texts that begin and end with a
+    printable ASCII character, as most do, are told by two bytes.
+    """
+    last = f"substr({text}, -1)"
+    return (
+        f"if({text} >= '!' and {text} < {lit(chr(127))} and {last} >= '!' and {last} < {lit(chr(127))}, {text}, {stripped(text)})"
+    )
+
+
 def text_of(value: str, dtype: T.DataType) -> str:
     return stripped(rendered(value, dtype))
 

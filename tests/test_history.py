@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import random
 
 from dqspark import Options, Rule, audit
@@ -106,6 +107,20 @@ def test_masking_is_stable_and_keeps_distinct_values(customers):
     assert masked.exceptAll(remediate.mask(customers, ["email", "phone", "customer_id"], salt="s")).count() == 10
 
 
+def test_collisions_hash_each_different_value_once(spark):
+    """Values are told apart before they are hashed: there is no digest below the inner aggregate."""
+    texts = ["+1 555", " +1 555\t", "+1 556", "a@b.cd", "é\xa0", "", "  ", None, *[f"+{i}" for i in range(300)]]
+    df = spark.createDataFrame([(t,) for t in texts], "phone string").selectExpr("phone", "phone as date_of_birth")
+    plan = remediate.mask_collisions(df, "phone")._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2" in plan and "sha2" not in plan[plan.rindex("Aggregate"):].split("\n", 1)[1]
+    # Blanks are no values; all dates of birth share one stand-in, but an address keeps its own.
+    assert [tuple(r) for r in remediate.mask_collisions(df, "date_of_birth").collect()] == [("1970-01-01", 303)]
+    assert remediate.mask_collisions(df, "phone").count() == 0
+    for r in remediate.mask(df.where("phone like '+%'").selectExpr("phone as old", "phone"), ["phone"]).collect():
+        number = int(hashlib.sha256(r["old"].encode()).hexdigest()[:10], 16)
+        assert r["phone"] == f"+254{number % 10**9:09d}"
+
+
 def test_dedupe_keeps_null_keys(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, None)], "i int, k string")
     assert sorted(r["i"] for r in remediate.deduplicate(df, ["k"], ["i"]).collect()) == [1, 3, 4]

@@ -56,6 +56,11 @@ def test_token_is_sha256(spark):
     assert column(spark, ["abc"], values.token("x")) == [hashlib.sha256(b"abc").hexdigest()[:12]]
 
 
+def test_stripped_column_trims_what_stripped_trims(spark):
+    texts = ["", " ", "a", "a ", " a", "~", "!", "\x7f", "\x7fa", "a\x7f", "é", "é ", "\u3000a", "a\u2029", "a b", "\x1fa", "a\x85", "a\n", "😀", None]
+    assert column(spark, texts, values.stripped_column("x")) == column(spark, texts, values.stripped("x"))
+
+
 def test_numbers_render_plainly(spark):
     df = spark.createDataFrame([(48.5,), (5000.0,), (12345678.25,), (1e7,), (float("nan"),)], "x double")
     got = [r[0] for r in df.select(F.expr(values.rendered("x", df.schema["x"].dataType))).collect()]
