@@ -139,13 +139,19 @@ def number_in(text: str, thousands: bool = False) -> str:
 def timestamp_in(text: str) -> str:
     """Parse a stripped text as a timestamp by its shape; anything else is null."""
     shapes = " ".join(
-        f"when {matches(text, shape)} then try_to_timestamp({text}, {lit(layout)})"
+        f"when {_may_be_dated(text, layout)} and {matches(text, shape)} then try_to_timestamp({text}, {lit(layout)})"
         for shape, layout in fixed.TIMESTAMP_SHAPES
     )
-    iso = f"when {matches(text, fixed.ISO_TIMESTAMP)} then try_cast({text} as timestamp)"
+    iso = f"when substr({text}, 5, 1) = '-' and {matches(text, fixed.ISO_TIMESTAMP)} then try_cast({text} as timestamp)"
     return f"case when char_length({text}) not between 8 and 40 then null {iso} {shapes} end"
 
 
+def _may_be_dated(text: str, layout: str) -> str:
+    """What a layout asks for that needs no pattern: its separator, or its length without one."""
+    marks = [mark for mark in ("/", "-", ", ", " ") if mark in layout]
+    return f"contains({text}, {lit(marks[0])})" if marks else f"char_length({text}) = {len(layout)}"
+
+
 def is_number_type(dtype: T.DataType) -> bool:
     return isinstance(dtype, T.NumericType)
 
@@ -180,20 +186,25 @@ def in_tokens(text: str, tokens) -> str:
 def luhn_valid(text: str) -> str:
     """Luhn checksum of a text of 13 to 19 digits, spaces and dashes.
 
-    Padded to 20 digits the doubled positions are fixed, so the sum is plain arithmetic that
-    compiles; higher-order functions would push the whole stage out of generated code.
+    Padded to 20 digits the doubled positions are fixed.  Read to base 11 a number leaves the
+    sum of its digits modulo 10, so two conversions add ten digits each; taking digits one by one
+    would build the padded text anew for each, as nothing is shared within a branch.
     """
     digits = f"translate({text}, ' -', '')"
     padded = f"lpad({digits}, 20, '0')"
+    plain = f"regexp_replace({padded}, '.(.)', '$1')"
     # The digit sum of twice a digit, digit by digit.
-    doubled = f"translate({padded}, '0123456789', '0246813579')"
-    summed = " + ".join(f"int(substr({doubled if i % 2 else padded}, {i}, 1))" for i in range(1, 21))
+    doubled = f"translate(regexp_replace({padded}, '(.).', '$1'), '0123456789', '0246813579')"
+    summed = " + ".join(f"cast(conv({part}, 11, 10) as bigint)" for part in (plain, doubled))
     return f"(char_length({digits}) between 13 and 19 and ({summed}) % 10 = 0)"
 
 
 def is_card(text: str) -> str:
     """Card pattern first, so that the checksum runs on the few texts made of digits."""
-    return f"(case when {_opens(text, 48, 57)} and {matches(text, fixed.CARD)} then {luhn_valid(text)} else false end)"
+    return (
+        f"(case when {_opens(text, 48, 57)} and char_length({text}) >= 13 and {matches(text, fixed.CARD)}"
+        f" then {luhn_valid(text)} else false end)"
+    )
 
 
 def title_case(text: str) -> str:

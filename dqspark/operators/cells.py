@@ -89,8 +89,8 @@ def cells(
         entries.append(f"struct({entry})")
     long = df.selectExpr(*layout.slices, f"inline(array({', '.join(entries)}))")
     if not parse:
-        return long.selectExpr(*layout.slices, "ord", "raw", f"{values.stripped('raw')} as text")
-    long = long.selectExpr("*", f"{values.stripped('raw')} as text")
+        return long.selectExpr(*layout.slices, "ord", "raw", f"{values.stripped_column('raw')} as text")
+    long = long.selectExpr("*", f"{values.stripped_column('raw')} as text")
     long = long.selectExpr(
         "*",
         f"if(parsed, {values.number_in('text')}, typed_num) as plain",

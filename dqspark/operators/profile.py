@@ -159,6 +159,9 @@ def distinct_counts(valued: DataFrame, layout: Layout) -> DataFrame:
     )
 
 
+BOOLEAN_SHARE = f"{ratio('bool_tokens', 'non_null')} >= 0.95D"
+
+
 def inferred_type(layout: Layout, options: Options) -> str:
     """Semantic type of a column from its measures: the first line that holds decides."""
     share = lambda part: ratio(part, "non_null")
@@ -170,7 +173,7 @@ def inferred_type(layout: Layout, options: Options) -> str:
         when {declared("boolean")} or ({csv} and bool_words = non_null) then 'boolean'
         when {declared("numeric")} or ({csv} and plain_numbers = non_null) then 'numeric'
         when {declared("datetime")} then 'datetime'
-        when {share("bool_tokens")} >= 0.95D and distinct_text <= 6 then 'boolean'
+        when {BOOLEAN_SHARE} and distinct_text <= 6 then 'boolean'
         when ({layout.named(fixed.DATE_NAME, options.name_match)} or {share("date_marks")} >= 0.8D)
              and {share("timestamps")} >= 0.85D then 'datetime'
         when {share("numbers")} >= 0.9D then 'numeric'
@@ -228,6 +231,27 @@ def column_measures(df: DataFrame, layout: Layout, options: Options = DEFAULT) -
     return with_distinct(count_cells(df, layout, options, keep=False), layout, options)
 
 
+TYPE_TESTS = ("non_null", "bool_tokens", "bool_words", "date_marks", "timestamps", "numbers", "plain_numbers")
+
+
+def column_types(df: DataFrame, layout: Layout, options: Options = DEFAULT) -> DataFrame:
+    """(by..., ord, inferred_type) of every column, without the other measures.
+
+    Only a column of boolean words is asked how many different values it has, so no other
+    column's values are moved.  These are counted exactly, whatever the options.
+    """
+    keys, tests = [*layout.by, "ord"], cell_tests(options)
+    base = pin(aggregate(cells(df, layout), keys, **{k: f"count_if({tests[k]})" for k in TYPE_TESTS}))
+    texts = layout.where(lambda c: layout.kind(c) == "text" and not names.has_token(c, fixed.TEXT_NAME, options.name_match))
+    maybe = base.where(f"{texts} and non_null > 0 and {BOOLEAN_SHARE}").select("ord").distinct().collect()
+    if maybe:
+        counted = aggregate(value_counts(df, layout, [layout.columns[r["ord"]] for r in maybe]), keys, distinct_text="count(1)")
+        full = base.join(counted, keys, "left")
+    else:
+        full = base.selectExpr("*", "0L as distinct_text")
+    return full.selectExpr(*layout.slices, "ord", f"{inferred_type(layout, options)} as inferred_type")
+
+
 NO_OUTLIERS = (
     "median double, q1 double, q3 double, outliers long, plain_q1 double, plain_q3 double, plain_outliers long"
 )

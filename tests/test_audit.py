@@ -160,3 +160,27 @@ def test_long_values_are_counted_by_digest_and_shown_whole(spark):
 def test_top_k_is_cut_before_the_shuffle(customers):
     plan = profile.first_in_order(customers, ["country"], "customer_id", 2)._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_column_types_equal_the_full_measures_and_move_boolean_columns_only(spark, monkeypatch):
+    """Types alone need no value counts but those of boolean words (before, every column's values were moved)."""
+    rows = [
+        (f"s{i % 2}", f"k{i}", ["yes", "No", " y "][i % 3], "true" if i < 99 else f"x{i}", ["0", "1", "y", "n", "no", "yes", "true", "false"][i % 8], "1" if i % 2 else "0",
+         None, "", "1,200.5" if i % 20 else "z", "2025-01-0" + str(i % 9 + 1), "10:3" + str(i % 10), i % 2 == 0, float("nan") if i % 3 else 1.5, f"0{i % 2}")
+        for i in range(100)
+    ]
+    kinds = "slice string, k string, flag string, most string, eight string, code string, none string, blank string, amount string, day string, made_time string, b boolean, x double, phone string"
+    df = spark.createDataFrame(rows, kinds).repartition(3)
+    moved, counts = [], profile.value_counts
+    monkeypatch.setattr(profile, "value_counts", lambda df, layout, only=None: (moved.append(only), counts(df, layout, only))[1])
+    for by in ([], ["slice"]):
+        for options in (Options(as_of="2025-06-01"), Options(as_of="2025-06-01", dtypes="csv", name_match="word")):
+            layout = Layout.of(df, by)
+            keys = [*by, "ord", "inferred_type"]
+            wanted = profile.column_measures(df, layout, options).select(*keys).collect()
+            assert sorted(map(tuple, profile.column_types(df, layout, options).collect())) == sorted(map(tuple, wanted))
+            assert {"flag", "most", "eight"} <= set(moved[-1]) <= {"flag", "most", "eight", "code"}
+    assert profile.column_types(df.where("false"), Layout.of(df)).count() == 0
+    plain = df.select("k", "amount")
+    before = len(moved)
+    assert {r["inferred_type"] for r in profile.column_types(plain, Layout.of(plain)).collect()} == {"text", "numeric"} and len(moved) == before

@@ -46,8 +46,7 @@ def profile_columns(spark, sf_dir):
 def profile_types(spark, sf_dir):
     df = view(spark, sf_dir, "people")
     layout = Layout.of(df)
-    measures = profile.column_measures(df, layout, OPTIONS)
-    return with_names(measures, layout).selectExpr("column as column_name", "inferred_type")
+    return with_names(profile.column_types(df, layout, OPTIONS), layout).selectExpr("column as column_name", "inferred_type")
 
 
 def _numeric_sql(c: str) -> str:
